@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lattis.llm.jaccard_join import jaccard_components
 from lattis.llm.substring_dedup import substring_dedup
 
 
@@ -15,7 +16,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_jaccard_join": op10_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
 }
 
