@@ -6,12 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Spark's setting that removes the shuffle files of an execution at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame) -> DataFrame:
-    """The rows written to spark.checkpoint.dir, which all executors share, with the lineage cut."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/lattis-checkpoints")
-    return df.checkpoint(eager=True)
+    """The rows written to spark.checkpoint.dir, which all executors share, with the lineage cut.
+
+    What the rows came from isn't needed again, so the shuffle files behind them are removed at once.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lattis-checkpoints")
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ Sets of n-word shingles are put in one global order, shingles of rare words firs
 64-bit name. Two sets that reach the threshold share a shingle among the first of each (the prefix), so:
 
 1. Equal sets fall together by a 128-bit fingerprint; one document of each stands for them.
-2. Prefix shingles go to buckets by name; the smallest document of a shingle that two or more have is its leader. Each
-   document joins the groups of its shingles' leaders; linked documents meet in at least one. One leader stands for many
-   shingles, so a document's set is sent to few groups.
+2. Prefix shingles go to buckets by name; the smallest document of a shingle that two or more have is its leader. The
+   prefix is twice the least that holds a common shingle, so linked documents share a good part of it; those with too few
+   shared ones go no further. Each other document joins the groups of its first shared shingles' leaders; linked
+   documents meet in at least one. One leader stands for many shingles, so a document's set is sent to few groups.
 3. A group is dealt in blocks of bounded size, the leader's set in each. A task stores its block as a trie of ordered
    sets and walks it with each set, sharing the overlap of shared beginnings and leaving subtrees whose remaining lengths
    can't reach the threshold. Subtrees whose documents are already connected with the set are left too: components ask
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from lattis.llm.components import components, keep
 from lattis.llm.hashing import U, as_bytes, combine, mix, steps, windows, words
-from lattis.llm.substring_dedup import lowest, packed, unpacked
+from lattis.llm.shards import documents, ids_of, packed_texts, shard_of
+from lattis.llm.substring_dedup import lowest, opened, packed, unpacked
 
 #: Cells of the word counts behind the order: 256 kB of 32-bit counts, whatever the corpus.
 CELLS = 1 << 16
@@ -74,9 +76,24 @@ def ordered_sets(texts: list[bytes], n: int, lower: bool, cost: np.ndarray | Non
             yield np.empty(0, dtype=np.uint64)
 
 
+def margin(n: int, percent: int) -> tuple[int, int]:
+    """(d, c) for a set of n: a linked set lacks at most d of its shingles; so d + c first ones hold the first c common ones."""
+    d = n + (-percent * n) // 100
+    return d, max(1, min(d, n - d))
+
+
 def prefix(n: int, percent: int) -> int:
-    """So many of n ordered shingles hold a common one with any set that reaches the threshold."""
-    return n + (-percent * n) // 100 + 1
+    return sum(margin(n, percent))
+
+
+def probes(shared: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Of the shingles of a prefix that other prefixes have too, the first so many that hold the first common one.
+
+    A linked set has at least `percent` of n shingles, so the two prefixes share its c at least; with fewer shared
+    shingles than that, nothing links.
+    """
+    least = margin(-(-percent * n // 100), percent)[1]
+    return shared[: max(0, len(shared) - least + 1)]
 
 
 class Trie:
@@ -178,30 +195,30 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, lower: bo
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = shards or 4 * partitions
-    buckets = 2 * partitions
+    shards = shards or 2 * partitions
+    buckets = partitions
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = word_counts(rows, lower)
     cost = np.minimum(np.log2(1 + counts) / max(1.0, np.log2(1 + counts.max())) * ((1 << RANK_BITS) - 1), (1 << RANK_BITS) - 1)
-    by_shard = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).groupBy("shard")
+    by_shard = packed_texts(rows, shards).groupBy("shard")
 
-    def sets_of(pdf: pd.DataFrame, wanted: set | None = None) -> Iterator[tuple[int, np.ndarray]]:
-        if wanted is not None:
-            pdf = pdf[pdf["doc_id"].isin(wanted)]
-        texts = as_bytes(pdf["text"])
-        for a, b in steps(texts):
-            yield from zip(pdf["doc_id"].iloc[a:b], ordered_sets(texts[a:b], n, lower, cost), strict=True)
+    def sets_of(pdf: pd.DataFrame, wanted: set) -> Iterator[tuple[int, np.ndarray]]:
+        for ids, texts in documents(pdf["docs"]):
+            at = [i for i, x in enumerate(ids.tolist()) if x in wanted]
+            if at:
+                yield from zip(ids[at].tolist(), ordered_sets([texts[i] or b"" for i in at], n, lower, cost), strict=True)
 
-    def fingerprints(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        with np.errstate(over="ignore"):
-            for doc, s in sets_of(pdf):
-                out.append((None if doc is None or doc != doc else int(doc), len(s), int(mix(s, 1).sum().astype(np.int64)) if len(s) else 0, int(mix(s, 2).sum().astype(np.int64)) if len(s) else 0))
-        got = pd.DataFrame(out, columns=["doc_id", "n_shingles", "f1", "f2"]).astype({"doc_id": "Int64"})
-        got["shard"] = pdf["shard"].iloc[0]
-        return got
-
-    prints = keep(by_shard.applyInPandas(fingerprints, "doc_id long, n_shingles long, f1 long, f2 long, shard int"))
+    def fingerprints(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            texts, out = as_bytes(pdf["text"]), []
+            with np.errstate(over="ignore"):
+                for a, b in steps(texts):
+                    for s in ordered_sets(texts[a:b], n, lower, cost):
+                        out.append((len(s), *(int(mix(s, k).sum().astype(np.int64)) if len(s) else 0 for k in (1, 2))))
+            got = pd.DataFrame(out, columns=["n_shingles", "f1", "f2"])
+            yield got.assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy(), shard=shard_of(ids_of(pdf["doc_id"]), shards))[["doc_id", "n_shingles", "f1", "f2", "shard"]]
+
+    prints = keep(rows.mapInPandas(fingerprints, "doc_id long, n_shingles long, f1 long, f2 long, shard int"))
     same = prints.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by("shard", "doc_id").alias("shard"))
     reps = same.select("shard", F.col("rep").alias("doc_id"))
 
@@ -219,7 +236,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, lower: bo
         return packed([mix(names, 3)[order], names[order]], low[order].view(np.uint64), high[order].view(np.uint64), int(pdf["shard"].iloc[0]), buckets)
 
     def leaders(pdf: pd.DataFrame) -> pd.DataFrame:
-        mixed, names, low, high = unpacked(pdf["n"], pdf["data"], 4)
+        _, names, low, high = opened(pdf["n"], pdf["data"], 2)
         low, high = low.view(np.int64), high.view(np.int64)
         shard = np.repeat(pdf["shard"].to_numpy(), pdf["n"])
         order = np.argsort(names, kind="stable")
@@ -248,7 +265,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, lower: bo
             for doc, s in sets_of(pdf, set(mine["doc_id"])):
                 p = s[: prefix(len(s), percent)]
                 at = np.minimum(np.searchsorted(known, p), len(known) - 1)
-                out += [(int(doc), int(x), len(s)) for x in np.unique(least[at][known[at] == p])]
+                out += [(int(doc), int(x), len(s)) for x in np.unique(probes(least[at][known[at] == p], len(s), percent))]
         got = pd.DataFrame(out, columns=["doc_id", "leader", "size"])
         got["shard"] = pdf["shard"].iloc[0] if len(pdf) else 0
         return got

@@ -1,14 +1,15 @@
 """Substring dedup by recompression.
 
-Each document is parsed into a hierarchy of symbols. A round first names maximal runs (a, a, a -> a^3), then parts the
+Each document is parsed into a hierarchy of symbols. A round first names the inside of maximal runs (a, a, a, a -> a, a^2, a), then parts the
 alphabet in two and names every pair of a left and a right symbol. Names are hashes of what they stand for, so all
 tasks of a round give equal content equal names without a dictionary on any one machine. The parse is locally
 consistent: a symbol carries the span of words that fixes it (its context), and wherever that span occurs, in any
 document, the same symbol stands inside. A window with a whole context inside thus shows a common symbol to every other
 copy of the window; the few windows that hold none (most of a long run, say) stand for themselves.
 
-1. Symbols of the last round, and windows without one, go to buckets by name: which are in two documents or more?
-2. Only windows around shared symbols are candidates. Their 128-bit names go to buckets: the smallest document of each?
+1. Symbols of the last round, named by the words of their context, and windows without one, go to buckets by name:
+   which are in two documents or more?
+2. A window all of whose symbols are shared is a candidate. Their 128-bit names go to buckets: the smallest document of each?
 3. Words covered by windows that a smaller document has go.
 
 Documents are held in shards by id. A shard sends a name once, however many of its documents have it, so a passage that
@@ -19,15 +20,14 @@ others share. The shards' rows are shuffled once; the three passes read the same
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lattis.llm.hashing import U, as_bytes, combine, mix, steps, windows, within_text, words
+from lattis.llm.hashing import U, combine, mix, powers, powers_inverse, windows, within_text, words
+from lattis.llm.shards import NO_ID, documents, packed_texts
 
 #: Words of a window.
 WINDOW = 13
@@ -45,25 +45,35 @@ def recompress(symbols, begin, end, owner, level: int):
     at = np.flatnonzero(fresh)
     length = np.diff(np.append(at, n))
     last = at + length - 1
-    run = length > 1
-    name = symbols[at]
-    name[run] = combine([name[run], length[run].astype(np.uint64)], seed=100 + level)
     before, after = np.maximum(at - 1, 0), np.minimum(last + 1, n - 1)
-    inner_b, inner_e = (at > 0) & (owner[before] == owner[at]), (last + 1 < n) & (owner[after] == owner[at])
-    b = np.where(run, np.where(inner_b, begin[before], -FAR), begin[at])
-    e = np.where(run, np.where(inner_e, end[after], FAR), end[last])
-    who, m = owner[at], len(at)
+    from_b, from_e = (at > 0) & (owner[before] == owner[at]), (last + 1 < n) & (owner[after] == owner[at])
+    # a run keeps its two ends beside its inside's name: an end next to another symbol looks the same in runs of any length
+    size = np.minimum(length, 3)
+    pos = np.concatenate(([0], np.cumsum(size)))
+    m = int(pos[-1])
+    name, who = np.repeat(symbols[at], size), np.repeat(owner[at], size)
+    b, e = np.empty(m, dtype=np.int64), np.empty(m, dtype=np.int64)
+    head, tail = pos[:-1], pos[1:] - 1
+    b[tail], e[tail] = begin[last], end[last]
+    b[head], e[head] = begin[at], end[at]
+    run, long = length > 1, length > 2
+    for where, other, inner in ((head, before, from_b), (tail, after, from_e)):
+        w, o, ok = where[run], other[run], inner[run]
+        b[w], e[w] = np.where(ok, np.minimum(b[w], begin[o]), -FAR), np.where(ok, np.maximum(e[w], end[o]), FAR)
+    inside = head[long] + 1
+    name[inside] = combine([symbols[at][long], length[long].astype(np.uint64)], seed=100 + level)
+    b[inside], e[inside] = np.minimum(b[head[long]], b[tail[long]]), np.maximum(e[head[long]], e[tail[long]])
 
     left = (mix(name, 200 + level) >> U(63)).astype(bool)
     head = np.concatenate((left[:-1] & ~left[1:] & (who[1:] == who[:-1]), [False]))
     idx = np.flatnonzero(~np.concatenate(([False], head[:-1])))
     pair = head[idx]
-    before, after = np.maximum(idx - 1, 0), np.minimum(idx + 1, m - 1)
-    inner_b, inner_e = (idx > 0) & (who[before] == who[idx]), (idx + 1 < m) & (who[after] == who[idx])
+    other = np.where(pair | left[idx], np.minimum(idx + 1, m - 1), np.maximum(idx - 1, 0))  # the neighbour that decides
+    inner = (other != idx) & (who[other] == who[idx])
     out = name[idx]
-    out[pair] = combine([name[idx][pair], name[after][pair]], seed=300 + level)
-    ob = np.where(~pair & ~left[idx], np.where(inner_b, b[before], -FAR), b[idx])
-    oe = np.where(pair, e[after], np.where(left[idx], np.where(inner_e, e[after], FAR), e[idx]))
+    out[pair] = combine([name[idx][pair], name[other][pair]], seed=300 + level)
+    ob = np.where(inner, np.minimum(b[idx], b[other]), -FAR)
+    oe = np.where(inner, np.maximum(e[idx], e[other]), FAR)
     return out, ob, oe, who[idx]
 
 
@@ -82,11 +92,19 @@ def parse(texts: list[bytes], window: int, rounds: int):
     last = np.minimum(b, bounds[who + 1] - window)
     ok = first <= last
     sym, who, first, last = sym[ok], who[ok], first[ok], last[ok]
+    sym = spans(h, b[ok], e[ok])
     bare = starts[covered(first, last, len(h))[starts] == 0] if len(starts) else starts
     names = combine([windows(h, window)[bare]], seed=9) if len(bare) else np.empty(0, dtype=np.uint64)
     return h, bounds, owner, starts, (np.concatenate((sym, names)), np.concatenate((who, owner[bare])), np.concatenate((first, bare)), np.concatenate((last, bare)))
 
 
+def spans(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Names of the word sequences from begin to end, both inclusive."""
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(h, 11) * powers(len(h)))))
+        return mix((total[end + 1] - total[begin]) * powers_inverse(len(h) + 1)[begin] + mix((end - begin).astype(np.uint64), 12), 13)
+
+
 def covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
     """How many of the closed intervals hold each of n positions."""
     return np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(last + 1, minlength=n + 1))[:n]
@@ -107,15 +125,31 @@ PACKED = "bucket int, shard int, n int, data binary"
 
 
 def packed(keys: list[np.ndarray], low: np.ndarray, high: np.ndarray, shard: int, buckets: int) -> pd.DataFrame:
-    """One row for each bucket: n of each key, then n smallest and n largest ids."""
+    """One row for each bucket: n of each key, then n smallest ids and n distances to the largest, byte by byte to compress well."""
     to = ((keys[0] >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
     order = np.argsort(to, kind="stable")
-    cols = [x[order] for x in (*keys, low, high)]
+    cols = [x[order] for x in (*keys, low, high - low)]
     cut = np.searchsorted(to[order], np.arange(buckets + 1))
-    rows = [(k, shard, int(b - a), b"".join(x[a:b].tobytes() for x in cols)) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+    rows = [(k, shard, int(b - a), b"".join([x[a:b].tobytes() for x in cols[:-2]] + [planes(x[a:b]) for x in cols[-2:]])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
     return pd.DataFrame(rows, columns=["bucket", "shard", "n", "data"])
 
 
+def planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def opened(n, data, keys: int) -> list[np.ndarray]:
+    """What packed() has packed: keys, low, high."""
+    parts = [[] for _ in range(keys + 2)]
+    for k, x in zip(n, data, strict=True):
+        for i in range(keys):
+            parts[i].append(np.frombuffer(x, dtype=np.uint64, count=k, offset=8 * k * i))
+        for i in (keys, keys + 1):
+            parts[i].append(np.ascontiguousarray(np.frombuffer(x, dtype=np.uint8, count=8 * k, offset=8 * k * i).reshape(8, k).T).view(np.uint64).ravel())
+    out = [np.concatenate(p) if p else np.empty(0, dtype=np.uint64) for p in parts]
+    return [*out[:-1], out[-2] + out[-1]]
+
+
 def unpacked(n, data, width: int) -> list[np.ndarray]:
     parts = [[] for _ in range(width)]
     for k, x in zip(n, data, strict=True):
@@ -124,12 +158,6 @@ def unpacked(n, data, width: int) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.empty(0, dtype=np.uint64) for p in parts]
 
 
-def texts_of(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
-    texts = as_bytes(pdf["text"])
-    for a, b in steps(texts):
-        yield pdf.iloc[a:b], texts[a:b]
-
-
 def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, shards: int | None = None, with_text: bool = False) -> DataFrame:
     """Removes each word covered by a window of `window` words whose sequence also starts in a document with a smaller doc_id.
 
@@ -139,25 +167,19 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
 
     A null or empty text has no words, and the hash of the empty string; a null text stays null. Rows with one doc_id are
     judged each by itself and don't remove from one another. A null doc_id counts as larger than any. An empty table gives
-    an empty table. Memory: a task holds one shard of documents (shards: 4 for each shuffle partition unless given), or a
+    an empty table. Memory: a task holds one shard of documents (shards: 2 for each shuffle partition unless given), or a
     bucket of names, and each shard adds a name to it once.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = shards or 4 * partitions
-    buckets = 2 * partitions
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    last_id = np.int64((1 << 63) - 1)
-
-    def ids_of(pdf: pd.DataFrame) -> np.ndarray:
-        return np.fromiter((last_id if x is None or x != x else x for x in pdf["doc_id"].astype(object)), dtype=np.int64, count=len(pdf)).view(np.uint64)
+    shards = shards or 2 * partitions
+    buckets = partitions
 
     def symbols(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, who = [], []
-        for part, texts in texts_of(pdf):
-            *_, (names, owner, _, _) = parse(texts, window, rounds)
+        for ids, texts in documents(pdf["docs"]):
+            *_, (names, owner, _, _) = parse([t or b"" for t in texts], window, rounds)
             keys.append(names)
-            who.append(ids_of(part)[owner])
+            who.append(ids.view(np.uint64)[owner])
         (names,), low, high = lowest([np.concatenate(keys)], np.concatenate(who))
         return packed([names], low, high, int(pdf["shard"].iloc[0]), buckets)
 
@@ -165,7 +187,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
         """Back to each shard: the keys, with the smallest document anywhere, that a document other than the shard's smallest has."""
 
         def of(pdf: pd.DataFrame) -> pd.DataFrame:
-            *keys, low, high = unpacked(pdf["n"], pdf["data"], width + 2)
+            *keys, low, high = opened(pdf["n"], pdf["data"], width)
             shard = np.repeat(pdf["shard"].to_numpy(), pdf["n"])
             order = np.lexsort(keys[::-1])
             keys = [k[order] for k in keys]
@@ -190,30 +212,33 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
         (known,) = unpacked(back["n"], back["data"], 1)
         known.sort()
         one, two, who = [], [], []
-        for part, texts in texts_of(pdf):
+        for ids, texts in documents(pdf["docs"]):
+            texts = [t or b"" for t in texts]
             h, _, owner, starts, (names, _, first, last) = parse(texts, window, rounds)
             hit = member(names, known)
             if hit.any():
-                at = starts[covered(first[hit], last[hit], len(h))[starts] > 0]
+                own = covered(first[~hit], last[~hit], len(h))[starts] > 0
+                at = starts[(covered(first[hit], last[hit], len(h))[starts] > 0) & ~own]
                 one.append(windows(h, window)[at])
                 two.append(windows(h, window, seed=5)[at])
-                who.append(ids_of(part)[owner[at]])
+                who.append(ids.view(np.uint64)[owner[at]])
         if not one:
             return pd.DataFrame(columns=["bucket", "shard", "n", "data"])
         keys, low, high = lowest([np.concatenate(one), np.concatenate(two)], np.concatenate(who))
         return packed(keys, low, high, int(pdf["shard"].iloc[0]), buckets)
 
-    def removed(pdf: pd.DataFrame, back: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def removed(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         one, two, least = unpacked(back["n"], back["data"], 3)
         order = np.lexsort((two, one))
         one, two, least = one[order], two[order], least[order]
         out = []
-        for part, texts in texts_of(pdf):
+        for ids, raw in documents(pdf["docs"]):
+            texts = [t or b"" for t in raw]
             h, bounds = words(texts)
             gone = np.zeros(len(h), dtype=bool)
             if len(one) and len(h) >= window:
                 starts = within_text(bounds, window)
-                owner = np.repeat(ids_of(part), np.diff(bounds))
+                owner = np.repeat(ids.view(np.uint64), np.diff(bounds))
                 w1, w2 = windows(h, window), windows(h, window, seed=5)
                 starts = starts[member(w1[starts], one)]
                 smaller = np.zeros(len(starts), dtype=bool)
@@ -230,16 +255,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
                 mask = gone[bounds[i] : bounds[i + 1]]
                 n_gone = int(mask.sum())
                 kept = b" ".join(compress(text.split(), ~mask) if n_gone else text.split())
-                raw = part["text"].iloc[i]
-                row = [part["doc_id"].iloc[i], len(mask), n_gone, hashlib.sha256(kept).hexdigest()]
-                out.append((*row, kept.decode("utf-8", "replace") if n_gone else raw) if with_text else tuple(row))
+                row = (None if ids[i] == NO_ID else int(ids[i]), len(mask), n_gone, hashlib.sha256(kept).hexdigest())
+                whole = kept if n_gone else raw[i]
+                out.append((*row, None if whole is None else whole.decode("utf-8", "replace")) if with_text else row)
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text
         result = pd.DataFrame(out, columns=names)
         result["doc_id"] = result["doc_id"].astype("Int64")
         return result
 
     back_type = "shard int, n int, data binary"
-    by_shard = rows.groupBy("shard")
+    by_shard = packed_texts(docs, shards).groupBy("shard")
     known = by_shard.applyInPandas(symbols, PACKED).groupBy("bucket").applyInPandas(shared(1), back_type)
     least = by_shard.cogroup(known.groupBy("shard")).applyInPandas(candidates, PACKED).groupBy("bucket").applyInPandas(shared(2), back_type)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
