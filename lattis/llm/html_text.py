@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled pages that weights are fitted on, by hash of page_id.
+#: About so many pages, by hash of page_id and url, are looked at for the labelled ones that weights are fitted on.
 LABELLED = 4000
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template", "svg")}
@@ -160,7 +160,8 @@ def extract(pages: DataFrame, labelled: int = LABELLED) -> DataFrame:
     a row each; nulls in page_id and url pass through; an empty table gives an empty one.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    marked = rows.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]")).select("html", F.xxhash64("page_id", "url").alias("h")).orderBy("h").limit(labelled)
+    place = F.pmod(F.xxhash64("page_id", "url"), F.lit(max(1, pages.select("page_id").count())))
+    marked = rows.where((place < labelled) & F.col("html").rlike(r"(?i)<(article|main)[\s>]")).select("html")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
