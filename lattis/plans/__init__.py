@@ -1,7 +1,7 @@
 """Registered queries: operators bound to the driver's tables, with DuckDB SQL."""
 
-from lattis.plans import corpus, graph, understanding
+from lattis.plans import corpus, graph, retrieval, understanding
 
-MODULES = [understanding, corpus, graph]
+MODULES = [retrieval, understanding, corpus, graph]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
