@@ -50,7 +50,8 @@ def differ(spark, sf_dir: str, query, sql: str) -> str:
         return ""
     if a[0] != b[0]:
         return f"columns {a[0]} and {b[0]}"
-    only = [x for x in a[1] if x not in set(b[1])][:3], [x for x in b[1] if x not in set(a[1])][:3]
+    left, right = set(a[1]), set(b[1])
+    only = [x for x in a[1] if x not in right][:3], [x for x in b[1] if x not in left][:3]
     return f"{len(a[1])} and {len(b[1])} rows; only in Spark {only[0]}; only in SQL {only[1]}"
 
 
