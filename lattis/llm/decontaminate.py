@@ -35,12 +35,12 @@ def template(text: Column) -> Column:
 
 
 def window_rows(texts: DataFrame, key: str, window: int) -> DataFrame:
-    """(key, pos, hash, slots) of each window; slots: the words behind its placeholders, null if there are none."""
+    """(key, pos, hash, slots) of each window; slots: the words behind its placeholders, without case and outer punctuation, null if there are none."""
     rows = texts.select(key, spaced(F.col("text").cast("string")).alias("raw")).where("raw <> ''")
     rows = rows.select(key, "raw", template(F.col("raw")).alias("shape"))
     holed = F.col("shape").rlike("[\u0001-\u0003]")
     shape, raw = F.split("shape", " "), F.split("raw", " ")
-    slot = F.when(holed, F.zip_with(shape, raw, lambda s, r: F.when(s.rlike("[\u0001-\u0003]"), r)))
+    slot = F.when(holed, F.zip_with(shape, raw, lambda s, r: F.when(s.rlike("[\u0001-\u0003]"), F.lower(F.regexp_replace(r, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))))
     rows = rows.select(key, shape.alias("shape"), slot.alias("slot"))
     size = F.least(F.lit(window), F.size("shape"))
 

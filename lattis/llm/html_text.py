@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattis.llm.shards import nullable_id, whole_id
+
 #: About so many pages, by hash of page_id and url, are looked at for the labelled ones that weights are fitted on.
 LABELLED = 4000
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
@@ -185,6 +187,7 @@ def extract(pages: DataFrame, labelled: int = LABELLED) -> DataFrame:
     def text_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             text = [main_text(p, weights) if isinstance(p, str) else "" for p in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    return rows.mapInPandas(text_of, "page_id long, url string, text string, n_chars long")
+    out = rows.select(whole_id("page_id"), "url", "html").mapInPandas(text_of, "page_id long, url string, text string, n_chars long")
+    return nullable_id(out, "page_id")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lattis.llm.components import components, keep
 from lattis.llm.hashing import U, as_bytes, combine, mix, steps, windows, words
-from lattis.llm.shards import documents, ids_of, packed_texts, shard_of
+from lattis.llm.shards import documents, nullable_id, packed_texts, shard_of, whole_id
 from lattis.llm.substring_dedup import lowest, opened, packed, unpacked
 
 #: Cells of the word counts behind the order: 256 kB of 32-bit counts, whatever the corpus.
@@ -197,7 +197,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, lower: bo
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = shards or 2 * partitions
     buckets = partitions
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(whole_id("doc_id"), F.col("text").cast("string").alias("text"))
     counts = word_counts(rows, lower)
     cost = np.minimum(np.log2(1 + counts) / max(1.0, np.log2(1 + counts.max())) * ((1 << RANK_BITS) - 1), (1 << RANK_BITS) - 1)
     by_shard = packed_texts(rows, shards).groupBy("shard")
@@ -216,9 +216,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, lower: bo
                     for s in ordered_sets(texts[a:b], n, lower, cost):
                         out.append((len(s), *(int(mix(s, k).sum().astype(np.int64)) if len(s) else 0 for k in (1, 2))))
             got = pd.DataFrame(out, columns=["n_shingles", "f1", "f2"])
-            yield got.assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy(), shard=shard_of(ids_of(pdf["doc_id"]), shards))[["doc_id", "n_shingles", "f1", "f2", "shard"]]
+            yield got.assign(doc_id=pdf["doc_id"].to_numpy(), shard=shard_of(pdf["doc_id"].to_numpy(np.int64), shards))[["doc_id", "n_shingles", "f1", "f2", "shard"]]
 
-    prints = keep(rows.mapInPandas(fingerprints, "doc_id long, n_shingles long, f1 long, f2 long, shard int"))
+    prints = keep(nullable_id(rows.mapInPandas(fingerprints, "doc_id long, n_shingles long, f1 long, f2 long, shard int"), "doc_id"))
     same = prints.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by("shard", "doc_id").alias("shard"))
     reps = same.select("shard", F.col("rep").alias("doc_id"))
 
@@ -314,4 +314,4 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, lower: bo
     comp = components(links)
     of = same.join(comp, same["rep"] == comp["id"], "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = prints.join(of, ["n_shingles", "f1", "f2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

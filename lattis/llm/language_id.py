@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattis.llm.hashing import U, mix
+from lattis.llm.shards import nullable_id, whole_id
 
 #: Hash cells of n-grams of 1 to NGRAM characters.
 CELLS, NGRAM = 1 << 15, 3
@@ -162,6 +163,7 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
                 k = int(np.argmax(p))
                 lang.append(langs[k])
                 score.append(float(min(1.0, p[k])))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "lang_pred": lang, "score": score})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": lang, "score": score})
 
-    return rows.select("doc_id", "text", "held_out").mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    out = rows.select(whole_id("doc_id"), "text", "held_out").mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return nullable_id(out, "doc_id")

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattis.llm.shards import nullable_id, whole_id
+
 #: Words of a bin, and documents of a shard (a parameter of memory and of how full the last bins are).
 CAPACITY, SHARD = 2048, 2000
 
@@ -61,7 +63,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
     nothing. Repeated rows are packed each, in different bins. An empty table gives no rows.
     """
     clean = F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), clean.alias("clean")).where("clean <> ''")
+    rows = docs.select(whole_id("doc_id"), F.col("source").cast("string").alias("source"), clean.alias("clean")).where("clean <> ''")
     rows = rows.select("doc_id", "source", (F.length("clean") - F.length(F.translate("clean", " ", "")) + 1).cast("long").alias("words"), F.xxhash64(F.lower("clean")).alias("cluster"))
     shards = max(1, -(-docs.select("doc_id").count() // shard))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / capacity))))
@@ -71,6 +73,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_words", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         b = best_fit(pdf["n_words"].tolist(), bits(pdf["source"]), bits(pdf["cluster"]), capacity)
-        return pd.DataFrame({"bin_id": [int(s) << 32 | x for s, x in zip(pdf["shard"], b, strict=True)], "doc_id": pdf["doc_id"].astype("Int64"), "piece": pdf["piece"], "start": pdf["start"], "n_words": pdf["n_words"]})
+        return pd.DataFrame({"bin_id": [int(s) << 32 | x for s, x in zip(pdf["shard"], b, strict=True)], "doc_id": pdf["doc_id"], "piece": pdf["piece"], "start": pdf["start"], "n_words": pdf["n_words"]})
 
-    return pieces.groupBy("shard").applyInPandas(fill, "bin_id long, doc_id long, piece long, start long, n_words long")
+    return nullable_id(pieces.groupBy("shard").applyInPandas(fill, "bin_id long, doc_id long, piece long, start long, n_words long"), "doc_id")

@@ -6,7 +6,7 @@ top-k: the k largest of weight plus Gumbel noise.
 
 N-grams of words: the word as it is, its first 4, 5 and 6 bytes in lower case, its last 2 bytes, and whether it repeats
 the word before. The raw model counts every document. The target model and the cut are fitted on a bounded sample of
-labelled documents (LABELLED), half of it for each.
+labelled documents (LABELLED), three quarters of it for the model and one for the cut.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lattis.llm.components import keep
 from lattis.llm.hashing import LOWER, SPACE, TABLE, U, as_bytes, mix, powers, steps
+from lattis.llm.shards import nullable_id, whole_id
 
 #: Most labelled documents that the target model and the cut are fitted on: those of the smallest hashes of doc_id.
 LABELLED = 20_000
@@ -106,9 +107,9 @@ def weigh(docs: DataFrame, log: np.ndarray) -> DataFrame:
             for a, b in steps(texts):
                 cell, owner, n = ngrams(texts[a:b])
                 w = np.bincount(owner, weights=table.value[cell], minlength=b - a) / np.sqrt(np.maximum(n, 1))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].astype("Int64"), "log_weight": np.round(w, 9)})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b], "log_weight": np.round(w, 9)})
 
-    return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, log_weight double")
+    return nullable_id(docs.select(whole_id("doc_id"), "text").mapInPandas(score, "doc_id long, log_weight double"), "doc_id")
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
@@ -159,7 +160,7 @@ def resample(docs: DataFrame, labels: DataFrame, most: int = LABELLED, temperatu
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(1)) == 0)
     sample = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce(good, F.lit(False)).cast("int")).alias("good"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = keep(sample.withColumn("role", F.when(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) == 1, F.lit(2)).otherwise(F.col("good"))))
+    sample = keep(sample.withColumn("role", F.when(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 3, F.lit(2)).otherwise(F.col("good"))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     log = fit_ratio(rows.join(F.broadcast(sample.select("doc_id", "role")), "doc_id", "left").select("text", "role"))
     weights = keep(weigh(rows, log))

@@ -19,15 +19,17 @@ from lattis.llm.hashing import mix, steps
 NO_ID = np.int64((1 << 63) - 1)
 
 
-def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(ids.view(np.uint64), 17) % np.uint64(shards)).astype(np.int32)
+def whole_id(name: str):
+    """A long id for pandas, which would make floats of longs with nulls: NO_ID for null."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(int(NO_ID))).alias(name)
+
 
+def nullable_id(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.nullif(F.col(name), F.lit(int(NO_ID))))
 
-def ids_of(column: pd.Series) -> np.ndarray:
-    """doc_ids as whole numbers, NO_ID for null."""
-    if column.dtype == np.int64:
-        return column.to_numpy()
-    return np.fromiter((NO_ID if x is None or x != x else int(x) for x in column.astype(object)), dtype=np.int64, count=len(column))
+
+def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64), 17) % np.uint64(shards)).astype(np.int32)
 
 
 def packed_texts(docs: DataFrame, shards: int) -> DataFrame:
@@ -48,7 +50,7 @@ def packed_texts(docs: DataFrame, shards: int) -> DataFrame:
                 out.append(zip_.compress(b"".join([np.int64(b - a).tobytes(), ids[order[a:b]].tobytes(), size.tobytes(), *(t for t in raw if t)])))
             yield pd.DataFrame({"shard": found, "docs": out})
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(whole_id("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(pack, "shard int, docs binary")
 
 

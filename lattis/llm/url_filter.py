@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattis.llm.components import keep
+from lattis.llm.shards import nullable_id, whole_id
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict)
@@ -47,13 +48,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     tables give no rows (pages) or the default (rules).
     """
     host, path = host_and_path(F.col("url").cast("string"))
-    points = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    points = pages.select(whole_id("page_id"), host.alias("host"), path.alias("path"))
     points = points.withColumn("key", host_key(F.col("host")))
     rules = rules.where("host is not null and path is not null and verdict is not null")
     rules = rules.groupBy(F.translate(F.col("host"), UPPER, LOWER).alias("host"), "path").agg(F.min("verdict").alias("verdict"))
     rules = keep(rules.where("host <> ''").withColumn("key", host_key(F.col("host"))))
     both = points.select("key", "page_id", "host", "path", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("verdict"))
-    both = both.unionByName(rules.select("key", F.lit(None).cast("long").alias("page_id"), "host", "path", F.lit(0).alias("kind"), "verdict"))
+    both = both.unionByName(rules.select("key", F.lit(0).cast("long").alias("page_id"), "host", "path", F.lit(0).alias("kind"), "verdict"))
     partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     swept = keep(both.repartitionByRange(partitions, "key", "kind", "page_id").sortWithinPartitions("key", "kind", "page_id").withColumn("part", F.spark_partition_id()))
     # the rules open where a range begins: those on the first key and its ancestors
@@ -63,7 +64,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     opened = first.select("part", F.explode(ancestors).alias("key")).join(rules, "key")
     opened = opened.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("key", "host", "path", "verdict"))).alias("opened"))
     rows = swept.withColumn("opened", F.lit(None).cast("array<struct<key:string,host:string,path:string,verdict:string>>"))
-    starts = opened.select(F.lit("").alias("key"), F.lit(None).cast("long").alias("page_id"), F.lit("").alias("host"), F.lit("").alias("path"), F.lit(-1).alias("kind"), F.lit(None).cast("string").alias("verdict"), "part", "opened")
+    starts = opened.select(F.lit("").alias("key"), F.lit(0).cast("long").alias("page_id"), F.lit("").alias("host"), F.lit("").alias("path"), F.lit(-1).alias("kind"), F.lit(None).cast("string").alias("verdict"), "part", "opened")
     rows = rows.unionByName(starts)
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -96,7 +97,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
                     if hit and (best is None or len(hit[0]) > len(best[0])):
                         best = hit
                 out.append((page, host, path, best[0] if best else None, best[1] if best else default))
-        return pd.DataFrame(out, columns=["page_id", "host", "path", "rule", "verdict"]).astype({"page_id": "Int64"})
+        return pd.DataFrame(out, columns=["page_id", "host", "path", "rule", "verdict"]).astype({"page_id": "int64"})
 
     rows = rows.withColumn("kind_first", (F.col("kind") >= 0).cast("int"))
-    return rows.groupBy("part").applyInPandas(sweep, "page_id long, host string, path string, rule string, verdict string")
+    return nullable_id(rows.groupBy("part").applyInPandas(sweep, "page_id long, host string, path string, rule string, verdict string"), "page_id")
