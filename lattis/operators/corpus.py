@@ -273,3 +273,14 @@ def labelled_entries(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("used", F.coalesce(F.max(F.col("key").isNotNull().cast("int")).over(inside), F.lit(0)))
     rows = rows.withColumn("ended", F.max((F.col("blank") & (F.col("used") == 1)).cast("int")).over(inside)).withColumn("held", F.first("label").over(inside))
     return rows.where("key is not null").select("file", "line_no", "key", "index", F.when(F.col("ended") == 1, "").otherwise(F.coalesce("held", F.lit(""))).alias("label"))
+
+
+# Modifier classes that tell what a protection does.
+PROTECTION_CLASSES = {"hit_success_probability": "chance to be hit", "kill_probability": "chance to be killed", "damage": "damage"}
+
+
+def hit_protection(modifiers: DataFrame, classes: dict[str, str] = PROTECTION_CLASSES) -> DataFrame:
+    """(entity, facts): labelled modifiers whose input state is death, in order. modifiers: entity, pos, class, input, output, value."""
+    label = F.element_at(F.create_map(*[F.lit(x) for kv in classes.items() for x in kv]), F.col("class"))
+    rows = modifiers.where((F.col("input") == "death") & F.col("class").isin(list(classes))).withColumn("fact", F.struct("pos", label.alias("label"), "output", "value"))
+    return rows.groupBy("entity").agg(F.transform(F.sort_array(F.collect_list("fact")), lambda f: F.concat_ws(" ", f["label"], f["output"], f["value"])).alias("facts"))
