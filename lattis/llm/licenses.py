@@ -80,7 +80,7 @@ def scan(docs: DataFrame, sentence_ids: dict[str, list[str]] | None = None, rule
     rules = sorted(rules or RULES, key=lambda r: (-len(r[1]), r[1]))
     names = spark.createDataFrame(list(known.items()), "sentence string, sid string")
     told = docs.select("doc_id", sentences(F.col("text").cast("string")).alias("s")).where("s is not null")
-    told = told.select("doc_id", F.posexplode(F.filter(F.transform("s", F.trim), lambda x: x != "")).alias("pos", "sentence"))
+    told = told.select("doc_id", F.posexplode(F.filter(F.transform("s", lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "sentence"))
     hits = told.join(F.broadcast(names), "sentence")
     rows = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sid"))).alias("ids"))
     rows = rows.withColumn("line", F.concat(F.lit(" "), F.array_join(F.transform("ids", lambda x: F.concat(x["sid"], F.lit("  "))), "")))

@@ -54,7 +54,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_substring_dedup, op4_license_scan, op5_url_filter, op6_bestfit_packing, op7_html_extract, op8_decontaminate, op9_quality_resample, op10_jaccard_join)}
 
+KNOWN = ", ".join(f"('{licenses.normal(t)}', '{name}')" for name, texts in licenses.SENTENCES.items() for t in texts)
+ORDERED = sorted(licenses.RULES, key=lambda r: (-len(r[1]), r[1]))
+PATTERN = "|".join("".join(f" {x} " for x in seq) for _, seq in ORDERED)
+MEANT = ", ".join(f"('{''.join(f' {x} ' for x in seq)}', '{name}')" for name, seq in ORDERED)
+
 ORACLE_SQL = {
+    "op4_license_scan": rf"""
+WITH k(sentence, sid) AS (VALUES {KNOWN}), meant(m, licence) AS (VALUES {MEANT}),
+a AS (SELECT doc_id, regexp_replace(lower(regexp_replace(regexp_replace(text, '[.!?]+(\s|$)', chr(1) || '\1', 'g'), '\n|;', chr(1), 'g')), '[^a-z0-9' || chr(1) || ']+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM a),
+e AS (SELECT doc_id, unnest(ss) AS sentence, unnest(range(len(ss))) AS pos FROM s),
+l AS (SELECT doc_id, ' ' || string_agg(sid || '  ', '' ORDER BY pos, sid) AS line, min(pos) AS first_sentence FROM e JOIN k USING (sentence) GROUP BY doc_id),
+f AS (SELECT doc_id, first_sentence, unnest(regexp_extract_all(line, '({PATTERN})')) AS m FROM l
+      UNION ALL SELECT doc_id, first_sentence, unnest(list_filter(string_split(regexp_replace(line, '{PATTERN}', ' ', 'g'), ' '), lambda x: x <> '')) AS m FROM l)
+SELECT doc_id, coalesce(licence, 'unmatched') AS licence, count(*) AS n_found, min(first_sentence) AS first_sentence FROM f LEFT JOIN meant USING (m) GROUP BY 1, 2
+""",
     "op1_topk_search": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
