@@ -106,7 +106,7 @@ def mentioned_keys(text: Column) -> Column:
 
 def mentioned_names(text: Column, most: int = 10) -> Column:
     """Distinct bold names of 2 to 50 characters with a Latin letter or digit."""
-    names = F.transform(F.regexp_extract_all(text, F.lit(r"\*\*([^*]+)\*\*"), F.lit(1)), F.trim)
+    names = F.transform(F.regexp_extract_all(text, F.lit(r"\*\*([^*]+)\*\*"), F.lit(1)), lambda n: F.trim(n))
     return F.slice(F.array_distinct(F.filter(names, lambda n: F.length(n).between(2, 50) & n.rlike("[a-zA-Z0-9]"))), 1, most)
 
 
