@@ -95,6 +95,15 @@ def edge_targets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def ancestor_chain(requests: DataFrame, targets: DataFrame, most: int = 15) -> DataFrame:
+    """(rid, key, mod, depth, ambiguous_in): chain_above() for each request (rid, key, mod), walked once for equal ones."""
+    asked = requests.select("rid", F.lower("key").alias("start"), F.col("mod").alias("scope"))
+    starts = asked.select(F.struct("start", "scope").alias("rid"), F.col("start").alias("key"), F.col("scope").alias("mod")).distinct()
+    chain = chain_above(starts, targets, most).withColumnRenamed("rid", "s")
+    on = (asked["start"] == chain["s"]["start"]) & asked["scope"].eqNullSafe(chain["s"]["scope"])
+    return asked.join(chain, on).select("rid", "key", "mod", "depth", "ambiguous_in")
+
+
+def chain_above(requests: DataFrame, targets: DataFrame, most: int = 15) -> DataFrame:
     """(rid, key, mod, depth, ambiguous_in): layers above each request, breadth first.
 
     requests: rid, key, mod; targets: edge_targets() of the `extends` edges. A key is visited once for a request,
