@@ -231,12 +231,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, lower: bo
         if len(names) == 1:
             return pd.DataFrame(columns=["bucket", "shard", "n", "data"])
         (names,), low, high = lowest([np.concatenate(names)], np.concatenate(who).view(np.int64))
-        # a bucket is a range of mixed names: names themselves begin with their rank
-        order = np.argsort(mix(names, 3))
-        return packed([mix(names, 3)[order], names[order]], low[order].view(np.uint64), high[order].view(np.uint64), int(pdf["shard"].iloc[0]), buckets)
+        return packed([names], low.view(np.uint64), high.view(np.uint64), int(pdf["shard"].iloc[0]), buckets, mix(names, 3))
 
     def leaders(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, names, low, high = opened(pdf["n"], pdf["data"], 2)
+        names, low, high = opened(pdf["n"], pdf["data"], 1)
         low, high = low.view(np.int64), high.view(np.int64)
         shard = np.repeat(pdf["shard"].to_numpy(), pdf["n"])
         order = np.argsort(names, kind="stable")

@@ -124,9 +124,12 @@ def lowest(keys: list[np.ndarray], ids: np.ndarray):
 PACKED = "bucket int, shard int, n int, data binary"
 
 
-def packed(keys: list[np.ndarray], low: np.ndarray, high: np.ndarray, shard: int, buckets: int) -> pd.DataFrame:
-    """One row for each bucket: n of each key, then n smallest ids and n distances to the largest, byte by byte to compress well."""
-    to = ((keys[0] >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+def packed(keys: list[np.ndarray], low: np.ndarray, high: np.ndarray, shard: int, buckets: int, spread: np.ndarray | None = None) -> pd.DataFrame:
+    """One row for each bucket: n of each key, then n smallest ids and n distances to the largest, byte by byte to compress well.
+
+    A bucket is a range of the first keys, or of spread if keys are not even.
+    """
+    to = (((keys[0] if spread is None else spread) >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     cols = [x[order] for x in (*keys, low, high - low)]
     cut = np.searchsorted(to[order], np.arange(buckets + 1))
