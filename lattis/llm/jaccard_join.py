@@ -161,7 +161,7 @@ class Merger:
 
 def block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links that connect what is connected within a block. Rows: doc_id, part (0: stored, 1: only asks), label, data."""
-    pdf = pdf.drop_duplicates(["doc_id", "data"])
+    pdf = pdf.drop_duplicates(["doc_id", "part", "data"])  # a document may be stored in the block it asks
     ids, part = pdf["doc_id"].to_numpy(), pdf["part"].to_numpy()
     sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["data"]]
     stored = np.flatnonzero(part == 0)

@@ -111,6 +111,18 @@ def test_jaccard_components(spark, monkeypatch, block, percent, n):
     assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows, n, percent)
 
 
+def test_block_links_ask_before_stored():
+    """Documents that ask the block that stores them stay in its trie, whichever of their two rows comes first."""
+    import numpy as np
+    import pandas as pd
+
+    data = np.arange(20, dtype=np.uint64).tobytes()
+    rows = [(1, 1, 1, data), (2, 1, 2, data), (1, 0, 1, data)]
+    for order in (rows, rows[::-1]):
+        got = jaccard_join.block_links(pd.DataFrame(order, columns=["doc_id", "part", "label", "data"]), 90)
+        assert got.values.tolist() == [[2, 1]]
+
+
 def test_jaccard_awkward(spark):
     df = awkward(spark)
     got = jaccard_join.jaccard_components(df)
