@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lattis.llm.components import components, keep
 from lattis.llm.hashing import U, as_bytes, combine, mix, steps, windows, words
-from lattis.llm.shards import documents, nullable_id, packed_texts, shard_of, whole_id
+from lattis.llm.shards import NO_ID, documents, nullable_id, packed_texts, shard_of, whole_id
 from lattis.llm.substring_dedup import lowest, opened, packed, unpacked
 
 #: Cells of the word counts behind the order: 256 kB of 32-bit counts, whatever the corpus.
@@ -250,7 +250,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, lower: bo
         return pd.DataFrame([(int(s), int(b - a), names[order[a:b]].tobytes() + least[order[a:b]].tobytes()) for s, a, b in zip(found, cut[:-1], cut[1:], strict=True)], columns=["shard", "n", "data"])
 
     back = by_shard.cogroup(reps.groupBy("shard")).applyInPandas(first_shingles, "bucket int, shard int, n int, data binary").groupBy("bucket").applyInPandas(leaders, "shard int, n int, data binary")
-    told = back.select("shard", "n", "data", F.lit(None).cast("long").alias("doc_id")).unionByName(reps.select("shard", F.lit(0).alias("n"), F.lit(None).cast("binary").alias("data"), "doc_id"))
+    # names have no id; NO_ID keeps the column whole, as a null would make floats of all ids
+    told = back.select("shard", "n", "data", F.lit(int(NO_ID)).alias("doc_id")).unionByName(reps.select("shard", F.lit(0).alias("n"), F.lit(None).cast("binary").alias("data"), "doc_id"))
 
     def groups(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         mine = back[back["data"].isna()]

@@ -111,6 +111,15 @@ def test_jaccard_components(spark, monkeypatch, block, percent, n):
     assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows, n, percent)
 
 
+def test_jaccard_large_ids(spark):
+    """Ids that floats can't hold."""
+    rows = [((1 << 62) - 1 - i, t) for i, t in near_copies(7, 30)]
+    got = jaccard_join.jaccard_components(documents(spark, [(i, t, "en", "s") for i, t in rows]), 3, 80)
+    want = brute_components(rows, 3, 80)
+    assert len({c for _, _, c in want}) < len({t for _, t in rows})
+    assert sorted(map(tuple, got.collect()), key=str) == want
+
+
 def test_block_links_ask_before_stored():
     """Documents that ask the block that stores them stay in its trie, whichever of their two rows comes first."""
     import numpy as np
