@@ -3,7 +3,8 @@
 Numbers, names and units of a text become typed placeholders; what is left of a word is its letters and digits in lower
 case. Windows of the template are hash-joined with those of the benchmark. A window that matches with other slot values
 counts if the values are consistent: over all windows of one alignment, equal benchmark values face equal document
-values. So a passage is found as it is, in other punctuation or case, and with its parameters changed.
+values. So a passage is found as it is, in other punctuation or case, and with its parameters changed. Windows of mostly
+placeholders match with equal slot values only. Windows with equal slot values count without a consistent alignment too.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lattis.llm.components import keep
 
-#: Words of a window; fewer if an item is shorter. A window needs LITERAL words that are no placeholders (all, if shorter).
+#: Words of a window; fewer if an item is shorter. A window with fewer than LITERAL words that are no placeholders is dense.
 WINDOW, LITERAL = 8, 5
 #: Keys of the benchmark that are still broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_KEYS = 1_000_000
@@ -34,8 +35,11 @@ def template(text: Column) -> Column:
     return F.lower(F.regexp_replace(unit, "[^\\p{L}\\p{M}\\p{N}\u0001-\u0003 ]+", ""))
 
 
-def window_rows(texts: DataFrame, key: str, window: int) -> DataFrame:
-    """(key, pos, hash, slots) of each window; slots: the words behind its placeholders, without case and outer punctuation, null if there are none."""
+def window_rows(texts: DataFrame, key: str, window: int, literal: int) -> DataFrame:
+    """(key, pos, hash, slots, dense) of each window; slots: the words behind its placeholders, without case and outer punctuation, null if there are none.
+
+    The hash of a dense window is of its template and its slots.
+    """
     rows = texts.select(key, spaced(F.col("text").cast("string")).alias("raw")).where("raw <> ''")
     rows = rows.select(key, "raw", template(F.col("raw")).alias("shape"))
     holed = F.col("shape").rlike("[\u0001-\u0003]")
@@ -49,37 +53,46 @@ def window_rows(texts: DataFrame, key: str, window: int) -> DataFrame:
         return F.struct(i.alias("pos"), F.xxhash64(F.slice("shape", i, size)).alias("hash"), F.when(F.size(slots) > 0, slots).alias("slots"))
 
     every = F.transform(F.sequence(F.lit(1), F.size("shape") - size + 1), at)
-    return rows.select(key, F.explode(every).alias("w")).select(key, "w.*")
+    rows = rows.select(key, size.alias("n"), F.explode(every).alias("w")).select(key, "n", "w.*")
+    rows = rows.withColumn("dense", F.col("n") - F.when(F.col("slots").isNull(), 0).otherwise(F.size("slots")) < F.least(F.lit(literal), "n"))
+    return rows.select(key, "pos", F.when(F.col("dense"), F.xxhash64("hash", "slots")).otherwise(F.col("hash")).alias("hash"), "slots", "dense")
 
 
 def benchmark_windows(bench: DataFrame, window: int, literal: int) -> DataFrame:
-    """(item_id, pos, hash, islots) of the windows with enough literal words."""
-    rows = window_rows(bench, "item_id", window)
-    lengths = bench.select("item_id", F.size(F.split(spaced(F.col("text").cast("string")), " ")).alias("words"))
-    rows = rows.join(lengths.groupBy("item_id").agg(F.max("words").alias("words")), "item_id")
-    # short items match as a whole
-    need = F.least(F.lit(literal), F.least(F.lit(window), F.col("words")))
-    return rows.where(F.least(F.lit(window), F.col("words")) - F.coalesce(F.size("slots"), F.lit(0)) >= need).select("item_id", "pos", "hash", F.col("slots").alias("islots")).distinct()
+    """(item_id, pos, hash, islots, dense) of the windows."""
+    rows = window_rows(bench, "item_id", window, literal)
+    return rows.select("item_id", "pos", "hash", F.col("slots").alias("islots"), "dense").distinct()
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, literal: int = LITERAL) -> DataFrame:
     """Documents that hold a passage of the benchmark: doc_id, item_id, n_windows, n_slots, exact.
 
     docs: doc_id, text; bench: item_id, text. One row for each pair with a consistent alignment, with its largest number
-    of matched windows, the number of benchmark slot values in it, and whether all of them are unchanged.
+    of matched windows that aren't dense, the number of benchmark slot values in it, and whether all of them are
+    unchanged. A pair without one has a row if any window matches with equal slot values, dense ones too; these are
+    counted then.
 
     Null and empty texts match nothing; items of fewer words than a window match as one window against windows of
     `window` words only where a document is as short. Repeated rows of either table count once; null ids take part as a
     document or item of their own. Empty tables give no rows.
     """
     keys = keep(benchmark_windows(bench, window, literal))
-    found = window_rows(docs.select("doc_id", "text"), "doc_id", window)
+    found = window_rows(docs.select("doc_id", "text"), "doc_id", window, literal).drop("dense")
     small = keys.count() <= BROADCAST_KEYS
     match = found.withColumnRenamed("pos", "dpos").join(F.broadcast(keys) if small else keys, "hash")
     match = match.withColumn("offset", F.col("dpos") - F.col("pos"))
     pairs = F.coalesce(F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d")), F.array().cast("array<struct<i:string,d:string>>"))
-    aligned = match.groupBy("doc_id", "item_id", "offset").agg(F.count_distinct("pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    aligned = aligned.withColumn("n_slots", F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))).cast("long"))
-    aligned = aligned.where(F.size("pairs") == F.col("n_slots")).withColumn("exact", F.forall("pairs", lambda p: p["i"] == p["d"]))
-    best = aligned.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "exact", "n_slots")).alias("best"))
+    open_, same = ~F.col("dense"), F.col("islots").isNull() | (F.col("islots") == F.col("slots"))
+    aligned = match.groupBy("doc_id", "item_id", "offset").agg(
+        F.size(F.collect_set(F.when(open_, F.col("pos")))).alias("n_open"), F.array_distinct(F.flatten(F.collect_set(F.when(open_, pairs)))).alias("pairs"),
+        F.size(F.collect_set(F.when(same, F.col("pos")))).alias("n_same"), F.size(F.array_distinct(F.flatten(F.collect_set(F.when(same, F.col("islots")))))).alias("same_slots"),
+    )
+    n_slots = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
+    aligned = aligned.withColumn("consistent", (F.col("n_open") > 0) & (F.size("pairs") == n_slots)).where("consistent or n_same > 0")
+
+    def pick(whole: Column, verbatim: Column) -> Column:
+        return F.when(F.col("consistent"), whole).otherwise(verbatim)
+
+    row = F.struct("consistent", pick(F.col("n_open"), F.col("n_same")).cast("long").alias("n_windows"), pick(F.forall("pairs", lambda p: p["i"] == p["d"]), F.lit(True)).alias("exact"), pick(n_slots, F.col("same_slots")).cast("long").alias("n_slots"))
+    best = aligned.groupBy("doc_id", "item_id").agg(F.max(row).alias("best"))
     return best.select("doc_id", "item_id", "best.n_windows", "best.n_slots", "best.exact")

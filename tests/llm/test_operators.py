@@ -244,6 +244,16 @@ def test_decontaminate(spark):
     assert planted <= found
 
 
+def test_decontaminate_verbatim_windows(spark):
+    """Passages with an inconsistent slot beside them or mostly of names and numbers."""
+    items = [(1, "from 7 to 7 they went on and on all day long"), (2, "So Alice paid 3 dollars, Bob paid 4 dollars, Carol paid 5 dollars")]
+    texts = ["from 7 to 9 they went on and on all day long", "then Alice paid 3 dollars, Bob paid 4 dollars, Carol paid 5 dollars each", "then Alice paid 8 dollars, Bob paid 9 dollars, Carol paid 6 dollars each"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_slots, r.exact) for r in decontaminate.contaminated(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), bench).collect()}
+    assert got[0, 1] == (1, 0, True)
+    assert (1, 2) in got and (2, 2) not in got
+
+
 def test_quality(spark):
     df, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     kept = {r.doc_id for r in quality.resample(df, labels).collect()}
