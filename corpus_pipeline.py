@@ -34,10 +34,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that a document with a smaller doc_id holds go; a text of which nothing goes stays as it is.
 
-    A document of which nothing is left goes as a whole.
+    A document of which nothing is left goes as a whole. Rows with one doc_id, or none, are judged each by its own text.
     """
-    cut = substring_dedup(docs, with_text=True).where("n_removed > 0").select("doc_id", F.col("text").alias("cut"), "n_words", "n_removed")
-    rows = docs.join(cut.dropDuplicates(["doc_id"]), "doc_id", "left").where("n_removed is null or n_removed < n_words")
+    cut = substring_dedup(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "text_md5", F.col("text").alias("cut"), "n_words", "n_removed")
+    cut = cut.dropDuplicates(["cut_id", "text_md5"])
+    own = F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
+    rows = docs.join(cut, docs["doc_id"].eqNullSafe(cut["cut_id"]) & (own == cut["text_md5"]), "left").where("n_removed is null or n_removed < n_words")
     rows = rows.withColumn("text", F.coalesce("cut", "text"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

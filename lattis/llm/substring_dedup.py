@@ -166,7 +166,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
 
     docs: doc_id (whole number), text; other columns are ignored. Words are maximal runs of bytes other than ASCII white
     space. Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), and with_text the kept
-    text: the whole text as it was if nothing goes, else the kept words joined by one space.
+    text: the whole text as it was if nothing goes, else the kept words joined by one space; and text_md5, the MD5 of the
+    text as it was (null where nothing goes), which names a row beside its doc_id.
 
     A null or empty text has no words, and the hash of the empty string; a null text stays null. Rows with one doc_id are
     judged each by itself and don't remove from one another. A null doc_id counts as larger than any. An empty table gives
@@ -260,8 +261,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
                 kept = b" ".join(compress(text.split(), ~mask) if n_gone else text.split())
                 row = (None if ids[i] == NO_ID else int(ids[i]), len(mask), n_gone, hashlib.sha256(kept).hexdigest())
                 whole = kept if n_gone else raw[i]
-                out.append((*row, None if whole is None else whole.decode("utf-8", "replace")) if with_text else row)
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text
+                out.append((*row, None if whole is None else whole.decode("utf-8", "replace"), hashlib.md5(text).digest() if n_gone else None) if with_text else row)
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text", "text_md5"] * with_text
         result = pd.DataFrame(out, columns=names)
         result["doc_id"] = result["doc_id"].astype("Int64")
         return result
@@ -270,7 +271,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     by_shard = packed_texts(docs, shards).groupBy("shard")
     known = by_shard.applyInPandas(symbols, PACKED).groupBy("bucket").applyInPandas(shared(1), back_type)
     least = by_shard.cogroup(known.groupBy("shard")).applyInPandas(candidates, PACKED).groupBy("bucket").applyInPandas(shared(2), back_type)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string, text_md5 binary" * with_text
     return by_shard.cogroup(least.groupBy("shard")).applyInPandas(removed, schema)
 
 

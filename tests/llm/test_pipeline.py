@@ -37,5 +37,16 @@ def test_stages(spark, tmp_path):
         docs = out
 
 
+def test_passages_repeated_and_null_ids(spark):
+    """Each row gets the decision on its own text."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    shared, own = words("s", 20), words("o", 20)
+    rows = [(1, shared), (2, shared), (2, own), (2, shared + " tail two"), (None, shared + " end null"), (None, shared)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = sorted(map(tuple, corpus_pipeline.passages(spark, docs, SF).collect()), key=str)
+    want = [(1, shared), (2, own), (2, "tail two"), (None, "end null")]
+    assert got == sorted(((i, t, len(t)) for i, t in want), key=str)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
