@@ -4,7 +4,7 @@ Numbers, names and units of a text become typed placeholders; what is left of a
 case. Windows of the template are hash-joined with those of the benchmark. A window that matches with other slot values
 counts if the values are consistent: over all windows of one alignment, equal benchmark values face equal document
 values. So a passage is found as it is, in other punctuation or case, and with its parameters changed. Windows of mostly
-placeholders match with equal slot values only. Windows with equal slot values count without a consistent alignment too.
+placeholders (dense) match with equal slot values only. Windows with equal slot values count without a consistent alignment too.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from lattis.llm.components import keep
 
-#: Words of a window; fewer if an item is shorter. A window with fewer than LITERAL words that are no placeholders is dense.
+#: Words of a window; an item of fewer is one window. A window with fewer than LITERAL words that are no placeholders is dense.
 WINDOW, LITERAL = 8, 5
-#: Keys of the benchmark that are still broadcast (16 bytes each); beyond, the join shuffles.
-BROADCAST_KEYS = 1_000_000
+#: Bytes of benchmark windows that are still broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 64 << 20
 #: Unit words that follow a number.
 UNITS = "kg|g|mg|lb|oz|km|m|cm|mm|mi|mile|miles|ft|in|inch|inches|meter|meters|metre|metres|l|ml|s|sec|seconds|min|minutes|h|hour|hours|day|days|week|weeks|year|years|usd|eur|dollar|dollars|cent|cents|euro|euros|percent"
 
@@ -29,39 +29,55 @@ def spaced(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """The template of a spaced text, word by word. A name is a capitalised word that does not open a sentence or line."""
-    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;)] )\p{Lu}\p{Ll}+(?=[^\p{L}\p{N}]|$)", "\u0001")
-    number = F.regexp_replace(named, r"(?<![\p{L}\p{N}])\p{N}+(?:[.,:]\p{N}+)*(?![\p{L}\p{N}])", "\u0002")
-    unit = F.regexp_replace(number, rf"(?i)(?<=\u0002 )(?:{UNITS})(?=[^\p{{L}}\p{{N}}]|$)", "\u0003")
+    # looking ahead first costs little at most places; looking behind is left for the few that pass
+    named = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;)] )\p{Lu}\p{Ll}+(?=[^\p{L}\p{N}]|$)", "\u0001")
+    number = F.regexp_replace(named, r"(?=\p{N})(?<![\p{L}\p{N}])\p{N}+(?:[.,:]\p{N}+)*(?![\p{L}\p{N}])", "\u0002")
+    unit = F.when(F.instr(number, "\u0002 ") > 0, F.regexp_replace(number, rf"(?i)(?<=\u0002 )(?:{UNITS})(?=[^\p{{L}}\p{{N}}]|$)", "\u0003")).otherwise(number)
     return F.lower(F.regexp_replace(unit, "[^\\p{L}\\p{M}\\p{N}\u0001-\u0003 ]+", ""))
 
 
-def window_rows(texts: DataFrame, key: str, window: int, literal: int) -> DataFrame:
-    """(key, pos, hash, slots, dense) of each window; slots: the words behind its placeholders, without case and outer punctuation, null if there are none.
+def words_of(texts: DataFrame, key: str) -> DataFrame:
+    """(key, raw, shape) of texts that have words: the text with one space between words, and the words of its template."""
+    # a filter on what is computed would compute it twice, so texts without words go by their own look
+    rows = texts.select(key, F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.select(key, spaced(F.col("text")).alias("raw")).select(key, "raw", F.split(template(F.col("raw")), " ").alias("shape"))
 
-    The hash of a dense window is of its template and its slots.
-    """
-    rows = texts.select(key, spaced(F.col("text").cast("string")).alias("raw")).where("raw <> ''")
-    rows = rows.select(key, "raw", template(F.col("raw")).alias("shape"))
-    holed = F.col("shape").rlike("[\u0001-\u0003]")
-    shape, raw = F.split("shape", " "), F.split("raw", " ")
-    slot = F.when(holed, F.zip_with(shape, raw, lambda s, r: F.when(s.rlike("[\u0001-\u0003]"), F.lower(F.regexp_replace(r, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))))
-    rows = rows.select(key, shape.alias("shape"), slot.alias("slot"))
-    size = F.least(F.lit(window), F.size("shape"))
 
-    def at(i: Column) -> Column:
-        slots = F.when(F.col("slot").isNotNull(), F.filter(F.slice("slot", i, size), lambda x: x.isNotNull()))
-        return F.struct(i.alias("pos"), F.xxhash64(F.slice("shape", i, size)).alias("hash"), F.when(F.size(slots) > 0, slots).alias("slots"))
+def hash_of(n: Column, lengths: list[int]) -> Column:
+    """The hash of the n words of shape from pos on; n is one of lengths."""
+    out = F.lit(None).cast("long")
+    for length in lengths:
+        out = F.when(n == length, F.xxhash64(*[F.get("shape", F.col("pos") - 1 + k) for k in range(length)])).otherwise(out)
+    return out
+
 
-    every = F.transform(F.sequence(F.lit(1), F.size("shape") - size + 1), at)
-    rows = rows.select(key, size.alias("n"), F.explode(every).alias("w")).select(key, "n", "w.*")
-    rows = rows.withColumn("dense", F.col("n") - F.when(F.col("slots").isNull(), 0).otherwise(F.size("slots")) < F.least(F.lit(literal), "n"))
-    return rows.select(key, "pos", F.when(F.col("dense"), F.xxhash64("hash", "slots")).otherwise(F.col("hash")).alias("hash"), "slots", "dense")
+def slots_of(n: Column) -> Column:
+    """The words behind the placeholders of the n words from pos on, without case and outer punctuation; null if there are none."""
+    def value(s: Column, r: Column) -> Column:
+        return F.when(s.rlike("[\u0001-\u0003]"), F.lower(F.regexp_replace(r, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+
+    slots = F.filter(F.zip_with(F.slice("shape", F.col("pos"), n), F.slice(F.split("raw", " "), F.col("pos"), n), value), lambda x: x.isNotNull())
+    return F.when(F.size(slots) > 0, slots)
 
 
 def benchmark_windows(bench: DataFrame, window: int, literal: int) -> DataFrame:
-    """(item_id, pos, hash, islots, dense) of the windows."""
-    rows = window_rows(bench, "item_id", window, literal)
-    return rows.select("item_id", "pos", "hash", F.col("slots").alias("islots"), "dense").distinct()
+    """(item_id, pos, n, hash, islots, dense) of the windows."""
+    n = F.least(F.lit(window), F.size("shape"))
+    rows = words_of(bench, "item_id").select("item_id", "raw", "shape", n.alias("n"), F.explode(F.sequence(F.lit(1), F.size("shape") - n + 1)).alias("pos"))
+    rows = rows.select("item_id", "pos", "n", hash_of(F.col("n"), list(range(1, window + 1))).alias("hash"), slots_of(F.col("n")).alias("islots"))
+    literals = F.col("n") - F.coalesce(F.size("islots"), F.lit(0))
+    return rows.withColumn("dense", literals < F.least(F.lit(literal), "n")).distinct()
+
+
+def document_windows(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, raw, shape, n, pos, hash) of the windows of each length."""
+    last = F.size("shape") - min(lengths) + 1
+    rows = words_of(docs, "doc_id").select("doc_id", "raw", "shape", F.explode(F.when(last >= 1, F.sequence(F.lit(1), last))).alias("pos"))
+    n = F.lit(lengths[0])
+    if len(lengths) > 1:
+        rows, n = rows.select("doc_id", "raw", "shape", "pos", F.explode(F.array(*map(F.lit, lengths))).alias("n")), F.col("n")
+        rows = rows.where(F.col("pos") + F.col("n") - 1 <= F.size("shape"))
+    return rows.select("doc_id", "raw", "shape", n.alias("n"), "pos", hash_of(n, lengths).alias("hash"))
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, literal: int = LITERAL) -> DataFrame:
@@ -72,20 +88,27 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, litera
     unchanged. A pair without one has a row if any window matches with equal slot values, dense ones too; these are
     counted then.
 
-    Null and empty texts match nothing; items of fewer words than a window match as one window against windows of
-    `window` words only where a document is as short. Repeated rows of either table count once; null ids take part as a
-    document or item of their own. Empty tables give no rows.
+    An item of fewer words than a window is one window of its own length, looked for at every place of every text.
+
+    Null and empty texts match nothing. Repeated rows of either table count once; null ids take part as a document or item
+    of their own. Empty tables give no rows.
     """
     keys = keep(benchmark_windows(bench, window, literal))
-    found = window_rows(docs.select("doc_id", "text"), "doc_id", window, literal).drop("dense")
-    small = keys.count() <= BROADCAST_KEYS
-    match = found.withColumnRenamed("pos", "dpos").join(F.broadcast(keys) if small else keys, "hash")
-    match = match.withColumn("offset", F.col("dpos") - F.col("pos"))
-    pairs = F.coalesce(F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d")), F.array().cast("array<struct<i:string,d:string>>"))
+    lengths = sorted(r["n"] for r in keys.select("n").distinct().collect()) or [window]  # `window` numbers at most
+    found = document_windows(docs.select("doc_id", "text"), lengths)
+    told = F.concat_ws("", F.col("islots"), F.col("item_id").cast("string"))
+    size = keys.agg(F.sum(64 + F.octet_length(told))).first()[0] or 0
+    slots, keys = slots_of(F.col("n")), keys.select("item_id", F.col("pos").alias("at"), "hash", "islots", "dense")
+    held = ["doc_id", "item_id", "at", (F.col("pos") - F.col("at")).alias("offset"), "islots", "dense"]
+    if size <= BROADCAST_BYTES:  # slots are made only where a window with placeholders matches
+        match = found.join(F.broadcast(keys), "hash").select(*held, F.when(F.col("islots").isNotNull(), slots).alias("slots"))
+    else:
+        match = found.select("doc_id", "pos", "hash", slots.alias("slots")).join(keys, "hash").select(*held, "slots")
     open_, same = ~F.col("dense"), F.col("islots").isNull() | (F.col("islots") == F.col("slots"))
+    pairs = F.coalesce(F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d")), F.array().cast("array<struct<i:string,d:string>>"))
     aligned = match.groupBy("doc_id", "item_id", "offset").agg(
-        F.size(F.collect_set(F.when(open_, F.col("pos")))).alias("n_open"), F.array_distinct(F.flatten(F.collect_set(F.when(open_, pairs)))).alias("pairs"),
-        F.size(F.collect_set(F.when(same, F.col("pos")))).alias("n_same"), F.size(F.array_distinct(F.flatten(F.collect_set(F.when(same, F.col("islots")))))).alias("same_slots"),
+        F.size(F.collect_set(F.when(open_, F.col("at")))).alias("n_open"), F.array_distinct(F.flatten(F.collect_set(F.when(open_, pairs)))).alias("pairs"),
+        F.size(F.collect_set(F.when(same, F.col("at")))).alias("n_same"), F.size(F.array_distinct(F.flatten(F.collect_set(F.when(same, F.col("islots")))))).alias("same_slots"),
     )
     n_slots = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
     aligned = aligned.withColumn("consistent", (F.col("n_open") > 0) & (F.size("pairs") == n_slots)).where("consistent or n_same > 0")

@@ -63,29 +63,32 @@ SPACED = r"string_split(trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]
 NUMBER = lambda x: rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}])\p{{N}}+(?:[.,:]\p{{N}}+)*($|[^\p{{L}}\p{{N}}])', '\1' || chr(2) || '\2', 'g')"
 
 
-def template_sql(name: str, table: str, key: str) -> str:
-    """CTEs up to {name}(key, raw, shape): words of a text and of its template."""
+def template_sql(name: str, table: str, key: str, lengths: str) -> str:
+    """CTEs up to {name}w(key, pos, n, w, slots): the windows of a text's template, of each of the lengths."""
     return rf"""
 {name}0 AS (SELECT {key}, {SPACED} AS raw FROM {table} WHERE trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) <> ''),
 {name}1 AS (SELECT {key}, raw, list_transform(raw, lambda t, i: CASE WHEN i > 1 AND regexp_matches(raw[i - 1], '[\p{{L}}\p{{N}},;)]$') THEN regexp_replace(t, '^\p{{Lu}}\p{{Ll}}+([^\p{{L}}\p{{N}}]|$)', chr(1) || '\1') ELSE t END) AS a FROM {name}0),
 {name}2 AS (SELECT {key}, raw, list_transform(a, lambda t: {NUMBER(NUMBER('t'))}) AS b FROM {name}1),
 {name}3 AS (SELECT {key}, raw, list_transform(b, lambda t, i: CASE WHEN i > 1 AND ends_with(b[i - 1], chr(2)) THEN regexp_replace(t, '(?i)^(?:{decontaminate.UNITS})([^\p{{L}}\p{{N}}]|$)', chr(3) || '\1') ELSE t END) AS c FROM {name}2),
 {name} AS (SELECT {key}, raw, list_transform(c, lambda t: lower(regexp_replace(t, '[^\p{{L}}\p{{M}}\p{{N}}' || chr(1) || '-' || chr(3) || ']+', '', 'g'))) AS shape FROM {name}3),
-{name}w AS (SELECT {key}, i AS pos, n, len(shape) AS words, array_to_string(shape[i:i + n - 1], ' ') AS w,
+{name}w AS (SELECT {key}, i AS pos, n, array_to_string(shape[i:i + n - 1], ' ') AS w,
   list_transform(list_filter(range(i, i + n), lambda j: regexp_matches(shape[j], '[' || chr(1) || '-' || chr(3) || ']')), lambda j: lower(regexp_replace(raw[j], '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g'))) AS slots
-  FROM (SELECT *, least({decontaminate.WINDOW}, len(shape)) AS n, unnest(range(1, len(shape) - least({decontaminate.WINDOW}, len(shape)) + 2)) AS i FROM {name}))"""
+  FROM (SELECT *, unnest(range(1, len(shape) - n + 2)) AS i FROM (SELECT *, unnest({lengths}) AS n FROM {name}) WHERE n <= len(shape)))"""
 
 
 ORACLE_SQL = {
     "op8_decontaminate": f"""
-WITH {template_sql('b', 'benchmark', 'item_id')}, {template_sql('d', 'documents', 'doc_id')},
-k AS (SELECT DISTINCT item_id, pos, w, n, slots FROM bw WHERE n - len(slots) >= least({decontaminate.LITERAL}, n)),
-m AS (SELECT doc_id, item_id, dw.pos - k.pos AS o, k.pos AS pos, k.slots AS i, dw.slots AS d FROM dw JOIN k ON dw.w = k.w AND dw.n = k.n),
-s AS (SELECT doc_id, item_id, o, unnest(i) AS i, unnest(d) AS d FROM m),
+WITH {template_sql('b', 'benchmark', 'item_id', f'[least({decontaminate.WINDOW}, len(shape))]')}, {template_sql('d', 'documents', 'doc_id', '(SELECT list(DISTINCT n) FROM bw)')},
+k AS (SELECT DISTINCT item_id, pos, w, n, slots, n - len(slots) < least({decontaminate.LITERAL}, n) AS dense FROM bw),
+m AS (SELECT doc_id, item_id, dw.pos - k.pos AS o, k.pos AS pos, k.slots AS i, dw.slots AS d, dense, k.slots = dw.slots AS same FROM dw JOIN k ON dw.w = k.w AND dw.n = k.n),
+s AS (SELECT doc_id, item_id, o, unnest(i) AS i, unnest(d) AS d FROM m WHERE NOT dense),
 z AS (SELECT doc_id, item_id, o, count(DISTINCT (i, d)) AS p, count(DISTINCT i) AS n_slots, bool_and(i = d) AS exact FROM s GROUP BY ALL),
-g AS (SELECT doc_id, item_id, o, count(DISTINCT pos) AS n_windows FROM m GROUP BY ALL),
-a AS (SELECT g.*, coalesce(n_slots, 0) AS n_slots, coalesce(exact, true) AS exact FROM g LEFT JOIN z USING (doc_id, item_id, o) WHERE coalesce(p = n_slots, true))
-SELECT doc_id, item_id, n_windows, n_slots, exact FROM a QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, exact DESC, n_slots DESC) = 1
+t AS (SELECT doc_id, item_id, o, count(DISTINCT i) AS same_slots FROM (SELECT doc_id, item_id, o, unnest(i) AS i FROM m WHERE same) GROUP BY ALL),
+g AS (SELECT doc_id, item_id, o, count(DISTINCT pos) FILTER (NOT dense) AS n_open, count(DISTINCT pos) FILTER (same) AS n_same FROM m GROUP BY ALL),
+a AS (SELECT g.*, coalesce(n_slots, 0) AS n_slots, coalesce(same_slots, 0) AS same_slots, coalesce(exact, true) AS exact, n_open > 0 AND coalesce(p = n_slots, true) AS whole
+      FROM g LEFT JOIN z USING (doc_id, item_id, o) LEFT JOIN t USING (doc_id, item_id, o)),
+f AS (SELECT doc_id, item_id, whole, CASE WHEN whole THEN n_open ELSE n_same END AS n_windows, CASE WHEN whole THEN n_slots ELSE same_slots END AS n_slots, CASE WHEN whole THEN exact ELSE true END AS exact FROM a WHERE whole OR n_same > 0)
+SELECT doc_id, item_id, n_windows, n_slots, exact FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY whole DESC, n_windows DESC, exact DESC, n_slots DESC) = 1
 """,
     "op4_license_scan": rf"""
 WITH k(sentence, sid) AS (VALUES {KNOWN}), meant(m, licence) AS (VALUES {MEANT}),

@@ -232,7 +232,7 @@ def test_decontaminate(spark):
     bench = spark.createDataFrame([(1, "If a train travels 60 km in 2 hours how far does it go in 5 hours at that speed"), (2, "the quick brown fox"), (3, None), (4, "")], "item_id long, text string")
     texts = ["Intro. IF a train, travels 80 miles in 3 hours: how far does it go in 7 hours at that speed?", "if a train travels 80 km in 3 hours how far does it go in 3 hours at that speed", "if a train travels 60 km in 2 hours how far does it go in 5 hours at that speed", "a train travels far", "the quick brown fox", "we saw the quick brown fox", None, ""]
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), bench).collect()}
-    assert set(got) == {(0, 1), (1, 1), (2, 1), (4, 2)} and got[2, 1].exact and not got[0, 1].exact
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (4, 2), (5, 2)} and got[2, 1].exact and not got[0, 1].exact
     mixed = "if a train travels 80 km in 3 hours how far does it go in 7 hours at that speed 60 km in 2 hours"
     same = spark.createDataFrame([(1, "from 7 to 7 they went on and on all day long")], "item_id long, text string")
     assert decontaminate.contaminated(documents(spark, [(1, "from 7 to 9 they went on and on all day long", "en", "s")]), same).where("n_slots > 0").count() == 0
@@ -254,6 +254,25 @@ def test_decontaminate_verbatim_windows(spark):
     assert (1, 2) in got and (2, 2) not in got
 
 
+def test_decontaminate_short_and_repeated_items(spark):
+    """Items of fewer words than a window stand anywhere in a text; null and repeated item_ids take part."""
+    items = [(1, "quick brown fox"), (2, "Paris"), (None, "it rained for 3 days"), (4, "one two three four five six seven eight nine"), (4, "ten eleven"), (4, "ten eleven"), (5, " "), (6, "a b c d e f g h")]
+    texts = ["So the QUICK, brown fox ran", "We went to see Paris once", "and it rained for 3 days there", "and it rained for 4 days there", "two three four five six seven eight nine", "say ten eleven", "quick brown", "a b c d e f g"]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)] + [(None, texts[0], None, None), (0, texts[0], "en", "s")])
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, source string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_slots, r.exact) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got[0, 1] == got[None, 1] == (1, 0, True) and got[2, None] == (1, 2, True)
+    assert set(got) == {(0, 1), (None, 1), (2, None), (4, 4), (5, 4)}
+
+
+def test_decontaminate_shuffled_join(spark, monkeypatch):
+    """A benchmark too large to broadcast gives the same rows."""
+    real, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = sorted(map(tuple, decontaminate.contaminated(real, items).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert want and sorted(map(tuple, decontaminate.contaminated(real, items).collect())) == want
+
+
 def test_quality(spark):
     df, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     kept = {r.doc_id for r in quality.resample(df, labels).collect()}
