@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from lattis.operators import corpus as C
 from lattis.operators import logs as L
 from lattis.plans.common import table
+from lattis.session import shared_dir
 from lattis.sources import files as S
 from lattis.streaming import turns as T
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the one that all executors share."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lattis-checkpoints"
-    return f"{root}/run-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
 
 
 def stream_of(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:

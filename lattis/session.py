@@ -2,20 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import threading
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting that removes the shuffle files of an execution at its end.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _running = threading.Lock(), {"n": 0, "before": "false"}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share. A local session without it gets a temporary folder; a cluster must set it."""
+    path = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spark-checkpoints-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(path)
+    return path
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """The rows written to spark.checkpoint.dir, which all executors share, with the lineage cut."""
+    """The rows written to spark.checkpoint.dir, which all executors share, with the lineage cut.
+
+    What the rows came from isn't needed again, so the shuffle files behind them are removed at once. The setting for that
+    belongs to the session: it is on while any call runs and put back by the last, so calls from several threads agree.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lattis-checkpoints")
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+    shared_dir(spark)
+    with _lock:
+        if not _running["n"]:
+            _running["before"] = spark.conf.get(CLEAN_UP, "false")
+            spark.conf.set(CLEAN_UP, "true")
+        _running["n"] += 1
     try:
         return df.checkpoint(eager=True)
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        with _lock:
+            _running["n"] -= 1
+            if not _running["n"]:
+                spark.conf.set(CLEAN_UP, _running["before"])
