@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattis.session import keep
 
-#: Spark's setting that removes the shuffle files of an execution at its end.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+__all__ = ["components", "join_by_size", "keep"]
+#: A key with more than one in so many rows is joined by broadcast; there are at most so many such keys.
+HOT = 1000
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """The rows written to spark.checkpoint.dir, which all executors share, with the lineage cut.
+def join_by_size(rows: DataFrame, keys: DataFrame, on: list[str], held: str, how: str = "inner") -> DataFrame:
+    """rows joined with keys, which are unique in `on` (neither holds nulls there); keys.held: how many rows have the key.
 
-    What the rows came from isn't needed again, so the shuffle files behind them are removed at once.
+    Keys that more than one in HOT rows have, HOT keys at most, are broadcast, so their rows stay where they are; the
+    others meet in a shuffle. Both tables are read twice: checkpoint them before.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lattis-checkpoints")
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
+    least = rows.count() / HOT
+    hot, cold = keys.where(F.col(held) > least), keys.where(F.col(held) <= least)
+    marked = rows.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), on, "left")
+    return marked.where("is_hot").drop("is_hot").unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))
 
 
 def components(links: DataFrame) -> DataFrame:

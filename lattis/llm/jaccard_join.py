@@ -6,7 +6,8 @@ Sets of n-word shingles are put in one global order, shingles of rare words firs
 1. Equal sets fall together by a 128-bit fingerprint; one document of each stands for them.
 2. Prefix shingles go to buckets by name; the smallest document of a shingle that two or more have is its leader. The
    prefix is twice the least that holds a common shingle, so linked documents share a good part of it; those with too few
-   shared ones go no further. Each other document joins the groups of its first shared shingles' leaders; linked
+   shared ones go no further. Each other document joins the groups of its first shared shingles' leaders, those of the
+   fewest documents first, so that passages of many documents make groups only of those that hold little else; linked
    documents meet in at least one. One leader stands for many shingles, so a document's set is sent to few groups.
 3. A group is dealt in blocks of bounded size, the leader's set in each. A task stores its block as a trie of ordered
    sets and walks it with each set, sharing the overlap of shared beginnings and leaving subtrees whose remaining lengths
@@ -25,10 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattis.llm.components import components, keep
+from lattis.llm.components import components, join_by_size, keep
 from lattis.llm.hashing import U, as_bytes, combine, mix, steps, windows, words
-from lattis.llm.shards import NO_ID, documents, nullable_id, packed_texts, shard_of, whole_id
-from lattis.llm.substring_dedup import lowest, opened, packed, unpacked
+from lattis.llm.shards import NO_ID, documents, nullable_id, packed_texts, shard_of, shards_for, whole_id
+from lattis.llm.substring_dedup import lowest, opened, packed
 
 #: Cells of the word counts behind the order: 256 kB of 32-bit counts, whatever the corpus.
 CELLS = 1 << 16
@@ -39,24 +40,27 @@ BLOCK = 100
 RANK_BITS = 8
 
 
-def word_counts(docs: DataFrame, lower: bool) -> np.ndarray:
-    """How often the words of each hash cell occur in all texts."""
+def word_counts(docs: DataFrame, lower: bool) -> tuple[np.ndarray, int]:
+    """How often the words of each hash cell occur in all texts, and the bytes of all texts."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = np.zeros(CELLS, dtype=np.int64)
+        cells, size = np.zeros(CELLS, dtype=np.int64), 0
         for pdf in parts:
             texts = as_bytes(pdf["text"])
+            size += sum(map(len, texts))
             for a, b in steps(texts):
                 cells += np.bincount((words(texts[a:b], lower)[0] >> U(48)).astype(np.int64), minlength=CELLS)
-        yield pd.DataFrame({"slice": range(SLICES), "cells": [x.tobytes() for x in cells.reshape(SLICES, -1)]})
+        yield pd.DataFrame({"slice": range(SLICES), "size": size, "cells": [x.tobytes() for x in cells.reshape(SLICES, -1)]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, dtype=np.int64) for x in pdf["cells"])
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "cells": [total.tobytes()]})
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "size": [pdf["size"].sum()], "cells": [total.tobytes()]})
 
-    kind = "slice int, cells binary"
+    kind = "slice int, size long, cells binary"
     rows = docs.select("text").mapInPandas(count, kind).groupBy("slice").applyInPandas(add, kind).collect()  # 32 rows, 512 kB
-    return np.concatenate([np.frombuffer(r["cells"], dtype=np.int64) for r in sorted(rows)]) if rows else np.zeros(CELLS, dtype=np.int64)
+    if not rows:
+        return np.zeros(CELLS, dtype=np.int64), 0
+    return np.concatenate([np.frombuffer(r["cells"], dtype=np.int64) for r in sorted(rows)]), rows[0]["size"]
 
 
 def ordered_sets(texts: list[bytes], n: int, lower: bool, cost: np.ndarray | None) -> Iterator[np.ndarray]:
@@ -76,6 +80,11 @@ def ordered_sets(texts: list[bytes], n: int, lower: bool, cost: np.ndarray | Non
             yield np.empty(0, dtype=np.uint64)
 
 
+def eighths(n: np.ndarray) -> np.ndarray:
+    """Counts as a byte each: eight times the binary logarithm."""
+    return np.minimum(8 * np.log2(np.maximum(n, 1)), 255).astype(np.uint8)
+
+
 def margin(n: int, percent: int) -> tuple[int, int]:
     """(d, c) for a set of n: a linked set lacks at most d of its shingles; so d + c first ones hold the first c common ones."""
     d = n + (-percent * n) // 100
@@ -89,7 +98,7 @@ def prefix(n: int, percent: int) -> int:
 def probes(shared: np.ndarray, n: int, percent: int) -> np.ndarray:
     """Of the shingles of a prefix that other prefixes have too, the first so many that hold the first common one.
 
-    A linked set has at least `percent` of n shingles, so the two prefixes share its c at least; with fewer shared
+    shared may be in any order, if it is the same for all documents. A linked set has at least `percent` of n shingles, so the two prefixes share its c at least; with fewer shared
     shingles than that, nothing links.
     """
     least = margin(-(-percent * n // 100), percent)[1]
@@ -193,12 +202,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, lower: bo
     A null or empty text has no shingles and links with nothing. Rows with one doc_id are one document with the links of
     all of them; each gives a row. A null doc_id links with nothing and gets a null component. Empty tables give empty ones.
     """
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = shards or 2 * partitions
-    buckets = partitions
     rows = docs.select(whole_id("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = word_counts(rows, lower)
+    counts, size = word_counts(rows, lower)
+    shards = shards or shards_for(docs, size)
+    buckets = -(-shards // 2)
     cost = np.minimum(np.log2(1 + counts) / max(1.0, np.log2(1 + counts.max())) * ((1 << RANK_BITS) - 1), (1 << RANK_BITS) - 1)
     by_shard = packed_texts(rows, shards).groupBy("shard")
 
@@ -219,7 +226,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, lower: bo
             yield got.assign(doc_id=pdf["doc_id"].to_numpy(), shard=shard_of(pdf["doc_id"].to_numpy(np.int64), shards))[["doc_id", "n_shingles", "f1", "f2", "shard"]]
 
     prints = keep(nullable_id(rows.mapInPandas(fingerprints, "doc_id long, n_shingles long, f1 long, f2 long, shard int"), "doc_id"))
-    same = prints.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by("shard", "doc_id").alias("shard"))
+    meant = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    same = keep(prints.where(meant).groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by("shard", "doc_id").alias("shard"), F.count("*").alias("copies")))
     reps = same.select("shard", F.col("rep").alias("doc_id"))
 
     def first_shingles(pdf: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
@@ -230,24 +238,26 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, lower: bo
             who.append(np.full(len(p), doc, dtype=np.int64).view(np.uint64))
         if len(names) == 1:
             return pd.DataFrame(columns=["bucket", "shard", "n", "data"])
-        (names,), low, high = lowest([np.concatenate(names)], np.concatenate(who).view(np.int64))
-        return packed([names], low.view(np.uint64), high.view(np.uint64), int(pdf["shard"].iloc[0]), buckets, mix(names, 3))
+        (names,), low, high, count = lowest([np.concatenate(names)], np.concatenate(who).view(np.int64))
+        return packed([names], low.view(np.uint64), high.view(np.uint64), int(pdf["shard"].iloc[0]), buckets, mix(names, 3), eighths(count))
 
     def leaders(pdf: pd.DataFrame) -> pd.DataFrame:
         names, low, high = opened(pdf["n"], pdf["data"], 1)
+        held = np.exp2(np.concatenate([np.frombuffer(x, dtype=np.uint8, offset=24 * k) for k, x in zip(pdf["n"], pdf["data"], strict=True)]) / 8)
         low, high = low.view(np.int64), high.view(np.int64)
         shard = np.repeat(pdf["shard"].to_numpy(), pdf["n"])
         order = np.argsort(names, kind="stable")
-        names, low, high, shard = names[order], low[order], high[order], shard[order]
+        names, low, high, shard, held = names[order], low[order], high[order], shard[order], held[order]
         at = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
         count = np.diff(np.append(at, len(names)))
         least, most = np.repeat(np.minimum.reduceat(low, at), count), np.repeat(np.maximum.reduceat(high, at), count)
         back = least < most
-        names, least, shard = names[back], least[back].view(np.uint64), shard[back]
+        often = np.repeat(eighths(np.add.reduceat(held, at)), count)
+        names, least, shard, often = names[back], least[back].view(np.uint64), shard[back], often[back]
         order = np.argsort(shard, kind="stable")
         found, at = np.unique(shard[order], return_index=True)
         cut = np.append(at, len(order))
-        return pd.DataFrame([(int(s), int(b - a), names[order[a:b]].tobytes() + least[order[a:b]].tobytes()) for s, a, b in zip(found, cut[:-1], cut[1:], strict=True)], columns=["shard", "n", "data"])
+        return pd.DataFrame([(int(s), int(b - a), b"".join(x[order[a:b]].tobytes() for x in (names, least, often))) for s, a, b in zip(found, cut[:-1], cut[1:], strict=True)], columns=["shard", "n", "data"])
 
     back = by_shard.cogroup(reps.groupBy("shard")).applyInPandas(first_shingles, "bucket int, shard int, n int, data binary").groupBy("bucket").applyInPandas(leaders, "shard int, n int, data binary")
     # names have no id; NO_ID keeps the column whole, as a null would make floats of all ids
@@ -258,20 +268,24 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, lower: bo
         back = back[back["data"].notna()]
         out = []
         if len(pdf) and len(back):
-            known, least = unpacked(back["n"], back["data"], 2)
+            parts = [(np.frombuffer(x, dtype=np.uint64, count=2 * k), np.frombuffer(x, dtype=np.uint8, offset=16 * k)) for k, x in zip(back["n"], back["data"], strict=True)]
+            known, least = (np.concatenate([x[i * len(o) : (i + 1) * len(o)] for x, o in parts]) for i in (0, 1))
+            often = np.concatenate([o for _, o in parts])
             order = np.argsort(known)
-            known, least = known[order], least[order].view(np.int64)
+            known, least, often = known[order], least[order].view(np.int64), often[order]
             for doc, s in sets_of(pdf, set(mine["doc_id"])):
                 p = s[: prefix(len(s), percent)]
                 at = np.minimum(np.searchsorted(known, p), len(known) - 1)
-                out += [(int(doc), int(x), len(s)) for x in np.unique(probes(least[at][known[at] == p], len(s), percent))]
-        got = pd.DataFrame(out, columns=["doc_id", "leader", "size"])
+                at = at[known[at] == p]
+                at = at[np.argsort(often[at], kind="stable")]  # the same order for all documents: how often, then name
+                out += [(int(doc), int(x)) for x in np.unique(probes(least[at], len(s), percent))]
+        got = pd.DataFrame(out, columns=["doc_id", "leader"])
         got["shard"] = pdf["shard"].iloc[0] if len(pdf) else 0
         return got
 
-    member = keep(by_shard.cogroup(told.groupBy("shard")).applyInPandas(groups, "doc_id long, leader long, size int, shard int").distinct())
-    many = member.groupBy("leader").agg(F.count("*").alias("members")).where("members > 1")
-    dealt = member.join(many, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("members") / BLOCK)).cast("int"))
+    member = keep(by_shard.cogroup(told.groupBy("shard")).applyInPandas(groups, "doc_id long, leader long, shard int").distinct())
+    many = keep(member.groupBy("leader").agg(F.count("*").alias("members")).where("members > 1"))
+    dealt = keep(join_by_size(member, many, ["leader"], "members").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("members") / BLOCK)).cast("int")))
 
     def asked(table: DataFrame) -> DataFrame:
         """The sets for rows of (shard, doc_id, grp, part, label)."""
@@ -294,16 +308,15 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, lower: bo
     first = first.select("shard", "doc_id", F.concat_ws("/", "leader", "block").alias("grp"), F.lit(0).alias("part"), F.col("doc_id").alias("label"))
     links = keep(linked(asked(first)))
 
-    large = keep(dealt.where(F.col("members") > BLOCK).select("shard", "doc_id", "leader", "block", "members"))
+    large = dealt.where(F.col("members") > BLOCK).select("shard", "doc_id", "leader", "block", "members")
     if large.limit(1).count():
         comp = components(links).withColumnRenamed("id", "doc_id")
-        large = large.join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        large = keep(large.join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
         share = large.groupBy("leader", "component").agg(F.count("*").alias("k"))
-        top = share.groupBy("leader").agg(F.max(F.struct("k", F.col("component").alias("top"))).alias("t"), F.count("*").alias("parts")).where("parts > 1").select("leader", "t.top")
-        # a group's rows carry their place among the documents outside its largest component, in blocks by a hash
-        minor = keep(large.join(top, "leader"))
-        outside = minor.where("component <> top").groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("askers"))
-        minor = minor.join(outside, "leader")
+        # of each group still apart: its largest component, and how many blocks the documents outside of it make
+        top = share.groupBy("leader").agg(F.max(F.struct("k", F.col("component").alias("top"))).alias("t"), F.sum("k").alias("held"), F.count("*").alias("parts")).where("parts > 1")
+        top = keep(top.select("leader", "t.top", "held", F.ceil((F.col("held") - F.col("t.k")) / BLOCK).cast("int").alias("askers")))
+        minor = keep(join_by_size(large, top, ["leader"], "held").drop("held"))
         stored = minor.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("askers") - 1))).select("shard", "doc_id", F.concat_ws("/", "leader", "block", "j").alias("grp"), F.lit(0).alias("part"), F.col("component").alias("label"))
         asks = minor.where("component <> top").withColumn("j", F.pmod(F.xxhash64("doc_id", F.lit(2)), "askers"))
         asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / BLOCK).cast("int") - 1)))
@@ -311,6 +324,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, lower: bo
         links = links.unionByName(linked(asked(stored.unionByName(asks))))
 
     comp = components(links)
-    of = same.join(comp, same["rep"] == comp["id"], "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    out = prints.join(of, ["n_shingles", "f1", "f2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    of = keep(same.join(comp, same["rep"] == comp["id"], "left").select("n_shingles", "f1", "f2", "copies", F.coalesce("component", "rep").alias("component_id")))
+    # copies of one text may be a large part of all rows, and so may empty texts, which need no join
+    linked_rows = join_by_size(prints.where(meant), of, ["n_shingles", "f1", "f2"], "copies")
+    out = linked_rows.select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(prints.where(~meant).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -15,10 +15,21 @@ from pyspark.sql import functions as F
 
 from lattis.llm.hashing import mix, steps
 
-#: Stands for a null doc_id inside a task; it sorts behind all others.
+#: Stands for a null doc_id inside a task, so it is no id itself; it sorts behind all others.
 NO_ID = np.int64((1 << 63) - 1)
 
 
+#: Bytes of text of a shard, which one task holds.
+SHARD_BYTES = 64 << 20
+
+
+def shards_for(docs: DataFrame, size: int | None = None) -> int:
+    """How many shards: two for each shuffle partition, more if one's texts came to more than SHARD_BYTES. size: bytes of all texts, counted unless given."""
+    if size is None:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+
+
 def whole_id(name: str):
     """A long id for pandas, which would make floats of longs with nulls: NO_ID for null."""
     return F.coalesce(F.col(name).cast("long"), F.lit(int(NO_ID))).alias(name)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from lattis.llm.hashing import U, combine, mix, powers, powers_inverse, windows, within_text, words
-from lattis.llm.shards import NO_ID, documents, packed_texts
+from lattis.llm.shards import NO_ID, documents, packed_texts, shards_for
 
 #: Words of a window.
 WINDOW = 13
@@ -110,30 +110,37 @@ def covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(last + 1, minlength=n + 1))[:n]
 
 
+def ordered(ids: np.ndarray) -> np.ndarray:
+    """Ids as unsigned numbers in the same order, negative ones first."""
+    return ids.view(np.uint64) ^ U(1 << 63)
+
+
 def lowest(keys: list[np.ndarray], ids: np.ndarray):
-    """Distinct keys with the smallest and largest id of each."""
+    """Distinct keys with the smallest and largest id of each, and how many rows have it."""
     order = np.lexsort((ids, *keys[::-1]))
     keys, ids = [k[order] for k in keys], ids[order]
     new = np.ones(len(ids), dtype=bool)
     if len(ids):
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     at = np.flatnonzero(new)
-    return [k[at] for k in keys], ids[at], ids[np.append(at[1:], len(ids)) - 1] if len(ids) else ids
+    ends = np.append(at[1:], len(ids))
+    return [k[at] for k in keys], ids[at], ids[ends - 1] if len(ids) else ids, ends - at if len(ids) else at
 
 
 PACKED = "bucket int, shard int, n int, data binary"
 
 
-def packed(keys: list[np.ndarray], low: np.ndarray, high: np.ndarray, shard: int, buckets: int, spread: np.ndarray | None = None) -> pd.DataFrame:
-    """One row for each bucket: n of each key, then n smallest ids and n distances to the largest, byte by byte to compress well.
+def packed(keys: list[np.ndarray], low: np.ndarray, high: np.ndarray, shard: int, buckets: int, spread: np.ndarray | None = None, more: np.ndarray | None = None) -> pd.DataFrame:
+    """One row for each bucket: n of each key, then n smallest ids and n distances to the largest, byte by byte to compress well, then n bytes of more.
 
     A bucket is a range of the first keys, or of spread if keys are not even.
     """
     to = (((keys[0] if spread is None else spread) >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     cols = [x[order] for x in (*keys, low, high - low)]
+    more = np.empty(0, dtype=np.uint8) if more is None else more[order]
     cut = np.searchsorted(to[order], np.arange(buckets + 1))
-    rows = [(k, shard, int(b - a), b"".join([x[a:b].tobytes() for x in cols[:-2]] + [planes(x[a:b]) for x in cols[-2:]])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+    rows = [(k, shard, int(b - a), b"".join([x[a:b].tobytes() for x in cols[:-2]] + [planes(x[a:b]) for x in cols[-2:]] + [more[a:b].tobytes()])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
     return pd.DataFrame(rows, columns=["bucket", "shard", "n", "data"])
 
 
@@ -171,20 +178,20 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
 
     A null or empty text has no words, and the hash of the empty string; a null text stays null. Rows with one doc_id are
     judged each by itself and don't remove from one another. A null doc_id counts as larger than any. An empty table gives
-    an empty table. Memory: a task holds one shard of documents (shards: 2 for each shuffle partition unless given), or a
-    bucket of names, and each shard adds a name to it once.
+    an empty table. The largest long stands for a null doc_id. Memory: a task holds one shard of documents (two for each
+    shuffle partition, more if a shard's texts came to more than SHARD_BYTES), or a bucket of names, and each shard adds a
+    name to it once.
     """
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = shards or 2 * partitions
-    buckets = partitions
+    shards = shards or shards_for(docs)
+    buckets = -(-shards // 2)
 
     def symbols(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, who = [], []
         for ids, texts in documents(pdf["docs"]):
             *_, (names, owner, _, _) = parse([t or b"" for t in texts], window, rounds)
             keys.append(names)
-            who.append(ids.view(np.uint64)[owner])
-        (names,), low, high = lowest([np.concatenate(keys)], np.concatenate(who))
+            who.append(ordered(ids)[owner])
+        (names,), low, high, _ = lowest([np.concatenate(keys)], np.concatenate(who))
         return packed([names], low, high, int(pdf["shard"].iloc[0]), buckets)
 
     def shared(width: int):
@@ -225,10 +232,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
                 at = starts[(covered(first[hit], last[hit], len(h))[starts] > 0) & ~own]
                 one.append(windows(h, window)[at])
                 two.append(windows(h, window, seed=5)[at])
-                who.append(ids.view(np.uint64)[owner[at]])
+                who.append(ordered(ids)[owner[at]])
         if not one:
             return pd.DataFrame(columns=["bucket", "shard", "n", "data"])
-        keys, low, high = lowest([np.concatenate(one), np.concatenate(two)], np.concatenate(who))
+        keys, low, high, _ = lowest([np.concatenate(one), np.concatenate(two)], np.concatenate(who))
         return packed(keys, low, high, int(pdf["shard"].iloc[0]), buckets)
 
     def removed(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
@@ -242,7 +249,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
             gone = np.zeros(len(h), dtype=bool)
             if len(one) and len(h) >= window:
                 starts = within_text(bounds, window)
-                owner = np.repeat(ids.view(np.uint64), np.diff(bounds))
+                owner = np.repeat(ordered(ids), np.diff(bounds))
                 w1, w2 = windows(h, window), windows(h, window, seed=5)
                 starts = starts[member(w1[starts], one)]
                 smaller = np.zeros(len(starts), dtype=bool)

@@ -66,6 +66,14 @@ def test_substring_dedup_awkward(spark):
     assert substring_dedup.substring_dedup(df.limit(0)).count() == 0
 
 
+def test_substring_dedup_negative_ids(spark):
+    """The smaller doc_id keeps its words, below zero too."""
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(3, text), (-5, text), (-7, text + " tail"), (0, "head " + text), (-(1 << 62), "short")]
+    got = substring_dedup.substring_dedup(documents(spark, [(i, t, "en", "s") for i, t in rows]))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_substring(rows, 13)
+
+
 def brute_components(rows, n, percent):
     low = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
     sets = []
@@ -111,6 +119,29 @@ def test_jaccard_components(spark, monkeypatch, block, percent, n):
     assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows, n, percent)
 
 
+def test_jaccard_negative_ids(spark):
+    rows = [(i - 90, t) for i, t in near_copies(11, 40)]
+    got = jaccard_join.jaccard_components(documents(spark, [(i, t, "en", "s") for i, t in rows]), 3, 80)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows, 3, 80)
+
+
+def test_jaccard_shared_passages(spark, monkeypatch):
+    """Passages that most documents share, before and behind what is their own, among copies of them."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    rng = random.Random(5)
+    head, tail = ([f"{x}{i}" for i in range(8)] for x in "ht")
+    base = [head + [f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 60))] + tail for _ in range(60)]
+    rows = []
+    for i, w in enumerate(base + rng.choices(base, k=30)):
+        w = list(w)
+        if i >= len(base):
+            w[rng.randrange(len(w))] = "x"
+        rows.append((i, " ".join(w)))
+    for n, percent in ((3, 80), (2, 60)):
+        got = jaccard_join.jaccard_components(documents(spark, [(i, t, "en", "s") for i, t in rows]), n, percent)
+        assert sorted(map(tuple, got.collect()), key=str) == brute_components(rows, n, percent)
+
+
 def test_jaccard_large_ids(spark):
     """Ids that floats can't hold."""
     rows = [((1 << 62) - 1 - i, t) for i, t in near_copies(7, 30)]
