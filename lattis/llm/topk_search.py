@@ -1,19 +1,20 @@
 """Exact top-k search by three-phase uniform threshold.
 
 The components of the vectors are dealt to LISTS lists; a list scores a candidate by its share of the inner product.
-1. Each list gives, for each query, its k best local scores; the k-th best full score among the candidates so met is a
-   safe cutoff: the true k-th score is no lower.
-2. With the cutoff t known, a candidate of a full score of at least t has t / LISTS or more in at least one list (the mean
-   of its local scores is that high, whatever their signs). Each list hands over the entries that reach t / LISTS.
-3. What these lack from the other lists is resolved exactly; the k best full scores of each block go to the query.
-
-Candidates lie in blocks of rows, queries in blocks as well; a task holds one block of each, so a table of any size is
-searched with bounded memory, and each phase is a pass over the pairs of blocks.
+1. Gather: each list hands over, for each query, its k best local scores, and nothing else. The full scores of the
+   candidates that any list named give the cutoff t: the k-th best of them, so the true k-th score is no lower.
+2. Broadcast t. A candidate of a full score of t or more has t / LISTS or more in some list (the mean of its local scores
+   is that high, whatever their signs), so each list hands over its entries of that height. A list that does not name a
+   candidate scores it lower, which bounds its full score from above; candidates that can't reach t any more are dropped.
+3. Resolve: for those left, the local scores that are still missing are computed, and the best full scores win.
+
+Queries are taken in batches of bounded size, which are broadcast; a batch passes once over all candidates in each of the
+two scans, so candidates are never copied or shuffled, and a task's memory depends on the batch and on k alone.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from lattis.llm.components import keep
 
 LISTS = 4
-#: Rows of a candidate block and of a query block.
-ROWS, ASKED = 8192, 1024
+#: Components of all queries of a batch together (16 MB as 32-bit numbers, 32 MB while scored).
+BATCH_CELLS = 1 << 22
 #: Cells of one score matrix.
 CELLS = 1 << 21
 
@@ -70,78 +71,95 @@ def top_k(table: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, li
     their own length only. Of rows that share a vec_id the smallest vector (as an array) counts, once. An empty vector
     scores 0. Products must fit 64 bits. Empty tables give no rows.
     """
-    v = keep(integer_vectors(table, scale).withColumn("dim", F.size("v")))
+    v = keep(integer_vectors(table, scale))
     query = F.col("vec_id") % every == 0
-    sizes = v.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(query).alias("q")).collect()  # a row for each vector length
-    frames = [_search(v.where(F.col("dim") == s["dim"]), s["dim"], s["n"], s["q"], query, k, lists) for s in sizes if s["q"]]
-    if not frames:
-        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+    n, widest = v.where(query).agg(F.count("*"), F.max(F.size("v"))).first()
+    batches = -(-n * max(1, widest or 0) // BATCH_CELLS)
+    out = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for batch in range(batches):
+        asked = v.where(query & (F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == batch)).toPandas()  # bounded by BATCH_CELLS
+        if len(asked):
+            found = _search(v, asked, k, lists)
+            out = out.unionByName(keep(found) if batches > 1 else found)
     return out
 
 
-def _search(v: DataFrame, dim: int, n: int, n_queries: int, query, k: int, lists: int) -> DataFrame:
-    blocks, asked = math.ceil(n / ROWS), math.ceil(n_queries / ASKED)
-    # both sides meet in the grid of blocks: rows go to each block of queries, queries to each block of rows
-    grid = F.concat_ws("/", "r", "q")
-    place = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("r")
-    v = v.select("vec_id", "v")
-    rows = v.select("vec_id", "v", place, F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("q")).withColumn("grid", grid)
-    queries = v.where(query).select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(asked)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("r")).withColumn("grid", grid)
-    parts = [np.arange(i, dim, lists) for i in range(min(lists, max(dim, 1)))]
-
-    def load(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        pdf = pdf.sort_values("vec_id")
-        return pdf["vec_id"].to_numpy(np.int64), np.array(pdf["v"].tolist(), dtype=np.int64).reshape(len(pdf), dim)
-
-    def each(asks: pd.DataFrame, held: pd.DataFrame):
-        """(query ids, query matrix, candidate ids, candidate matrix, own: where a candidate is the query) in steps of bounded size."""
-        ids, x = load(held)
-        qid, q = load(asks)
-        step = max(1, CELLS // max(1, len(ids)))
-        for a in range(0, len(qid), step):
-            yield qid[a : a + step], q[a : a + step], ids, x, qid[a : a + step, None] == ids[None, :]
-
-    def local_best(asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asks) and len(held):
-            for qid, q, ids, x, own in each(asks, held):
-                local = [product(q[:, p], x[:, p]) for p in parts]
-                full = sum(local)
-                for i, s in enumerate(local):
-                    s[own] = np.iinfo(np.int64).min
-                    best = top(s, ids, k)
-                    keep_row = ~np.take_along_axis(own, best, 1)
-                    out.append(pd.DataFrame({"query_id": np.repeat(qid, best.shape[1]), "vec_id": ids[best].ravel(), "score": np.take_along_axis(full, best, 1).ravel()})[keep_row.ravel()])
-        return pd.concat(out).drop_duplicates() if out else pd.DataFrame(columns=["query_id", "vec_id", "score"])
-
-    def sufficient(asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asks) and len(held):
-            cut = asks.sort_values("vec_id")["cutoff"].to_numpy()
-            at = 0
-            for qid, q, ids, x, own in each(asks, held):
-                t = cut[at : at + len(qid)]
-                at += len(qid)
-                local = [product(q[:, p], x[:, p]) for p in parts]
-                reach = np.logical_or.reduce([s * len(parts) >= t[:, None] for s in local]) & ~own
-                full = sum(local)
-                reach &= full >= t[:, None]
-                for i in np.flatnonzero(reach.any(axis=1)):
-                    c = np.flatnonzero(reach[i])
-                    c = c[np.lexsort((c, -full[i][c]))[:k]]
-                    out.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids[c], "score": full[i][c]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "vec_id", "score"])
-
-    kind = "query_id long, vec_id long, score long"
-    by = rows.groupBy("grid")
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    met = queries.groupBy("grid").cogroup(by).applyInPandas(local_best, kind)
-    # a query's cutoff: its k-th best; if fewer candidates were met, all there are were met
-    cutoff = met.distinct().withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("met"))
-    cutoff = keep(cutoff.select(F.col("query_id").alias("vec_id"), F.when(F.col("met") == k, F.col("cutoff")).otherwise(F.lit(-(1 << 60))).alias("cutoff")))
-    found = queries.join(cutoff.withColumnRenamed("vec_id", "query_id"), F.col("vec_id") == F.col("query_id")).drop("query_id").groupBy("grid").cogroup(by).applyInPandas(sufficient, kind)
-    ranked = found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+def by_length(vectors: pd.Series, ids: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids, ascending, and the matrix of their vectors, for each length of vectors."""
+    length = vectors.map(len).to_numpy()
+    out = {}
+    for dim in np.unique(length).tolist():
+        at = np.flatnonzero(length == dim)
+        at = at[np.argsort(ids.to_numpy()[at], kind="stable")]
+        out[dim] = ids.to_numpy(np.int64)[at], np.array(vectors.iloc[at].tolist(), dtype=np.int64).reshape(len(at), dim)
+    return out
+
+
+def _search(v: DataFrame, asked: pd.DataFrame, k: int, lists: int) -> DataFrame:
+    """One batch of queries over all candidates."""
+    context = v.sparkSession.sparkContext
+    queries = context.broadcast(by_length(asked["v"], asked["vec_id"]))
+
+    def parts_of(dim: int) -> list[np.ndarray]:
+        return [np.arange(i, dim, lists) for i in range(min(lists, max(dim, 1)))]
+
+    def pairs(parts: Iterator[pd.DataFrame]):
+        """(dim, first query, query ids, query matrix, candidate ids, candidate matrix, own: where a candidate is the query) in steps of bounded size."""
+        for pdf in parts:
+            for dim, (ids, x) in by_length(pdf["v"], pdf["vec_id"]).items():
+                qid, q = queries.value.get(dim, ((), ()))
+                step = max(1, CELLS // len(ids))
+                for a in range(0, len(qid), step):
+                    yield dim, a, qid[a : a + step], q[a : a + step], ids, x, qid[a : a + step, None] == ids[None, :]
+
+    def gather(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for dim, _, qid, q, ids, x, own in pairs(parts):
+            for i, p in enumerate(parts_of(dim)):
+                local = product(q[:, p], x[:, p])
+                local[own] = np.iinfo(np.int64).min
+                best = top(local, ids, k)
+                named = ~np.take_along_axis(own, best, 1).ravel()
+                rows = {"list": i, "query_id": np.repeat(qid, best.shape[1]), "vec_id": ids[best].ravel(), "local": np.take_along_axis(local, best, 1).ravel()}
+                yield pd.DataFrame(rows)[named]
+
+    best_local = Window.partitionBy("list", "query_id").orderBy(F.desc("local"), "vec_id")
+    named = v.mapInPandas(gather, "list int, query_id long, vec_id long, local long").withColumn("place", F.row_number().over(best_local)).where(F.col("place") <= k)
+    named = keep(named.select("query_id", "vec_id").distinct())  # at most lists * k for each query
+    pair = named.join(v, "vec_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    full = pair.select("query_id", "vec_id", F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    least = full.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("met"))
+    # a query for which fewer than k candidates were named has no more of them, as each list names k if there are so many
+    cut = {r["query_id"]: r["cutoff"] if r["met"] == k else -(1 << 60) for r in least.collect()}  # a row for each query of the batch
+    cutoffs = context.broadcast({dim: np.array([cut.get(i, -(1 << 60)) for i in ids.tolist()], dtype=np.int64) for dim, (ids, _) in queries.value.items()})
+
+    def resolve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for dim, at, qid, q, ids, x, own in pairs(parts):
+            t = cutoffs.value[dim][at : at + len(qid), None]
+            mine = parts_of(dim)
+            bound = -(-t // len(mine))  # integers: t / LISTS or more
+            known, missing = np.zeros(own.shape, dtype=np.int64), np.full(own.shape, len(mine), dtype=np.int64)
+            told = []
+            for p in mine:
+                local = product(q[:, p], x[:, p])
+                told.append(local >= bound)
+                known += np.where(told[-1], local, 0)
+                missing -= told[-1]
+            # what a list has not told is less than the bound
+            left = (missing < len(mine)) & (known + missing * (bound - 1) >= t) & ~own
+            i, c = np.nonzero(left)
+            score = known[i, c]
+            for p, has in zip(mine, told, strict=True):
+                lacks = np.flatnonzero(~has[i, c])
+                score[lacks] += np.einsum("nd,nd->n", q[i[lacks]][:, p], x[c[lacks]][:, p])
+            enough = score >= t[i, 0]
+            i, c, score = i[enough], c[enough], score[enough]
+            order = np.lexsort((ids[c], -score, i))
+            i, c, score = i[order], c[order], score[order]
+            first = np.searchsorted(i, i)  # where the query's rows begin
+            some = np.arange(len(i)) - first < k
+            yield pd.DataFrame({"query_id": qid[i[some]], "vec_id": ids[c[some]], "score": score[some]})
+
+    found = v.mapInPandas(resolve, "query_id long, vec_id long, score long")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -187,6 +187,23 @@ def test_top_k(spark):
     assert topk_search.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_lengths_and_batches(spark, monkeypatch):
+    """Vectors of several lengths, few candidates, ties, negative scores; queries in one batch and in several."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(i * 10, (rng.integers(-3, 2, size=int(rng.choice([1, 2, 7, 64]))) / 4).tolist()) for i in range(200)] + [(5000, [0.5] * 9), (6000, []), (6010, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = {i: np.floor(1024 * np.array(e)).astype(int) for i, e in rows}
+    want = {}
+    for q in (x for x in v if x % 100 == 0):
+        for k, (s, i) in enumerate(sorted((-int(v[q] @ v[i]), i) for i in v if i != q and len(v[i]) == len(v[q]))[:10]):
+            want[q, k + 1] = (i, -s)
+    for cells in (1 << 22, 300):
+        monkeypatch.setattr(topk_search, "BATCH_CELLS", cells)
+        assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk_search.top_k(df).collect()} == want
+
+
 def test_language_id(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     rows = language_id.identify(df).join(df.select("doc_id", "lang"), "doc_id").collect()
