@@ -1,11 +1,13 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
-A page is a row of words and tags. A word scores its weight (less inside links), a tag minus its own; the contiguous
-region of the largest sum is the content, found in one scan (Pasternack and Roth 2009). Weights come from labelled pages,
-those that mark their content with article or main: how often a tag, or a word in a link, stands outside of it.
-
-Elements that are never content (menus, footers, forms, scripts, adverts, reader comments, by name or by class, id and
-role) are no part of the row. A region inside an article or main element takes in the rest of it.
+A page is a row of words and tags. A word scores what its place tells, a tag minus its cost; the contiguous region of the
+largest sum is the content, found in one scan (Pasternack and Roth 2009). Scores come from labelled pages, those that mark
+their content with article or main:
+- a tag costs the more, the more often it stands outside of content;
+- a word's score is the log odds of content given its features: the elements it stands in and the words of their class, id
+  and role. Features that few pages have keep near the prior PRIOR_FEATURES, which knows what menus, forms and adverts are
+  called; with labelled pages that say otherwise they lose.
+Inside the best region, what stands in an element of a negative feature (an advert in the article, say) is left out.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
+from math import log
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,11 +32,17 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*
 RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template", "svg")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("head nav footer aside form menu select button dialog input label fieldset object embed applet canvas".split())
 MARKS = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-NOT_CONTENT = re.compile(r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|comments?|disqus|respond|reply|replies|share|sharing|social|related|newsletter|subscribe|subscription|popup|modal|search|login|complementary|contentinfo|toolbar|pagination|pager)(?:$|[\s_-])")
-#: The least a tag costs, and what it costs more where it always stands outside of content.
-BASE, OUTSIDE = 0.1, 5.0
+#: What is known of features before any page is seen, as if each of them had been seen on so many words outside of content: a name
+#: of a tag, or a word of a class, id or role after a dot. Only a few words of doubt stand against a class of general meaning.
+PRIOR_FEATURES = dict.fromkeys("head nav footer aside form menu select button dialog input label fieldset object embed applet canvas script style textarea title noscript iframe xmp template svg".split(), 1000.0)
+PRIOR_FEATURES |= dict.fromkeys("a header".split(), 10.0)
+PRIOR_FEATURES |= dict.fromkeys((f".{x}" for x in "ad ads advert advertisement adsbygoogle sponsor sponsored promo cookie cookies consent nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comments disqus newsletter complementary contentinfo toolbar pagination pager".split()), 1000.0)
+PRIOR_FEATURES |= dict.fromkeys((f".{x}" for x in "banner notice comment respond reply replies share sharing social related subscribe subscription popup modal search login".split()), 30.0)
+#: The least a tag costs, and what it costs more where it always stands outside of content; words inside content seen beforehand.
+BASE, OUTSIDE, SEEN = 0.1, 5.0, 10.0
+#: Features of this many distinct names are told from one task to the next stage; rarer ones of class, id and role hash to one of so many cells.
+CELLS = 1 << 16
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
@@ -59,50 +69,42 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
             yield "tag", name, closing, attributes
 
 
-def dropped(name: str, attributes: str, inside: bool) -> bool:
-    if name in NEVER or name in RAW or (name == "header" and not inside):
-        return True
-    return bool(attributes) and any(NOT_CONTENT.search(m[2] or m[3] or m[4] or "") for m in MARKS.finditer(attributes)) and name not in ("html", "body", "article", "main")
+def features(name: str, attributes: str) -> tuple[str, ...]:
+    """The name of an element and, after a dot, the words of its class, id and role (of a cell of CELLS if they aren't in the prior)."""
+    if not attributes:
+        return (name,)
+    out = {name}
+    for m in MARKS.finditer(attributes):
+        for word in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower()):
+            if word:
+                out.add(f".{word}" if f".{word}" in PRIOR_FEATURES else f".{crc32(word.encode()) % CELLS}")
+    return tuple(sorted(out))
 
 
-def stream(page: str) -> list[tuple[str, str, bool, int]]:
-    """The row of (kind, value, in a link, content element or 0) without what is never content; kind: text, open, close."""
-    out, open_tags, link, element, elements = [], [], 0, 0, 0
-    skip_until: int | None = None
+def stream(page: str) -> list[tuple[str, str, tuple[tuple[str, ...], ...], bool]]:
+    """The row of (kind, value, features of the open elements, inside an article or main element); kind: text, open, close."""
+    out, names, held, marked = [], [], [], []
     for kind, value, closing, attributes in tokens(page):
         if kind == "text":
-            if skip_until is None:
-                out.append(("text", value, link > 0, element))
-            continue
-        if closing:
-            if value in [t for t, _ in open_tags]:
-                while open_tags:
-                    t, before = open_tags.pop()
-                    if skip_until is not None and len(open_tags) <= skip_until:
-                        skip_until = None
-                        if t in BLOCK:
-                            out.append(("close", "", False, before))
-                    link -= t == "a" and link > 0
-                    element = before
-                    if t == value:
-                        break
-            if skip_until is None:
-                out.append(("close", value, False, element))
-            continue
-        if skip_until is None and dropped(value, attributes, element > 0) and value not in VOID:
-            if value not in RAW:
-                skip_until = len(open_tags)
-            else:
-                out.append(("open", value, False, element))
-        if value not in VOID and not attributes.endswith("/"):
-            if value == "a":
-                link += 1
-            open_tags.append((value, element))
-            if value in ("article", "main") and skip_until is None:
-                elements += 1
-                element = element or elements
-        if skip_until is None:
-            out.append(("open", value, False, element))
+            out.append(("text", value, tuple(held), bool(marked)))
+        elif not closing:
+            out.append(("open", value, tuple(held), bool(marked)))
+            if value not in VOID and not attributes.endswith("/"):
+                if value in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and names and names[-1] == value:  # these close themselves
+                    names.pop()
+                    held.pop()
+                names.append(value)
+                held.append(features(value, attributes))
+                if value in ("article", "main"):
+                    marked.append(len(names))
+        else:
+            if value in names:
+                while names.pop() != value:
+                    held.pop()
+                held.pop()
+                while marked and marked[-1] > len(names):
+                    marked.pop()
+            out.append(("close", value, tuple(held), bool(marked)))
     return out
 
 
@@ -117,34 +119,41 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
-def weights_of(counts: dict[tuple[str, int], int]) -> dict[str, float]:
-    """Scores by feature: minus the cost of a tag, plus the worth of a word in a link."""
-    out = {}
-    for name in {n for n, _ in counts}:
-        inside, outside = counts.get((name, 1), 0), counts.get((name, 0), 0)
-        share = (outside + 0.5) / (inside + outside + 1)
-        out[name] = 1 - share if name == "#link" else -(BASE + OUTSIDE * max(0.0, 2 * share - 1))
-    return out
+def weights_of(counts: dict[tuple[str, str, int], int]) -> tuple[dict[str, float], dict[str, float]]:
+    """Costs of tags, and scores of features for the words below them. counts: (tag or word, name, inside) -> how many."""
+    costs, scores = {}, {}
+    for what, name in {(w, n) for w, n, _ in counts} | {("word", f) for f in PRIOR_FEATURES}:
+        inside, outside = counts.get((what, name, 1), 0), counts.get((what, name, 0), 0)
+        if what == "tag":
+            share = (outside + 0.5) / (inside + outside + 1)
+            costs[name] = BASE + OUTSIDE * max(0.0, 2 * share - 1)
+        else:
+            scores[name] = log((inside + SEEN) / (outside + SEEN + PRIOR_FEATURES.get(name, 0.0)))
+    return costs, scores
+
+
+def word_score(held: tuple[tuple[str, ...], ...], scores: dict[str, float], known: dict) -> float:
+    """1 for a word if nothing speaks against its place, else the least score of the features it stands in; not below -5."""
+    if held not in known:
+        least = min((scores.get(f, 0.0) for names in held for f in names), default=0.0)
+        known[held] = 1.0 if least > -0.7 else max(-5.0, least)
+    return known[held]
 
 
-def main_text(page: str, weights: dict[str, float]) -> str:
+def main_text(page: str, weights: tuple[dict[str, float], dict[str, float]]) -> str:
+    costs, scores = weights
+    known: dict = {}
     row = stream(page)
-    scores = []
-    for kind, value, link, _ in row:
-        scores.append(len(value.split()) * (weights.get("#link", 0.3) if link else 1.0) if kind == "text" else weights.get(value, -1.0))
-    begin, end = best_region(scores)
-    inside = {row[i][3] for i in range(begin, end) if row[i][0] == "text" and row[i][1].strip()}
-    if len(inside) == 1 and 0 not in inside:
-        element = inside.pop()
-        own = [i for i, r in enumerate(row) if r[3] == element]
-        begin, end = min(begin, own[0]), max(end, own[-1] + 1)
+    worth = [len(value.split()) * word_score(held, scores, known) if kind == "text" else -costs.get(value, 1.0) for kind, value, held, _ in row]
+    begin, end = best_region(worth)
     blocks, now = [], []
-    for kind, value, _, _ in [*row[begin:end], ("close", "", False, 0)]:
+    for kind, value, held, _ in [*row[begin:end], ("close", "div", (), False)]:
         if kind == "text":
-            now.append(value)
+            if word_score(held, scores, known) > 0:
+                now.append(value)
         elif value == "br":
             now.append(" ")
-        elif value in BLOCK or not value:
+        elif value in BLOCK:
             text = " ".join(html.unescape("".join(now)).split())
             if text:
                 blocks.append(text)
@@ -169,20 +178,19 @@ def extract(pages: DataFrame, labelled: int = LABELLED) -> DataFrame:
         n: Counter = Counter()
         for pdf in parts:
             for page in pdf["html"]:
-                element = link = 0
-                for kind, value, closing, _ in tokens(page):
+                for kind, value, held, inside in stream(page):
                     if kind == "text":
-                        n["#link" if link else "#word", int(element > 0)] += len(value.split())
-                    elif value in ("article", "main"):
-                        element = max(0, element + (-1 if closing else 1))
-                    else:
-                        link = max(0, link + (-1 if closing else 1)) if value == "a" else link
-                        n[value, int(element > 0)] += 1
-        yield pd.DataFrame([(k[:40], i, c) for (k, i), c in n.items()], columns=["name", "inside", "n"])
-
-    counted = marked.mapInPandas(count, "name string, inside int, n long").groupBy("name", "inside").agg(F.sum("n").alias("n"))
-    known = counted.orderBy(F.desc("n"), "name", "inside").limit(1000).collect()
-    weights = weights_of({(r["name"], r["inside"]): r["n"] for r in known})
+                        size = len(value.split())
+                        for name in {f for names in held for f in names} if size else ():
+                            n["word", name, int(inside)] += size
+                    elif value not in ("article", "main"):
+                        n["tag", value, int(inside)] += 1
+        # names of tags are free text too: unknown ones share the cells of rare words
+        rows = [(w, x if len(x) < 16 else f".{crc32(x.encode()) % CELLS}", i, c) for (w, x, i), c in n.items()]
+        yield pd.DataFrame(rows, columns=["what", "name", "inside", "n"])
+
+    counted = marked.mapInPandas(count, "what string, name string, inside int, n long").groupBy("what", "name", "inside").agg(F.sum("n").alias("n"))
+    weights = weights_of({(r["what"], r["name"], r["inside"]): r["n"] for r in counted.collect()})  # of LABELLED pages, by name or cell
 
     def text_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:

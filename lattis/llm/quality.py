@@ -1,12 +1,12 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams, one of the target (documents labelled good) and one of all raw text, give each
-document a weight: the ratio of its probabilities under the two. Documents are then drawn without replacement by Gumbel
-top-k: the k largest of weight plus Gumbel noise.
+document a weight: the log of the ratio of its probabilities under the two. Documents are then drawn without replacement
+by Gumbel top-k: the k largest of log weight plus standard Gumbel noise (Xie et al. 2023).
 
-N-grams of words: the word as it is, its first 4, 5 and 6 bytes in lower case, its last 2 bytes, and whether it repeats
-the word before. The raw model counts every document. The target model and the cut are fitted on a bounded sample of
-labelled documents (LABELLED), three quarters of it for the model and one for the cut.
+N-grams are of 2 to 4 bytes of the text, runs of white space as one space, and pairs of one word twice. The raw model counts every document, the target
+model a bounded sample of labelled ones. Where the two probabilities of an n-gram are within a factor of e**TELLING they
+count as the same: the many n-grams that tell little would add up to noise in long documents.
 """
 
 from __future__ import annotations
@@ -15,63 +15,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattis.llm.components import keep
-from lattis.llm.hashing import LOWER, SPACE, TABLE, U, as_bytes, mix, powers, steps
+from lattis.llm.hashing import SPACE, U, as_bytes, steps, words
 from lattis.llm.shards import nullable_id, whole_id
 
-#: Most labelled documents that the target model and the cut are fitted on: those of the smallest hashes of doc_id.
+#: Most labelled documents that the target model and k are fitted on: those of the smallest hashes of doc_id. A quarter of them is held out of the model, for k.
 LABELLED = 20_000
-#: Hash cells of n-grams: 2**BITS, and one for repeated words.
-BITS = 18
-#: Pseudo-counts, and the size under which a log ratio counts as none (the many n-grams that tell little would add up to noise).
-PRIOR, DEAD_ZONE = 1.0, 1.5
-#: Scale of the Gumbel noise beside log weights over the square root of the number of words.
-TEMPERATURE = 0.02
+#: Bytes of an n-gram, and hash cells: 2**BITS.
+SIZES, BITS = (2, 3, 4), 18
+#: The cell of a word that repeats the one before.
+TWICE = 1
+#: Pseudo-counts, and the least log ratio that counts.
+PRIOR, TELLING = 1.0, 1.5
+#: A log ratio is tempered by SHARPNESS over the square root of the text's n-grams: neighbouring n-grams depend on each other,
+#: and plain sums drift so far in long texts that the noise and the rest of the ranking mean nothing beside them.
+SHARPNESS = 20.0
 SLICES = 64
 
 
-def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell, text) of each n-gram, and the words of each text."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, text) of each n-gram; a text stands between two spaces."""
+    data = np.frombuffer(b"\n" + b"\n\n".join(texts) + b"\n", dtype=np.uint8)
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
     space = SPACE[data]
-    begins = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
-    count = np.diff(np.concatenate(([0], np.searchsorted(begins, ends))))
-    if not len(begins):
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), count
-    at = begins - begins[0]
-    x = data[begins[0] :]
-    spans = np.diff(np.append(begins, len(data)))
-    within = np.arange(len(x)) - np.repeat(at, spans)
-    power = powers(int(spans.max()))[within]
-    shift = U(64 - BITS)
+    one = np.ones(len(data), dtype=bool)
+    one[1:] = ~space[1:] | ~space[:-1] | (owner[1:] != owner[:-1])
+    x, owner = np.where(space, 32, data)[one].astype(np.uint64), owner[one]
+    cells, owners, h = [], [], x
     with np.errstate(over="ignore"):
-        whole = mix(np.add.reduceat(TABLE[x] * power, at))
-        cells = [whole]
-        low = TABLE[LOWER[x]] * power
-        for n in (4, 5, 6):
-            cells.append(mix(np.add.reduceat(np.where(within < n, low, U(0)), at), 20 + n))
-    last = at + np.add.reduceat((~SPACE[x]).astype(np.int64), at) - 1
-    cells.append(mix(x[np.maximum(last - 1, 0)].astype(np.uint64) * U(256) + x[last], 40))
-    owner = np.repeat(np.arange(len(texts)), count)
-    again = (whole[1:] == whole[:-1]) & (owner[1:] == owner[:-1])
-    cell = np.concatenate([*((c >> shift).astype(np.int64) for c in cells), np.full(int(again.sum()), 1 << BITS)])
-    return cell, np.concatenate([*[owner] * len(cells), owner[1:][again]]), count
+        for n in range(2, max(SIZES) + 1):
+            h = h[:-1] * U(256) + x[n - 1 :]
+            whole = owner[: len(h)] == owner[n - 1 :]
+            if n in SIZES:
+                cells.append((((h[whole] + U(n << 40)) * U(0x9E3779B97F4A7C15)) >> U(64 - BITS)).astype(np.int64))
+                owners.append(owner[: len(h)][whole])
+    h, bounds = words(texts)
+    who = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    again = who[1:][(h[1:] == h[:-1]) & (who[1:] == who[:-1])]
+    return np.concatenate([*cells, np.full(len(again), TWICE)]), np.concatenate([*owners, again])
 
 
 def fit_ratio(rows: DataFrame) -> np.ndarray:
     """Log of target over raw probability by n-gram cell. rows: text, role (1: of the target)."""
-    size = (1 << BITS) + SLICES  # a multiple of SLICES
+    size = 1 << BITS
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, size), dtype=np.int64)
         for pdf in parts:
             texts, target = as_bytes(pdf["text"]), (pdf["role"] == 1).to_numpy()
             for a, b in steps(texts):
-                cell, owner, _ = ngrams(texts[a:b])
+                cell, owner = ngrams(texts[a:b])
                 total[0] += np.bincount(cell, minlength=size)
                 total[1] += np.bincount(cell[target[a:b][owner]], minlength=size)
         for k in range(SLICES):
@@ -94,19 +90,20 @@ def fit_ratio(rows: DataFrame) -> np.ndarray:
     order = np.argsort(log)
     mass = np.cumsum(raw[order])
     log -= log[order][np.searchsorted(mass, mass[-1] / 2)]  # the usual n-gram tells nothing
-    return np.where(np.abs(log) < DEAD_ZONE, 0.0, log)
+    return np.where(np.abs(log) < TELLING, 0.0, log)
 
 
 def weigh(docs: DataFrame, log: np.ndarray) -> DataFrame:
-    """doc_id, log_weight: the log importance weight over the square root of the number of words (0 without words)."""
+    """doc_id, log_weight: the log importance weight, the tempered sum over the n-grams of a text."""
     table = docs.sparkSession.sparkContext.broadcast(log.astype(np.float32))  # 1 MB, whatever the corpus
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             texts = as_bytes(pdf["text"])
             for a, b in steps(texts):
-                cell, owner, n = ngrams(texts[a:b])
-                w = np.bincount(owner, weights=table.value[cell], minlength=b - a) / np.sqrt(np.maximum(n, 1))
+                cell, owner = ngrams(texts[a:b])
+                n = np.bincount(owner, minlength=b - a)
+                w = np.bincount(owner, weights=table.value[cell], minlength=b - a) * (SHARPNESS / np.sqrt(np.maximum(n, 1)))
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b], "log_weight": np.round(w, 9)})
 
     return nullable_id(docs.select(whole_id("doc_id"), "text").mapInPandas(score, "doc_id long, log_weight double"), "doc_id")
@@ -146,16 +143,23 @@ def top_k_cut(keys: DataFrame, k: int) -> DataFrame:
     return keys.where(F.col("sample_key") > high).union(rest)
 
 
-def resample(docs: DataFrame, labels: DataFrame, most: int = LABELLED, temperature: float = TEMPERATURE, k: int | None = None) -> DataFrame:
-    """Documents drawn by importance: doc_id, log_weight, sample_key.
+def noise() -> Column:
+    """Standard Gumbel noise that follows from doc_id."""
+    unit = (F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -F.log(-F.log(unit))
+
 
-    docs: doc_id, text; labels: doc_id, quality, toxic. Target: quality 1 and not toxic. k documents are drawn; unless
-    given, k is how many weigh at least the cut that best parts labelled good from other documents, so that the sample
-    rejects what the labels reject. Noise follows from doc_id, so runs agree.
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most: int = LABELLED) -> DataFrame:
+    """k documents drawn by importance: doc_id, log_weight, sample_key.
 
-    Null and empty texts have log_weight 0. A null quality or toxic counts as not good; labels without doc_id are left
-    out, and repeated labels of a document count once (the worst). Without labels of both kinds nothing is rejected.
-    Repeated rows of documents are drawn each; an empty table gives an empty one.
+    docs: doc_id, text; labels: doc_id, quality, toxic. Target: quality 1 and not toxic. k is how many documents to draw;
+    unless given, as many as weigh at least what best parts labelled good from other documents, judged by labelled documents
+    that the model was not fitted on. Noise follows from doc_id, so runs agree.
+
+    Null and empty texts have a log_weight of 0 or near it. A null quality or toxic counts as not good; labels without
+    doc_id are left out, and repeated labels of a document count once (the worst). Without labels of both kinds nothing is
+    rejected. Repeated rows of documents are drawn each; as a labelled one, a repeated document counts once, by its
+    smallest weight. An empty table gives an empty one.
     """
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(1)) == 0)
     sample = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce(good, F.lit(False)).cast("int")).alias("good"))
@@ -164,10 +168,8 @@ def resample(docs: DataFrame, labels: DataFrame, most: int = LABELLED, temperatu
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     log = fit_ratio(rows.join(F.broadcast(sample.select("doc_id", "role")), "doc_id", "left").select("text", "role"))
     weights = keep(weigh(rows, log))
-    held = weights.join(F.broadcast(sample.where("role = 2").select("doc_id", "good")), "doc_id").select("log_weight", "good").limit(4 * most).toPandas()
-    cut = best_cut(held["log_weight"][held["good"] == 1].to_numpy(), held["log_weight"][held["good"] == 0].to_numpy())
     if k is None:
+        held = weights.join(F.broadcast(sample.where("role = 2").select("doc_id", "good")), "doc_id").groupBy("doc_id", "good").agg(F.min("log_weight").alias("w")).toPandas()  # `most` rows at most
+        cut = best_cut(held["w"][held["good"] == 1].to_numpy(), held["w"][held["good"] == 0].to_numpy())
         k = weights.where(F.col("log_weight") >= F.lit(float(cut))).count()
-    unit = (F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keys = weights.withColumn("sample_key", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(unit)))
-    return top_k_cut(keys, k)
+    return top_k_cut(weights.withColumn("sample_key", F.col("log_weight") + noise()), k)

@@ -335,6 +335,44 @@ def test_quality(spark):
     assert quality.resample(awkward(spark), odd).count() > 0
 
 
+def test_quality_brute_force(spark, monkeypatch):
+    """Weights, noise and the k largest keys, recomputed n-gram by n-gram."""
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(quality, "BITS", 20)
+    texts = ["good words here", "fine good words", "good  good\tthings", "bad junk junk", "junk bad ###", None, "", "é", "fine things", "bad ### ###"]
+    df = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 1, 0), (3, 0, 0), (4, 1, 1), (9, 0, 0)], "doc_id long, quality int, toxic int")
+
+    def grams(t):
+        x = b" " + b" ".join((t or "").encode().split()) + b" " if (t or "").split() else b" "
+        w = (t or "").split()
+        x = b"  " if not t else x  # an empty text is two spaces, which are one
+        x = b" " if x == b"  " else x
+        return [x[i : i + n] for n in (2, 3, 4) for i in range(len(x) - n + 1)] + ["twice"] * sum(a == b for a, b in zip(w, w[1:]))
+
+    held = {r.doc_id for r in labels.selectExpr("doc_id").where("pmod(xxhash64(doc_id, 5), 4) = 3").collect()}
+    raw = Counter(g for t in texts for g in grams(t))
+    target = Counter(g for i in {0, 1, 2} - held for g in grams(texts[i]))
+    share = sum(target.values()) / sum(raw.values())
+    log = {g: math.log((target[g] + 1) / (n * share + 1)) for g, n in raw.items()}
+    middle, seen = sum(raw.values()) / 2, 0
+    for g in sorted(log, key=log.get):
+        seen += raw[g]
+        if seen >= middle:
+            break
+    log = {h: x - log[g] for h, x in log.items()}
+    log = {h: x if abs(x) >= quality.TELLING else 0.0 for h, x in log.items()}
+    weight = {i: sum(log[g] for g in grams(t)) * quality.SHARPNESS / math.sqrt(max(1, len(grams(t)))) for i, t in enumerate(texts)}
+    noise = {r.doc_id: r.n for r in df.select("doc_id", quality.noise().alias("n")).collect()}
+    for k in (0, 3, 10):
+        got = {r.doc_id: (r.log_weight, r.sample_key) for r in quality.resample(df, labels, k=k).collect()}
+        assert set(got) == set(sorted(weight, key=lambda i: -(weight[i] + noise[i]))[:k])
+        for i, (w, key) in got.items():
+            assert abs(w - weight[i]) < 1e-4 and abs(key - w - noise[i]) < 1e-9
+
+
 def test_oracles(spark):
     from tests.compare import differ
 
