@@ -4,10 +4,12 @@ A page is a row of words and tags. A word scores what its place tells, a tag min
 largest sum is the content, found in one scan (Pasternack and Roth 2009). Scores come from labelled pages, those that mark
 their content with article or main:
 - a tag costs the more, the more often it stands outside of content;
-- a word's score is the log odds of content given its features: the elements it stands in and the words of their class, id
-  and role. Features that few pages have keep near the prior PRIOR_FEATURES, which knows what menus, forms and adverts are
-  called; with labelled pages that say otherwise they lose.
-Inside the best region, what stands in an element of a negative feature (an advert in the article, say) is left out.
+- a word's score comes from the log odds of content, beside those of any word, given its features: telling elements around
+  it (links, menus, forms, article) and the words of the class, id and role of all elements around it. Features that few
+  pages have keep near the prior PRIOR_FEATURES, which knows what menus, forms and adverts are called; where labelled pages
+  say otherwise, they lose.
+Inside the best region, what stands in an element of a negative feature (an advert in the article, say; but not a link) is
+left out.
 """
 
 from __future__ import annotations
@@ -41,8 +43,10 @@ PRIOR_FEATURES |= dict.fromkeys((f".{x}" for x in "ad ads advert advertisement a
 PRIOR_FEATURES |= dict.fromkeys((f".{x}" for x in "banner notice comment respond reply replies share sharing social related subscribe subscription popup modal search login".split()), 30.0)
 #: The least a tag costs, and what it costs more where it always stands outside of content; words inside content seen beforehand.
 BASE, OUTSIDE, SEEN = 0.1, 5.0, 10.0
-#: Features of this many distinct names are told from one task to the next stage; rarer ones of class, id and role hash to one of so many cells.
+#: Words of class, id and role that the prior doesn't know are told apart by a hash of so many cells.
 CELLS = 1 << 16
+#: A log odds below TELLING speaks against a word; scores lie between -MOST and 1 + MOST.
+TELLING, MOST = -0.7, 4.0
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
@@ -69,11 +73,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
             yield "tag", name, closing, attributes
 
 
-def features(name: str, attributes: str) -> tuple[str, ...]:
-    """The name of an element and, after a dot, the words of its class, id and role (of a cell of CELLS if they aren't in the prior)."""
-    if not attributes:
-        return (name,)
-    out = {name}
+def features(name: str, attributes: str, marked: bool) -> tuple[str, ...]:
+    """What an element tells: its name if that is a telling one (a header isn't inside of an article or main element), and after a dot the words of its class, id and role."""
+    out = {name} if name in PRIOR_FEATURES and not (marked and name == "header") or name in ("article", "main") else set()
     for m in MARKS.finditer(attributes):
         for word in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower()):
             if word:
@@ -94,7 +96,7 @@ def stream(page: str) -> list[tuple[str, str, tuple[tuple[str, ...], ...], bool]
                     names.pop()
                     held.pop()
                 names.append(value)
-                held.append(features(value, attributes))
+                held.append(features(value, attributes, bool(marked)))
                 if value in ("article", "main"):
                     marked.append(len(names))
         else:
@@ -120,36 +122,42 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def weights_of(counts: dict[tuple[str, str, int], int]) -> tuple[dict[str, float], dict[str, float]]:
-    """Costs of tags, and scores of features for the words below them. counts: (tag or word, name, inside) -> how many."""
-    costs, scores = {}, {}
-    for what, name in {(w, n) for w, n, _ in counts} | {("word", f) for f in PRIOR_FEATURES}:
-        inside, outside = counts.get((what, name, 1), 0), counts.get((what, name, 0), 0)
-        if what == "tag":
-            share = (outside + 0.5) / (inside + outside + 1)
-            costs[name] = BASE + OUTSIDE * max(0.0, 2 * share - 1)
-        else:
-            scores[name] = log((inside + SEEN) / (outside + SEEN + PRIOR_FEATURES.get(name, 0.0)))
+    """Costs of tags (of unknown ones under an empty name), and log odds of features. counts: (tag, word or all, name, inside) -> how many."""
+
+    def odds(what: str, name: str, against: float = 0.0) -> float:
+        return log((counts.get((what, name, 1), 0) + SEEN) / (counts.get((what, name, 0), 0) + SEEN + against))
+
+    costs = {"": BASE if counts else 1.0, "article": 0.0, "main": 0.0}
+    for name in {n for w, n, _ in counts if w == "tag"}:
+        inside, outside = counts.get(("tag", name, 1), 0), counts.get(("tag", name, 0), 0)
+        costs[name] = BASE + OUTSIDE * max(0.0, 2 * (outside + 0.5) / (inside + outside + 1) - 1)
+    base = odds("all", "")
+    scores = {name: odds("word", name, PRIOR_FEATURES.get(name, 0.0)) - base for name in {n for w, n, _ in counts if w == "word"} | set(PRIOR_FEATURES)}
     return costs, scores
 
 
-def word_score(held: tuple[tuple[str, ...], ...], scores: dict[str, float], known: dict) -> float:
-    """1 for a word if nothing speaks against its place, else the least score of the features it stands in; not below -5."""
-    if held not in known:
-        least = min((scores.get(f, 0.0) for names in held for f in names), default=0.0)
-        known[held] = 1.0 if least > -0.7 else max(-5.0, least)
-    return known[held]
+def worth(held: tuple[tuple[str, ...], ...], scores: dict[str, float]) -> tuple[float, bool]:
+    """The score of a word, and whether it may be left out of the region."""
+    told = {f: scores.get(f, 0.0) for names in held for f in names}
+    least = min(told.values(), default=0.0)
+    if least < TELLING:
+        return max(-MOST, least), any(x < TELLING for f, x in told.items() if f != "a")
+    return 1 + min(MOST, max(told.values(), default=0.0)), False
 
 
 def main_text(page: str, weights: tuple[dict[str, float], dict[str, float]]) -> str:
     costs, scores = weights
     known: dict = {}
-    row = stream(page)
-    worth = [len(value.split()) * word_score(held, scores, known) if kind == "text" else -costs.get(value, 1.0) for kind, value, held, _ in row]
-    begin, end = best_region(worth)
+    row, line = stream(page), []
+    for kind, value, held, _ in row:
+        if held not in known:
+            known[held] = worth(held, scores)
+        line.append(len(value.split()) * known[held][0] if kind == "text" else -costs.get(value, costs[""]))
+    begin, end = best_region(line)
     blocks, now = [], []
     for kind, value, held, _ in [*row[begin:end], ("close", "div", (), False)]:
         if kind == "text":
-            if word_score(held, scores, known) > 0:
+            if not known[held][1]:
                 now.append(value)
         elif value == "br":
             now.append(" ")
@@ -181,13 +189,12 @@ def extract(pages: DataFrame, labelled: int = LABELLED) -> DataFrame:
                 for kind, value, held, inside in stream(page):
                     if kind == "text":
                         size = len(value.split())
+                        n["all", "", int(inside)] += size
                         for name in {f for names in held for f in names} if size else ():
                             n["word", name, int(inside)] += size
                     elif value not in ("article", "main"):
                         n["tag", value, int(inside)] += 1
-        # names of tags are free text too: unknown ones share the cells of rare words
-        rows = [(w, x if len(x) < 16 else f".{crc32(x.encode()) % CELLS}", i, c) for (w, x, i), c in n.items()]
-        yield pd.DataFrame(rows, columns=["what", "name", "inside", "n"])
+        yield pd.DataFrame([(w, x[:40], i, c) for (w, x, i), c in n.items()], columns=["what", "name", "inside", "n"])
 
     counted = marked.mapInPandas(count, "what string, name string, inside int, n long").groupBy("what", "name", "inside").agg(F.sum("n").alias("n"))
     weights = weights_of({(r["what"], r["name"], r["inside"]): r["n"] for r in counted.collect()})  # of LABELLED pages, by name or cell

@@ -276,6 +276,35 @@ def test_html(spark):
         assert re.sub(r"\s+", " ", r.text).strip() == re.sub(r"\s+", " ", H.unescape(re.sub(r"<[^>]*>", " ", article))).strip()
 
 
+def test_html_best_region():
+    """The scan against all regions."""
+    rng = random.Random(4)
+    for _ in range(300):
+        x = [rng.choice([-2.5, -1.0, -0.5, 0.0, 1.0, 2.0]) for _ in range(rng.randrange(0, 14))]
+        begin, end = html_text.best_region(x)
+        best = max((sum(x[i:j]) for i in range(len(x)) for j in range(i, len(x) + 1)), default=0)
+        assert sum(x[begin:end]) == max(best, 0) and (best > 0 or begin == end)
+
+
+def test_html_without_article(spark):
+    """Pages that don't mark their content, beside some that do; links, lists and headers stay in the text."""
+    import html as H
+    import re
+
+    real = spark.read.parquet(f"{SF}/pages.parquet").toPandas().sort_values("page_id")
+    text = {}
+    for i, page in zip(real["page_id"], real["html"], strict=True):
+        text[i] = re.sub(r"\s+", " ", H.unescape(re.sub(r"<[^>]*>", " ", page.split("<article>")[1].split("</article>")[0]))).strip()
+    bare = real["page_id"] % 2 == 1
+    real.loc[bare, "html"] = [x.replace("<article>", '<div class="story">').replace("</article>", "</div>") for x in real.loc[bare, "html"]]
+    got = {r.page_id: re.sub(r"\s+", " ", r.text) for r in html_text.extract(spark.createDataFrame(real)).collect()}
+    assert got == text
+    odd = '<body><nav><a href="/">Home</a></nav><article><header><h1>Title</h1></header><p>Some <a href="x">linked words</a> here</p><ul><li>one</li><li>two</li></ul><div class="ad-box ad">Buy</div><div class="related-work"><p>More of it</p></div></article><div class="sidebar">Side</div><footer>End</footer></body>'
+    rows = [(i, "u", odd) for i in range(40)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    assert got.text == "Title\n\nSome linked words here\n\none\n\ntwo\n\nMore of it"
+
+
 def test_decontaminate(spark):
     bench = spark.createDataFrame([(1, "If a train travels 60 km in 2 hours how far does it go in 5 hours at that speed"), (2, "the quick brown fox"), (3, None), (4, "")], "item_id long, text string")
     texts = ["Intro. IF a train, travels 80 miles in 3 hours: how far does it go in 7 hours at that speed?", "if a train travels 80 km in 3 hours how far does it go in 3 hours at that speed", "if a train travels 60 km in 2 hours how far does it go in 5 hours at that speed", "a train travels far", "the quick brown fox", "we saw the quick brown fox", None, ""]
