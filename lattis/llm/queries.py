@@ -54,10 +54,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_substring_dedup, op4_license_scan, op5_url_filter, op6_bestfit_packing, op7_html_extract, op8_decontaminate, op9_quality_resample, op10_jaccard_join)}
 
-KNOWN = ", ".join(f"('{licenses.normal(t)}', '{name}')" for name, texts in licenses.SENTENCES.items() for t in texts)
-ORDERED = sorted(licenses.RULES, key=lambda r: (-len(r[1]), r[1]))
-PATTERN = "|".join("".join(f" {x} " for x in seq) for _, seq in ORDERED)
-MEANT = ", ".join(f"('{''.join(f' {x} ' for x in seq)}', '{name}')" for name, seq in ORDERED)
+NUMBER_OF = {name: k for k, name in enumerate(licenses.SENTENCES)}
+KNOWN = {licenses.normal(t): NUMBER_OF[name] for name, texts in licenses.SENTENCES.items() for t in texts}
+KNOWN_SQL = ", ".join(f"('{t}', {k})" for t, k in KNOWN.items())
+PATTERN, LICENCES = licenses.rule_patterns(licenses.RULES, NUMBER_OF)
+MEANT = ", ".join(f"('{m}', '{name}')" for m, name in LICENCES.items())
+UNIT = "'" + licenses.unit_pattern(list(KNOWN)).replace("\u0001", r"\x01").replace("\u0002", r"\x02") + "'"
 
 SPACED = r"string_split(trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')), ' ')"
 NUMBER = lambda x: rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}])\p{{N}}+(?:[.,:]\p{{N}}+)*($|[^\p{{L}}\p{{N}}])', '\1' || chr(2) || '\2', 'g')"
@@ -91,14 +93,15 @@ f AS (SELECT doc_id, item_id, whole, CASE WHEN whole THEN n_open ELSE n_same END
 SELECT doc_id, item_id, n_windows, n_slots, exact FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY whole DESC, n_windows DESC, exact DESC, n_slots DESC) = 1
 """,
     "op4_license_scan": rf"""
-WITH k(sentence, sid) AS (VALUES {KNOWN}), meant(m, licence) AS (VALUES {MEANT}),
-a AS (SELECT doc_id, regexp_replace(lower(regexp_replace(regexp_replace(text, '[.!?]+(\s|$)', chr(1) || '\1', 'g'), '\n|;', chr(1), 'g')), '[^a-z0-9' || chr(1) || ']+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM a),
-e AS (SELECT doc_id, unnest(ss) AS sentence, unnest(range(len(ss))) AS pos FROM s),
-l AS (SELECT doc_id, ' ' || string_agg(sid || '  ', '' ORDER BY pos, sid) AS line, min(pos) AS first_sentence FROM e JOIN k USING (sentence) GROUP BY doc_id),
-f AS (SELECT doc_id, first_sentence, unnest(regexp_extract_all(line, '({PATTERN})')) AS m FROM l
-      UNION ALL SELECT doc_id, first_sentence, unnest(list_filter(string_split(regexp_replace(line, '{PATTERN}', ' ', 'g'), ' '), lambda x: x <> '')) AS m FROM l)
-SELECT doc_id, coalesce(licence, 'unmatched') AS licence, count(*) AS n_found, min(first_sentence) AS first_sentence FROM f LEFT JOIN meant USING (m) GROUP BY 1, 2
+WITH k(sentence, sid) AS (VALUES {KNOWN_SQL}), meant(m, licence) AS (VALUES {MEANT}),
+a AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[.!?;:]+(\s|$)', chr(1) || '\1', 'g'), '\n[ \t\r]*\n', chr(1), 'g'), '\n', chr(2), 'g') AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT r, doc_id, regexp_replace(regexp_replace(regexp_replace(lower(t), '[^a-z0-9\x01\x02]+', ' ', 'g'), '[ \x01\x02]*\x01[ \x01\x02]*', ' ' || chr(1) || ' ' || chr(1) || ' ', 'g'), '[ ]*\x02[ \x02]*', ' ' || chr(2) || ' ' || chr(2) || ' ', 'g') AS t FROM a),
+u AS (SELECT r, doc_id, regexp_extract_all(chr(1) || ' ' || trim(t) || ' ' || chr(1), {UNIT}, 1) AS us FROM b),
+e AS (SELECT r, doc_id, sid, pos, lag(pos) OVER (PARTITION BY r ORDER BY pos) AS before FROM (SELECT r, doc_id, unnest(us) AS x, unnest(range(len(us))) AS pos FROM u) JOIN k ON sentence = replace(x, ' ' || chr(2) || ' ' || chr(2) || ' ', ' ')),
+l AS (SELECT r, doc_id, string_agg(CASE WHEN pos - before > {licenses.GAP + 1} THEN ' | ' ELSE '' END || ' ' || sid || '@' || pos || ' ', '' ORDER BY pos) AS line FROM e GROUP BY r, doc_id),
+f AS (SELECT doc_id, unnest(regexp_extract_all(line, '({PATTERN})')) AS m FROM l
+      UNION ALL SELECT doc_id, unnest(regexp_extract_all(regexp_replace(line, '{PATTERN}', ' ', 'g'), '\d+@\d+')) AS m FROM l)
+SELECT doc_id, coalesce(licence, 'unmatched') AS licence, count(*) AS n_found, min(CAST(regexp_extract(f.m, '@(\d+)', 1) AS BIGINT)) AS first_sentence FROM f LEFT JOIN meant ON meant.m = regexp_replace(f.m, '@\d+', '', 'g') GROUP BY 1, 2
 """,
     "op1_topk_search": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL),

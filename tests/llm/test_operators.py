@@ -223,6 +223,54 @@ def test_licenses(spark):
     assert licenses.scan(awkward(spark)).count() == 0 and licenses.scan(awkward(spark).limit(0)).count() == 0
 
 
+def test_licenses_notices(spark):
+    """Notices as they stand in files: wrapped, behind comment signs, with text between them."""
+    mit = """/*
+ * Copyright (c) Someone
+ *
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+ * copies of the Software, and to permit persons to whom the Software is
+ * furnished to do so, subject to the following conditions:
+ *
+ * The above copyright notice and this permission notice shall be included in all
+ * copies or substantial portions of the Software.
+ */"""
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+    apache = """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+// See the License for the specific language governing permissions and
+// limitations under the License."""
+    bsd = """Copyright. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice,
+  this list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution."""
+    lines = "one. " * 10
+    texts = {0: mit, 1: gpl, 2: apache, 3: bsd, 4: mit + "\n\n" + gpl, 5: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.\n" + lines + "\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", 6: "We love all rights reserved seats", 7: "x. " * 30_000 + gpl}
+    rows = [(i, t, "en", "s") for i, t in texts.items()] + [(2, apache, "en", "s"), (None, mit, "en", "s")]
+    got = {(r.doc_id, r.licence): (r.n_found, r.first_sentence) for r in licenses.scan(documents(spark, rows)).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {(0, "MIT"): 1, (1, "GPL-3.0-or-later"): 1, (2, "Apache-2.0"): 2, (3, "BSD-2-Clause"): 1, (3, "all-rights-reserved"): 1, (4, "MIT"): 1, (4, "GPL-3.0-or-later"): 1, (5, "MIT"): 1, (5, "unmatched"): 1, (7, "GPL-3.0-or-later"): 1, (None, "MIT"): 1}
+    assert got[4, "MIT"][1] < got[4, "GPL-3.0-or-later"][1] and got[7, "GPL-3.0-or-later"][1] == 30_000 and got[5, "unmatched"][1] > 10
+
+
 def test_url_filter(spark):
     urls = ["http://Example.ORG/es/1", "https://blog.example.org/en/19?x", "https://example.org/en/2", "http://badexample.org/es/", "ftp://a.com/de/x#y", "http://com/fr/", "http://a.net/", "nothing", None, "://", "http://x.org", "http://example.org/es/" + "a" * 20000]
     pages = spark.createDataFrame([(i, u, "h", "k") for i, u in enumerate(urls)] + [(None, urls[0], "h", "k")], "page_id long, url string, html string, key string")
