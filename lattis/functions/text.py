@@ -117,9 +117,10 @@ def token_estimate(text: Column) -> Column:
 
 
 def strip_markdown(text: Column) -> Column:
-    """Plain text of markdown: code, headings, emphasis, links and quotes lose their marks, list items begin with a bullet; emphasised text holds no star."""
+    """Plain text of markdown: code, headings, emphasis, links and quotes lose their marks, list items begin with a bullet."""
+    # The rules, in their order.
     steps = [
-        (r"(?sm)^```\w*\n?(.*?)```", "$1"), (r"(?s)```(.*?)```", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"\*\*(.+?)\*\*", "$1"), (r"\*([^*\n]+)\*", "$1"), ("`(.+?)`", "$1"),
+        (r"(?sm)^```\w*\n?(.*?)```", "$1"), (r"(?s)```(.*?)```", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"\*\*(.+?)\*\*", "$1"), (r"(?<!\*)\*(.+?)\*(?!\*)", "$1"), ("`(.+?)`", "$1"),
         (r"(?m)^\s*[-*+]\s+", "• "), (r"(?m)^\s*\d+\.\s+", ""), (r"\[(.+?)\]\(.+?\)", "$1"), (r"(?m)^>\s+", ""), (r"(?m)^---+$", ""), (r"\n{3,}", "\n\n"),
     ]
     return F.trim(reduce(lambda c, s: F.regexp_replace(c, *s), steps, text))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattis.session import keep
+
 # Declarations that one line of a script can open, as (kind, pattern with the name as its group).
 SYMBOL_RULES = [
     ("include", r"""^\s*#include\s+["<]([^">]+)[">]"""),
@@ -20,7 +22,9 @@ SYMBOL_RULES = [
 CONTROL_WORDS = "if|for|while|switch|return|else|do|catch|case|break|continue|new|delete|throw"
 # Languages whose names are indexed.
 INDEXED_LANGUAGES = ["cn", "zh", "zh_cn", "zh-cn", "chinese", "en", "english"]
-# Sentences of a description by entity type: (field aliases after `specification.` too, format, format for values other than 1).
+# Sentences of a description by entity type: (field aliases, after `specification.` too unless they begin with =; format; another
+# format; mode). The other format is for values other than 1 (flag, the mode if there is another format), for 0 (zero), or for values without a sign,
+# above 0 and else (sign); a sentence of mode any needs a 1 among the values.
 TEMPLATES = {
     "weapon": [
         ("class|weapon_class", "This is a weapon of class {}.", None), ("damage", "It deals {} base damage per shot.", None), ("magazine_size", "It has a magazine capacity of {} rounds.", None),
@@ -35,9 +39,31 @@ TEMPLATES = {
     ],
     "vehicle": [
         ("class|vehicle_class", "This is a class {} vehicle.", None), ("max_speed", "Its maximum speed is {} m/s.", None), ("acceleration", "Its acceleration is {}.", None), ("max_hitpoints", "It has {} hit points.", None),
-        ("armor", "Its armor rating is {}.", None), ("seat_count", "It can carry {} occupants.", None), ("weapon", "Its primary weapon is {}.", None),
+        ("armor", "Its armor rating is {}.", None), ("seat_count", "It can carry {} occupants.", None), ("weapon", "Its primary weapon is {}.", None), ("turret", "It is equipped with a {} turret.", None),
+    ],
+    "soldier": [
+        ("=spawn_score", "This soldier has a spawn score of {}.", None), ("=squad_size_xp_cap", "The squad size XP cap for this soldier is {}.", None), ("=copy_from", 'It is based on the soldier template "{}".', None),
+        ("=faction", "It belongs to the {} faction.", None),
+    ],
+    "call": [
+        ("=name", 'This call is named "{}".', None), ("=initiation_comment1", 'When initiated, the operator says: "{}".', None), ("=type", "Its call type is {}.", None), ("=cooldown", "It has a cooldown of {} seconds.", None),
+        ("=cost", "It costs {} to call.", None),
+    ],
+    "character": [("=name", "Character name: {}.", None), ("=faction", "Faction: {}.", None), ("=appearance", "Appearance variant: {}.", None)],
+    "carry_item": [
+        ("=name", 'This carry item is named "{}".', None), ("=slot", "It occupies carry slot {}.", None), ("=inventory.encumbrance", "It has an encumbrance of {}.", None), ("=inventory.price", "Its price is {}.", None),
+        ("=commonness.value", "Its spawn commonness is {}.", "It cannot be found naturally in the game world (commonness: 0).", "zero"),
+        ("=commonness.in_stock", "It is available in stock.", "It is not available in stock."), ("=commonness.can_respawn_with", "Players can respawn with it.", "Players cannot respawn with it."),
+        ("=transform_on_consume", 'When consumed or used, it transforms into "{}".', None),
+        ("=modifier.speed", "It modifies movement speed by {}.", "It increases movement speed by {}.|It does not change movement speed.", "sign"),
+        ("=modifier.hit_success_probability", "It modifies hit probability by {}.", "It increases hit probability by {}.|It does not change hit probability.", "sign"),
+        ("=modifier.detectability", "It modifies detectability by {}.", "It increases detectability by {}.|It does not change detectability.", "sign"),
     ],
 }
+TEMPLATES["weapon"] += [
+    ("=next_in_chain.key[]|next_in_chain.key", "It can switch to the following weapon mode(s): {}. This represents an alternative fire mode such as an underbarrel grenade launcher or a skill variant.", None),
+    ("=next_in_chain.share_ammo[]|next_in_chain.share_ammo", "Some of these modes share ammo with the current weapon.", "", "any"),
+]
 
 
 def fingerprint(manifest: DataFrame, *by: str) -> DataFrame:
@@ -100,6 +126,14 @@ def symbol_summary(symbols: DataFrame, most: int = 120) -> DataFrame:
     return rows.select("file", "kind", F.size("s").cast("long").alias("n"), F.concat(names, more).alias("names"))
 
 
+def symbol_lookup(requests: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(rid, kind, name, line_no, file): symbols of the file of a request's base name, in its package (null: any; symbols without one are in all). requests: rid, file, mod; symbols: file, kind, name, line_no, mod."""
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    asked = requests.select("rid", base(F.col("file")).alias("base"), F.col("mod").alias("scope"))
+    hit = asked.join(symbols.withColumn("base", base(F.col("file"))), "base")
+    return hit.where(F.col("scope").isNull() | F.col("mod").isNull() | (F.col("scope") == F.col("mod"))).select("rid", "kind", "name", "line_no", "file")
+
+
 def restrict_packages(files: DataFrame, names: list[str], column: str = "package") -> DataFrame:
     """Files of the named packages; an error if none of them exists."""
     out = files.where(F.col(column).isin(names))
@@ -158,16 +192,26 @@ def first_present(attrs: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def template_rows(templates: dict = TEMPLATES) -> list[tuple]:
-    """(type, ord, alias_ord, path, format, other) of a template table."""
-    return [(kind, i, j, path, text, other) for kind, rows in templates.items() for i, (aliases, text, other) in enumerate(rows) for j, path in enumerate(p for a in (aliases, ) for p in [*a.split("|"), *(f"specification.{x}" for x in a.split("|"))])]
+    """(type, ord, alias_ord, path, format, other, mode) of a template table."""
+    out = []
+    for kind, rows in templates.items():
+        for i, (aliases, text, other, *mode) in enumerate(rows):
+            paths = aliases.removeprefix("=").split("|")
+            paths += [] if aliases[0] == "=" else [f"specification.{x}" for x in paths]
+            out += [(kind, i, j, path, text, other, mode[0] if mode else "plain" if other is None else "flag") for j, path in enumerate(paths)]
+    return out
 
 
 def describe(attrs: DataFrame, templates: dict = TEMPLATES) -> DataFrame:
     """(entity, description): a sentence for each template field of the entity's type that is present. attrs: entity, type, path, value."""
-    rules = attrs.sparkSession.createDataFrame(template_rows(templates), "type string, ord int, alias_ord int, path string, format string, other string")
+    rules = attrs.sparkSession.createDataFrame(template_rows(templates), "type string, ord int, alias_ord int, path string, format string, other string, mode string")
     rows = attrs.where("value is not null and value <> ''").join(F.broadcast(rules), ["type", "path"])
-    picked = rows.groupBy("entity", "ord", "format", "other").agg(F.min_by("value", "alias_ord").alias("value"))
-    sentence = F.when(F.col("other").isNotNull() & (F.col("value") != "1"), F.col("other")).otherwise(F.replace("format", F.lit("{}"), "value"))
+    picked = rows.groupBy("entity", "ord", "format", "other", "mode").agg(F.min_by("value", "alias_ord").alias("value"))
+    mode, value, filled = F.col("mode"), F.col("value"), lambda c: F.replace(c, F.lit("{}"), F.col("value"))
+    number, unsigned = value.try_cast("double"), F.split("other", r"\|")
+    sentence = F.when((mode == "flag") & (value != "1") | (mode == "zero") & F.coalesce(number == 0, F.lit(False)), F.col("other"))
+    sentence = sentence.when((mode == "sign") & ~value.rlike("^[+-]"), F.when(number > 0, filled(unsigned[0])).otherwise(unsigned[1]))
+    sentence = sentence.when((mode == "any") & ~value.rlike("(^|, )1(,|$)"), F.lit(None)).otherwise(filled(F.col("format")))
     return picked.groupBy("entity").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", sentence.alias("s")))), lambda x: x["s"]), " ").alias("description"))
 
 
@@ -198,6 +242,7 @@ def expand_includes(rows: DataFrame, most: int = 10) -> DataFrame:
     for _ in range(most):
         step = todo.alias("t").join(rows.alias("r"), (F.col("t.include") == F.col("r.path")) & ~F.array_contains(F.col("t.seen"), F.col("r.path")))
         step = step.select("t.root", F.array_append("t.seen", F.col("r.path")).alias("seen"), F.array_append("t.at", F.col("r.ord")).alias("at"), F.col("r.include").alias("include"), F.col("r.value").alias("value"))
+        step = keep(step)  # a level is computed once, not anew by each later one
         done = done.unionByName(step.where("include is null"))
         todo = step.where("include is not null")
         if not todo.limit(1).count():

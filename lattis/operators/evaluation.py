@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattis.session import keep
+
 # Suffixes and the prefix that a key is compared without.
 KEY_SUFFIX = r"\.weapon$|\.vehicle$|\.projectile$|\.call$|\.carry_item$|\.xml$|\.character$"
 KEY_PREFIX = "^gkw_"
@@ -102,7 +104,18 @@ def bucket_eval(judged: DataFrame) -> DataFrame:
 
 
 def index_percentile(values: DataFrame, column: str, shares: list[float], *by: str) -> DataFrame:
-    """(by, p<share>): the value at index floor(n * share) of the sorted values, the last if beyond. Ranks are windowed, nothing is collected."""
-    w = Window.partitionBy(*by)
-    rows = values.where(F.col(column).isNotNull()).withColumn("i", F.row_number().over(w.orderBy(column)) - 1).withColumn("n", F.count("*").over(w))
+    """(by, p<share>): the value at index floor(n * share) of the sorted values, the last if beyond.
+
+    Values are dealt by ranges, so a group of any size is split; a row's rank is its rank in its range and the rows of the
+    group in earlier ranges. Only the counts of a range and group are windowed by group.
+    """
+    rows = values.where(F.col(column).isNotNull()).select(*by, column)
+    ranges = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = keep(rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(ranges, *by, column, "tie").drop("tie").withColumn("part", F.spark_partition_id()))
+    group = Window.partitionBy(*by)
+    held = rows.groupBy("part", *by).agg(F.count("*").alias("k")).withColumn("before", F.sum("k").over(group.orderBy("part")) - F.col("k")).withColumn("n", F.sum("k").over(group))
+    held = held.drop("k").withColumnsRenamed({"part": "held_part", **{c: f"held_{c}" for c in by}})  # a row for each range and group
+    same = [F.col(c).eqNullSafe(F.col(f"held_{c}")) for c in by]
+    rows = rows.join(F.broadcast(held), [F.col("part") == F.col("held_part"), *same])
+    rows = rows.withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("part", *by).orderBy(column)) - 1)
     return rows.groupBy(*by).agg(*[F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * s), F.col("n") - 1), F.col(column))).alias(f"p{round(s * 100)}") for s in shares])

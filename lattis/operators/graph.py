@@ -43,6 +43,14 @@ def extract_edges(elements: DataFrame) -> DataFrame:
     return rows.select("from", "from_file", "e.target", "e.is_file", "e.rel", "mod", F.struct("ord", "pos").alias("ord"))
 
 
+def tidy(path: Column) -> Column:
+    """A path without empty and `.` steps; each `..` takes the step before it, if there is one."""
+    steps = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    up = lambda done: (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("..")) != "..")
+    fold = F.aggregate(steps, F.array().cast("array<string>"), lambda done, x: F.when((x == "..") & up(done), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x)))
+    return F.array_join(fold, "/")
+
+
 def resolve_refs(edges: DataFrame, files: DataFrame) -> DataFrame:
     """Edges with `to` (the key of the file that a reference names, else the reference) and to_mod.
 
@@ -50,7 +58,6 @@ def resolve_refs(edges: DataFrame, files: DataFrame) -> DataFrame:
     package_dir, target, is_file, ord; files: path, key, package.
     """
     folder = F.regexp_replace("from_file", "/[^/]*$", "")
-    tidy = lambda c: F.regexp_replace(F.regexp_replace(c, "/\\./", "/"), "[^/]+/\\.\\./", "")
     tries = F.array(*[tidy(F.concat(root, F.lit("/"), F.col("target"))) for root in (folder, F.col("package_dir"))], tidy(F.col("target")))
     tried = edges.where("is_file").select("ord", F.posexplode(tries).alias("cand_ord", "path"))
     hit = tried.join(files, "path").groupBy("ord").agg(F.min_by(F.struct("key", "package"), "cand_ord").alias("f"))

@@ -132,13 +132,24 @@ def scoped_search(requests: DataFrame, ranked: DataFrame, docs: DataFrame, snipp
     return got.select("qid", hits.alias("hits"), F.when(hits == 0, F.coalesce("out", F.lit(0))).otherwise(0).alias("elsewhere"), hits.between(1, 2).alias("low_confidence"), "top", "snippet")
 
 
+def containing(small: DataFrame, big: DataFrame) -> DataFrame:
+    """(a, b) of texts s in texts t that hold them. small: a, s; big: b, t; not empty.
+
+    A held text's first three characters (or all, if fewer) are a key; a holding text is found under each of its own runs
+    of up to three characters.
+    """
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.array(*[F.substring(F.col("t"), i, F.lit(n)) for n in (1, 2, 3)]))))
+    held = small.where("s <> ''").withColumn("gram", F.substring("s", 1, 3))
+    return held.join(big.where("t <> ''").withColumn("gram", F.explode(grams)), "gram").where(F.contains("t", "s")).select("a", "b")
+
+
 def resolve_names(requests: DataFrame, names: DataFrame, overlap: float = 0.6) -> DataFrame:
     """(rid, id, rung): each request's best name by a ladder of matches.
 
     Rungs: 1 equal identifier, 2 equal normalised name, 3 one contains the other (by the shorter length), 4 shared words or
-    characters of at least `overlap` of the request's. Ties: kind_rank, then ord. requests: rid, name; names: id, key,
-    norm, parts (array), kind_rank, ord. Rungs 1 and 2 are joins on keys, 3 and 4 meet names that share a part; later
-    rungs take only requests that earlier ones left.
+    characters of at least `overlap` of the request's, 5 an identifier that contains the request. Ties: kind_rank, then
+    ord. requests: rid, name; names: id, key, norm, parts (array), kind_rank, ord. Rungs 1 and 2 are joins on keys, 3 and 5
+    on runs of characters, 4 on parts; later rungs take only requests that earlier ones left.
     """
     squeeze = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9一-鿿]+", "")
     r = requests.select("rid", F.lower("name").alias("low"), squeeze("name").alias("want"), F.array_distinct(tokenize(F.lower(F.col("name")))).alias("has"))
@@ -149,12 +160,16 @@ def resolve_names(requests: DataFrame, names: DataFrame, overlap: float = 0.6) -
     left = r.join(done.select("rid").distinct(), "rid", "left_anti")
     met = left.withColumn("part", F.explode("has")).join(n.withColumn("part", F.explode("parts")), "part").dropDuplicates(["rid", "id"])
     share = F.size(F.array_intersect("has", "parts")) / F.size("has")
-    within = F.contains("norm", "want") | F.contains("want", "norm")
-    rung = F.when(within & (F.col("norm") != "") & (F.col("want") != ""), 3).when(share >= overlap, 4)
-    s = F.when(rung == 3, F.least(F.length("norm"), F.length("want")).cast("double")).otherwise(F.round(share, 6))
-    later = met.withColumn("rung", rung).withColumn("s", s).where("rung is not null").select("rid", "id", "rung", "s", "kind_rank", "ord")
+    four = met.withColumn("s", F.round(share, 6)).where(share >= overlap).select("rid", "id", F.lit(4).alias("rung"), "s", "kind_rank", "ord")
+    wants, norms = left.select("rid", "want"), n.select("id", "norm")
+    within = containing(wants.toDF("a", "s"), norms.toDF("b", "t")).toDF("rid", "id").unionByName(containing(norms.toDF("a", "s"), wants.toDF("b", "t")).toDF("id", "rid")).distinct()
+    three = within.join(wants, "rid").join(n, "id").select("rid", "id", F.lit(3).alias("rung"), F.least(F.length("norm"), F.length("want")).cast("double").alias("s"), "kind_rank", "ord")
+    done = done.unionByName(three).unionByName(four)
+    left = r.join(done.select("rid").distinct(), "rid", "left_anti")
+    five = containing(left.select("rid", "low").toDF("a", "s"), n.select("id", "key").toDF("b", "t")).toDF("rid", "id").distinct()
+    five = five.join(n, "id").select("rid", "id", F.lit(5).alias("rung"), F.lit(0.0).alias("s"), "kind_rank", "ord")
     best = Window.partitionBy("rid").orderBy("rung", F.desc("s"), F.desc("kind_rank"), "ord")
-    return done.unionByName(later).withColumn("k", F.row_number().over(best)).where("k = 1").select("rid", "id", "rung")
+    return done.unionByName(five).withColumn("k", F.row_number().over(best)).where("k = 1").select("rid", "id", "rung")
 
 
 def suggest(requests: DataFrame, names: DataFrame, stop: list[str], shared: int = 2, share: float = 0.5, most: int = 3) -> DataFrame:

@@ -101,6 +101,21 @@ SELECT file, kind, count(*) AS n, string_agg(name, ', ' ORDER BY k) FILTER (k <=
 """
 
 
+def s9_symbol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with symbols asks for itself by its base name, in its package, another, or any."""
+    s = s8_line_symbols(spark, sf_dir).withColumn("mod", F.substring("file", 1, 4))
+    n = F.length("file")
+    asked = s.select("file", "mod").distinct().select(F.col("file").alias("rid"), F.concat(F.lit("x/"), F.element_at(F.split("file", "/"), -1)).alias("file"), F.when(n % 2 == 0, F.col("mod")).when(n % 3 == 0, "none").alias("mod"))
+    return C.symbol_lookup(asked, s)
+
+
+S9_LOOKUP_SQL = f"""
+WITH s AS (SELECT file, kind, name, line_no, substr(file, 1, 4) AS mod, string_split(file, '/')[-1] AS base FROM {SYMBOLS_SQL}),
+a AS (SELECT DISTINCT file AS rid, base, CASE WHEN length(file) % 2 = 0 THEN mod WHEN length(file) % 3 = 0 THEN 'none' END AS scope FROM s)
+SELECT rid, kind, name, line_no, file FROM a JOIN s USING (base) WHERE scope IS NULL OR scope = mod
+"""
+
+
 def s12_restrict_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.restrict_packages(files(spark, sf_dir), ["src1", "src3", "nowhere"]).select("package", "path")
 
@@ -140,22 +155,30 @@ UNION ALL SELECT o_orderkey, 'line.part[]', array_to_string(p, ', ') FROM o WHER
 """
 
 
+KINDS = ["weapon", "projectile", "vehicle", "soldier", "call", "character", "carry_item"]
+
+
 def part_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as entities: entity, type, path, value; some values are empty."""
     p = table(spark, sf_dir, "part")
-    kind = F.element_at(F.array(F.lit("weapon"), F.lit("projectile"), F.lit("vehicle")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("p_partkey") % 7 + 1).cast("int"))
     k = F.col("p_partkey")
     pairs = [
         ("class", F.col("p_brand")), ("damage", F.when(k % 5 == 0, "").otherwise(F.col("p_size").cast("string"))), ("specification.damage", F.col("p_name")), ("rpm", (k % 100).cast("string")), ("speed", (k % 7).cast("string")),
         ("carry_in_back", (k % 2).cast("string")), ("can_shoot_down", (k % 4).cast("string")), ("max_speed", F.when(k % 3 == 2, (k % 50).cast("string"))), ("weapon", F.col("p_type")),
+        ("name", F.col("p_name")), ("faction", F.col("p_type")), ("cost", F.col("p_size").cast("string")), ("inventory.price", (k % 9).cast("string")), ("commonness.value", (k % 3).cast("string")), ("commonness.in_stock", (k % 2).cast("string")),
+        ("modifier.speed", F.element_at(F.array(F.lit("+0.2"), F.lit("-0.1"), F.lit("0.3"), F.lit("0"), F.lit("x")), (k % 5 + 1).cast("int"))), ("next_in_chain.key[]", F.concat("p_brand", F.lit(", "), "p_type")), ("next_in_chain.share_ammo[]", F.concat(F.lit("0, "), (k % 2).cast("string"))),
     ]
     return p.select(k.alias("entity"), kind.alias("type"), F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(n).alias("path"), v.alias("value")) for i, (n, v) in enumerate(pairs)])).alias("a")).select("entity", "type", "a.*")
 
 
-ATTRS_SQL = """(SELECT p_partkey AS entity, ['weapon', 'projectile', 'vehicle'][CAST(p_partkey % 3 + 1 AS INTEGER)] AS type, unnest([
-{'pos': 0, 'path': 'class', 'value': p_brand}, {'pos': 1, 'path': 'damage', 'value': CASE WHEN p_partkey % 5 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END}, {'pos': 2, 'path': 'specification.damage', 'value': p_name},
-{'pos': 3, 'path': 'rpm', 'value': CAST(p_partkey % 100 AS VARCHAR)}, {'pos': 4, 'path': 'speed', 'value': CAST(p_partkey % 7 AS VARCHAR)}, {'pos': 5, 'path': 'carry_in_back', 'value': CAST(p_partkey % 2 AS VARCHAR)},
-{'pos': 6, 'path': 'can_shoot_down', 'value': CAST(p_partkey % 4 AS VARCHAR)}, {'pos': 7, 'path': 'max_speed', 'value': CASE WHEN p_partkey % 3 = 2 THEN CAST(p_partkey % 50 AS VARCHAR) END}, {'pos': 8, 'path': 'weapon', 'value': p_type}], recursive := true) FROM part)"""
+ATTRS_SQL = f"""(SELECT p_partkey AS entity, {KINDS!r}[CAST(p_partkey % 7 + 1 AS INTEGER)] AS type, unnest([
+{{'pos': 0, 'path': 'class', 'value': p_brand}}, {{'pos': 1, 'path': 'damage', 'value': CASE WHEN p_partkey % 5 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END}}, {{'pos': 2, 'path': 'specification.damage', 'value': p_name}},
+{{'pos': 3, 'path': 'rpm', 'value': CAST(p_partkey % 100 AS VARCHAR)}}, {{'pos': 4, 'path': 'speed', 'value': CAST(p_partkey % 7 AS VARCHAR)}}, {{'pos': 5, 'path': 'carry_in_back', 'value': CAST(p_partkey % 2 AS VARCHAR)}},
+{{'pos': 6, 'path': 'can_shoot_down', 'value': CAST(p_partkey % 4 AS VARCHAR)}}, {{'pos': 7, 'path': 'max_speed', 'value': CASE WHEN p_partkey % 3 = 2 THEN CAST(p_partkey % 50 AS VARCHAR) END}}, {{'pos': 8, 'path': 'weapon', 'value': p_type}},
+{{'pos': 9, 'path': 'name', 'value': p_name}}, {{'pos': 10, 'path': 'faction', 'value': p_type}}, {{'pos': 11, 'path': 'cost', 'value': CAST(p_size AS VARCHAR)}}, {{'pos': 12, 'path': 'inventory.price', 'value': CAST(p_partkey % 9 AS VARCHAR)}},
+{{'pos': 13, 'path': 'commonness.value', 'value': CAST(p_partkey % 3 AS VARCHAR)}}, {{'pos': 14, 'path': 'commonness.in_stock', 'value': CAST(p_partkey % 2 AS VARCHAR)}}, {{'pos': 15, 'path': 'modifier.speed', 'value': ['+0.2', '-0.1', '0.3', '0', 'x'][CAST(p_partkey % 5 + 1 AS INTEGER)]}},
+{{'pos': 16, 'path': 'next_in_chain.key[]', 'value': p_brand || ', ' || p_type}}, {{'pos': 17, 'path': 'next_in_chain.share_ammo[]', 'value': '0, ' || (p_partkey % 2)}}], recursive := true) FROM part)"""
 ALIASES = [("hurt", 0, "damage"), ("hurt", 1, "specification.damage"), ("pace", 0, "max_speed"), ("pace", 1, "speed"), ("pace", 2, "rpm")]
 
 
@@ -172,9 +195,11 @@ def d3_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 D3_SQL = f"""
-WITH t AS {values_sql(C.template_rows(), 'type, ord, aord, path, fmt, other')},
-p AS (SELECT entity, ord, fmt, other, arg_min(value, aord) AS v FROM {ATTRS_SQL} a JOIN t USING (type, path) WHERE value <> '' GROUP BY entity, ord, fmt, other)
-SELECT entity, string_agg(CASE WHEN other IS NOT NULL AND v <> '1' THEN other ELSE replace(fmt, '{{}}', v) END, ' ' ORDER BY ord) AS description FROM p GROUP BY entity
+WITH t AS {values_sql(C.template_rows(), 'type, ord, aord, path, fmt, other, mode')},
+p AS (SELECT entity, ord, fmt, other, mode, arg_min(value, aord) AS v FROM {ATTRS_SQL} a JOIN t USING (type, path) WHERE value <> '' GROUP BY entity, ord, fmt, other, mode)
+SELECT entity, string_agg(CASE WHEN mode = 'flag' AND v <> '1' OR mode = 'zero' AND TRY_CAST(v AS DOUBLE) = 0 THEN other
+  WHEN mode = 'sign' AND NOT regexp_matches(v, '^[+-]') THEN CASE WHEN TRY_CAST(v AS DOUBLE) > 0 THEN replace(split_part(other, '|', 1), '{{}}', v) ELSE split_part(other, '|', 2) END
+  WHEN mode = 'any' AND NOT regexp_matches(v, '(^|, )1(,|$)') THEN NULL ELSE replace(fmt, '{{}}', v) END, ' ' ORDER BY ord) AS description FROM p GROUP BY entity
 """
 
 
@@ -298,5 +323,5 @@ b AS (SELECT c.*, (SELECT max(x.k) FROM l x WHERE x.f = c.f AND x.k < c.k AND x.
 SELECT b.f AS file, b.k AS line_no, b.key, CAST(b.k AS INTEGER) AS index, CASE WHEN lk IS NULL OR (bk IS NOT NULL AND ek < bk) THEN '' ELSE (SELECT label FROM l WHERE l.f = b.f AND l.k = b.lk) END AS label FROM b
 """
 
-QUERIES = {f.__name__: f for f in (s4_fingerprint, s5_stale_reason, s7_text_documents, s8_line_symbols, s9_symbol_summary, s12_restrict_packages, s13_read_lines, d1_flatten_attributes, d2_first_present, d3_describe, d5_effective_attributes, d7_localize, d8_localized_name, d9_indexed_names, d10_render_content, d11_to_documents, d12_compare_entities, d14_labelled_entries)}
-ORACLE_SQL = {k: globals()[k.split("_")[0].upper() + "_SQL"] for k in QUERIES}
+QUERIES = {f.__name__: f for f in (s4_fingerprint, s5_stale_reason, s7_text_documents, s8_line_symbols, s9_symbol_summary, s9_symbol_lookup, s12_restrict_packages, s13_read_lines, d1_flatten_attributes, d2_first_present, d3_describe, d5_effective_attributes, d7_localize, d8_localized_name, d9_indexed_names, d10_render_content, d11_to_documents, d12_compare_entities, d14_labelled_entries)}
+ORACLE_SQL = {k: globals()[k.split("_")[0].upper() + "_SQL"] for k in QUERIES} | {"s9_symbol_lookup": S9_LOOKUP_SQL}

@@ -264,6 +264,13 @@ SELECT conv_id, fired FROM f WHERE fired > 0
 """
 
 
+def l19_summary_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.summary_input(table(spark, sf_dir, "conversations"))
+
+
+L19_INPUT_SQL = """SELECT conv_id, turn, array_to_string(list(role || ': ' || substr(text, 1, 200)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), chr(10)) AS text FROM conversations"""
+
+
 def l20_steer_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as messages: some blank, some long, the third valid one too many."""
     e = table(spark, sf_dir, "events")
@@ -276,5 +283,5 @@ WITH e AS (SELECT user_id AS turn, event_id AS seq, CASE WHEN event_id % 5 = 0 T
 SELECT turn, seq, coalesce(bad, CASE WHEN count(*) FILTER (bad IS NULL) OVER (PARTITION BY turn ORDER BY seq) > 2 THEN 'too_many' ELSE 'queued' END) AS status FROM e
 """
 
-QUERIES = {f.__name__: f for f in (l2_tool_calls, l3_turn_observations, l4_duplicate_calls, l5_repair_calls, l6_turn_basis, l7_resolve_usage, l8_attribute_usage, l9_rollup_candidates, l10_fold_review, l11_best_draft, l12_review_triggers, l13_normalise_findings, l14_shed_oldest, l15_fit_prefix, l16_assess_turns, l17_admission, l18_session_list, l19_summary_due, l20_steer_admission)}
-ORACLE_SQL = {k: globals()[k.split("_")[0].upper() + "_SQL"] for k in QUERIES}
+QUERIES = {f.__name__: f for f in (l2_tool_calls, l3_turn_observations, l4_duplicate_calls, l5_repair_calls, l6_turn_basis, l7_resolve_usage, l8_attribute_usage, l9_rollup_candidates, l10_fold_review, l11_best_draft, l12_review_triggers, l13_normalise_findings, l14_shed_oldest, l15_fit_prefix, l16_assess_turns, l17_admission, l18_session_list, l19_summary_due, l19_summary_input, l20_steer_admission)}
+ORACLE_SQL = {k: globals()[k.split("_")[0].upper() + "_SQL"] for k in QUERIES} | {"l19_summary_input": L19_INPUT_SQL}

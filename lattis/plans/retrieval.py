@@ -13,6 +13,7 @@ from lattis.functions.text import ENTITY_STOP_WORDS, SEPARATOR
 from lattis.operators import evaluation as E
 from lattis.operators import retrieval as R
 from lattis.plans.common import sql_text, table, values_sql
+from lattis.session import keep
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,19 +48,20 @@ R_CTE = P_CTE + "," + rank_cte("r", "qt", R.BOOSTS)
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.build_postings(docs(spark, sf_dir), FIELDS)
+    """The postings, stored: lengths, frequencies and hits are taken of them without reading a text again."""
+    return keep(R.build_postings(docs(spark, sf_dir), FIELDS))
 
 
 def n_docs(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "documents").count()
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.rank(R.query_terms(queries(spark, sf_dir)), postings(spark, sf_dir), n_docs(spark, sf_dir))
+def ranked(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
+    return R.rank(R.query_terms(queries(spark, sf_dir)), index or postings(spark, sf_dir), n_docs(spark, sf_dir))
 
 
 def r1_build_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(spark, sf_dir)
+    return R.build_postings(docs(spark, sf_dir), FIELDS)
 
 
 R1_SQL = f"WITH {P_CTE} SELECT field, term, doc_id, tf FROM p"
@@ -107,8 +109,9 @@ def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places 3 to 22 of pinned, then ranked documents, filtered by type and package."""
-    pinned = r4_pin_entities(spark, sf_dir)
-    return R.merge_hits(pinned, ranked(spark, sf_dir), docs(spark, sf_dir), filters(spark, sf_dir), ["type", "mod"], 2, 20)
+    index = postings(spark, sf_dir)
+    pinned = R.pin_entities(queries(spark, sf_dir), index, n_docs(spark, sf_dir))
+    return R.merge_hits(pinned, ranked(spark, sf_dir, index), docs(spark, sf_dir), filters(spark, sf_dir), ["type", "mod"], 2, 20)
 
 
 R5_SQL = f"""
@@ -158,17 +161,17 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r9_resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part asks by key, by name in other spelling, by a part of the name, by mixed words, or by nothing known."""
+    """Every part asks by key, by name in other spelling, by a part of the name, by mixed words, by a part of a key, or by nothing known."""
     k, w = F.col("p_partkey"), F.split("p_name", " ")
-    name = F.when(k % 5 == 0, F.concat(F.lit("KEY_"), (k % 200).cast("string"))).when(k % 5 == 1, F.upper("p_name")).when(k % 5 == 2, w[0]).when(k % 5 == 3, F.concat(w[1], F.lit(" zzz"))).otherwise(F.concat(w[1], F.lit(" "), w[0], F.lit(" qq")))
+    name = F.when(k % 35 == 0, F.concat(F.lit("Y_"), (k % 90).cast("string"))).when(k % 5 == 0, F.concat(F.lit("KEY_"), (k % 200).cast("string"))).when(k % 5 == 1, F.upper("p_name")).when(k % 5 == 2, w[0]).when(k % 5 == 3, F.concat(w[1], F.lit(" zzz"))).otherwise(F.concat(w[1], F.lit(" "), w[0], F.lit(" qq")))
     return R.resolve_names(table(spark, sf_dir, "part").select(k.alias("rid"), name.alias("name")), names(spark, sf_dir))
 
 
 R9_SQL = """
 WITH n AS (SELECT min(p_partkey) AS id, 'key_' || min(p_partkey) AS key, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS norm, string_split(lower(p_name), ' ') AS parts, min(p_partkey) % 3 AS kr FROM part GROUP BY p_name),
-q AS (SELECT p_partkey AS rid, lower(CASE p_partkey % 5 WHEN 0 THEN 'key_' || (p_partkey % 200) WHEN 1 THEN p_name WHEN 2 THEN string_split(p_name, ' ')[1] WHEN 3 THEN string_split(p_name, ' ')[2] || ' zzz' ELSE string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1] || ' qq' END) AS low FROM part),
+q AS (SELECT p_partkey AS rid, lower(CASE WHEN p_partkey % 35 = 0 THEN 'Y_' || (p_partkey % 90) WHEN p_partkey % 5 = 0 THEN 'key_' || (p_partkey % 200) WHEN p_partkey % 5 = 1 THEN p_name WHEN p_partkey % 5 = 2 THEN string_split(p_name, ' ')[1] WHEN p_partkey % 5 = 3 THEN string_split(p_name, ' ')[2] || ' zzz' ELSE string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1] || ' qq' END) AS low FROM part),
 r AS (SELECT rid, low, regexp_replace(low, '[^a-z0-9]+', '', 'g') AS want, list_distinct(list_filter(regexp_split_to_array(low, '[^a-z0-9]+'), lambda t: t <> '')) AS has FROM q),
-c AS (SELECT rid, id, kr, CASE WHEN low = key THEN 1 WHEN want = norm THEN 2 WHEN list_has_any(has, parts) AND (contains(norm, want) OR contains(want, norm)) THEN 3 WHEN len(list_intersect(has, parts)) / len(has) >= 0.6 THEN 4 END AS rung, least(length(norm), length(want)) AS l, len(list_intersect(has, parts)) / len(has) AS s FROM r, n)
+c AS (SELECT rid, id, kr, CASE WHEN low = key THEN 1 WHEN want = norm THEN 2 WHEN want <> '' AND norm <> '' AND (contains(norm, want) OR contains(want, norm)) THEN 3 WHEN len(list_intersect(has, parts)) / len(has) >= 0.6 THEN 4 WHEN low <> '' AND contains(key, low) THEN 5 END AS rung, least(length(norm), length(want)) AS l, len(list_intersect(has, parts)) / len(has) AS s FROM r, n)
 SELECT rid, id, rung FROM c WHERE rung IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rid ORDER BY rung, CASE rung WHEN 3 THEN l WHEN 4 THEN round(s, 6) ELSE 0 END DESC, kr DESC, id) = 1
 """
 

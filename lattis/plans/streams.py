@@ -61,7 +61,7 @@ def st2_session_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def st3_open_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns live 2 days here, as the events of a user lie days apart."""
     folder = scratch(spark)
-    return T.run_to_end(T.open_turns(stream_of(spark, turn_events(spark, sf_dir), folder), 2 * 86400), folder, "st3")
+    return T.run_to_end(T.open_turns(stream_of(spark, turn_events(spark, sf_dir), folder), 2 * 86400, remember_seconds=1000 * 86400), folder, "st3")
 
 
 ST3_SQL = """
@@ -114,6 +114,18 @@ SELECT a.turn, a.call, a.ts AS opened, b.ts AS closed, true AS ok FROM e a JOIN
 """
 
 
+def st6_turn_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as calls, views as results (those of every 7th event failed), errors as errors."""
+    e = turn_events(spark, sf_dir)
+    kind = F.when(F.col("type") == "click", "call").when(F.col("type") == "view", "result").otherwise(F.col("type"))
+    folder = scratch(spark)
+    rows = T.turn_rollup(stream_of(spark, e.select("turn", "ts", kind.alias("type"), (F.col("seq") % 7 != 0).alias("ok")), folder))
+    return T.run_updates(rows, folder, "st6r", "turn").withColumn("last_at", F.col("last_at").cast("timestamp_ntz"))
+
+
+ST6_ROLLUP_SQL = """SELECT CAST(user_id AS VARCHAR) AS turn, count(*) FILTER (event_type = 'click') AS calls, count(*) FILTER (event_type = 'error' OR event_type = 'view' AND event_id % 7 = 0) AS failures, max(ts) AS last_at FROM events GROUP BY 1"""
+
+
 def st7_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as files: finished ones were there before, every 9th has gone, every 4th is newer now."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderdate").alias("mtime"), "o_orderkey", "o_orderstatus")
@@ -213,5 +225,5 @@ w AS (SELECT path AS root, path, [path] AS seen, inc, v, 1 AS d FROM r UNION ALL
 SELECT CAST(root AS VARCHAR) AS root, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, count(DISTINCT path) AS files, max(d) AS deepest FROM w WHERE inc IS NULL GROUP BY root
 """
 
-QUERIES = {f.__name__: f for f in (st1_read_events, st2_session_state, st2_session_reads, st3_open_turns, st3_turn_admissions, st4_announce_once, st5_summary_due, st5_summary_due_batch, st6_tool_calls, st7_refresh, s3_assign_package, s6_xml_records, s10_translations, s11_write_corpus, d4_hit_protection, d6_expand_includes)}
-ORACLE_SQL = {k: globals()[k.split("_")[0].upper() + "_SQL"] for k in QUERIES}
+QUERIES = {f.__name__: f for f in (st1_read_events, st2_session_state, st2_session_reads, st3_open_turns, st3_turn_admissions, st4_announce_once, st5_summary_due, st5_summary_due_batch, st6_tool_calls, st6_turn_rollup, st7_refresh, s3_assign_package, s6_xml_records, s10_translations, s11_write_corpus, d4_hit_protection, d6_expand_includes)}
+ORACLE_SQL = {k: globals()[k.split("_")[0].upper() + "_SQL"] for k in QUERIES} | {"st6_turn_rollup": ST6_ROLLUP_SQL}

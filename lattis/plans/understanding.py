@@ -159,7 +159,8 @@ def d13_strip_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STRIP = "text"
-for a, b in ((r"(?sm)^```\w*\n?(.*?)```", r"\1"), (r"(?s)```(.*?)```", r"\1"), (r"(?m)^#{1,6}\s+", ""), (r"\*\*(.+?)\*\*", r"\1"), (r"\*([^*\n]+)\*", r"\1"), ("`(.+?)`", r"\1"), (r"(?m)^\s*[-*+]\s+", "• "), (r"(?m)^\s*\d+\.\s+", ""), (r"\[(.+?)\]\(.+?\)", r"\1"), (r"(?m)^>\s+", ""), (r"(?m)^---+$", ""), (r"\n{3,}", "\n\n")):
+#: DuckDB's patterns don't look around: what isn't a star is doubled, so that a match may take a neighbour and leave its twin to the next.
+for a, b in ((r"(?sm)^```\w*\n?(.*?)```", r"\1"), (r"(?s)```(.*?)```", r"\1"), (r"(?m)^#{1,6}\s+", ""), (r"\*\*(.+?)\*\*", r"\1"), (r"([^*])", r"\1\1"), (r"(^|[^*])\*(.+?)\*($|[^*])", r"\1\2\3"), (r"([^*])[^*]", r"\1"), ("`(.+?)`", r"\1"), (r"(?m)^\s*[-*+]\s+", "• "), (r"(?m)^\s*\d+\.\s+", ""), (r"\[(.+?)\]\(.+?\)", r"\1"), (r"(?m)^>\s+", ""), (r"(?m)^---+$", ""), (r"\n{3,}", "\n\n")):
     STRIP = f"regexp_replace({STRIP}, {sql_text(a)}, {sql_text(b)}, 'g')"
 D13_SQL = f"SELECT id, md5(trim({STRIP})) AS plain_md5 FROM (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 'x' || CAST(i AS VARCHAR), t FROM {values_sql(list(enumerate(MARKDOWN)), 'i, t')})"
 

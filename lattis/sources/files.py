@@ -5,6 +5,8 @@ Everything goes through Spark's readers and writers, so a tree may lie in any st
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,13 +95,19 @@ def translations(files: DataFrame) -> DataFrame:
 
 
 def write_corpus(docs: DataFrame, path: str, version: int = 1) -> None:
-    """One record for each document under path/docs, by package (mod); then the header under path/header. A reader that asks for the header never sees a half-written corpus."""
-    docs.write.mode("overwrite").partitionBy("mod").parquet(f"{path}/docs")
-    written = docs.sparkSession.read.parquet(f"{path}/docs")
+    """One record for each document in a new folder below path, by package (mod); then a header that names it, added to path/headers.
+
+    A header shows up whole when its write is committed, and readers take the newest: they see the corpus before or after a
+    rebuild, never a half-written one.
+    """
+    folder = f"docs-{uuid.uuid4().hex}"
+    docs.write.partitionBy("mod").parquet(f"{path}/{folder}")
+    written = docs.sparkSession.read.parquet(f"{path}/{folder}")
     header = written.groupBy("mod").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("mod", "n"))).alias("packages"), F.sum("n").alias("documents"))
-    header.withColumn("version", F.lit(version)).coalesce(1).write.mode("overwrite").json(f"{path}/header")
+    header.select("*", F.lit(version).alias("version"), F.lit(folder).alias("folder"), F.current_timestamp().alias("written")).coalesce(1).write.mode("append").json(f"{path}/headers")
 
 
 def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(header, documents) of a written corpus."""
-    return spark.read.json(f"{path}/header"), spark.read.parquet(f"{path}/docs")
+    """(header, documents) of the newest written corpus."""
+    header = spark.read.json(f"{path}/headers").orderBy(F.desc("written"), "folder").limit(1)
+    return header, spark.read.parquet(f"{path}/{header.first()['folder']}")

@@ -71,12 +71,22 @@ def turn_admissions(events: DataFrame, ttl: str = TURN_TTL) -> DataFrame:
     return rows.where("k > 1").select("turn", "seq", F.when(alive, "ok").otherwise("not_found").alias("status"))
 
 
-def open_turns(events: DataFrame, ttl_seconds: int = 1800, delay: str = "0 seconds") -> DataFrame:
-    """Stream twin of turn_admissions(): the timer runs from creation and doesn't slide."""
+def open_turns(events: DataFrame, ttl_seconds: int = 1800, delay: str = "0 seconds", remember_seconds: int | None = None) -> DataFrame:
+    """Stream twin of turn_admissions(): the timer runs from creation and doesn't slide.
+
+    A turn past its time is remembered as ended for `remember_seconds` after its creation (ten times to live unless given),
+    so that late events are not taken for a new turn; then its state goes.
+    """
+    remember = remember_seconds or 10 * ttl_seconds
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:  # kept as ended, so that later events are not taken for a new turn
-            state.update((state.get[0], True))
+        if state.hasTimedOut:
+            created, ended = state.get
+            if ended:
+                state.remove()
+            else:
+                state.update((created, True))
+                state.setTimeoutTimestamp(max(created // 1000 + remember * 1000, state.getCurrentWatermarkMs() + 1))
             return
         pdf = pd.concat(list(parts)).sort_values(["ts", "seq"])
         created, ended = state.get if state.exists else (None, False)
@@ -89,9 +99,10 @@ def open_turns(events: DataFrame, ttl_seconds: int = 1800, delay: str = "0 secon
                 out.append((key[0], seq, "ok" if now - created < ttl_seconds * 1_000_000 and not ended else "not_found"))
             ended = ended or kind == "finish"
         state.update((created, ended))
+        state.setTimeoutTimestamp(max(created // 1000 + (remember if ended else ttl_seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["turn", "seq", "status"])
 
-    return events.withWatermark("ts", delay).groupBy("turn").applyInPandasWithState(step, "turn string, seq long, status string", "created long, ended boolean", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", delay).groupBy("turn").applyInPandasWithState(step, "turn string, seq long, status string", "created long, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def summary_due_stream(counts: DataFrame, every: int) -> DataFrame:
@@ -118,6 +129,23 @@ def tool_calls_stream(opened: DataFrame, closed: DataFrame, delay: str = "1 hour
     return a.join(b, on, "leftOuter").select("turn", "call", "opened", "closed", "ok")
 
 
+def turn_rollup(events: DataFrame) -> DataFrame:
+    """(turn, calls, failures, last_at) of each turn so far: tool calls, and those that failed. events: turn, ts, type (call, result or error), ok; stream (update mode) or table."""
+    failed = (F.col("type") == "error") | ((F.col("type") == "result") & ~F.coalesce("ok", F.lit(True)))
+    return events.groupBy("turn").agg(F.count_if(F.col("type") == "call").alias("calls"), F.count_if(failed).alias("failures"), F.max("ts").alias("last_at"))
+
+
+def run_updates(stream: DataFrame, folder: str, name: str, key: str) -> DataFrame:
+    """Runs a stream in update mode over what there is now; the last row told of each key."""
+    def add(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/{name}/out")
+
+    query = stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/{name}/state").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    told = stream.sparkSession.read.parquet(f"{folder}/{name}/out")
+    return told.groupBy(key).agg(F.max_by(F.struct(*[c for c in stream.columns if c != key]), "batch").alias("r")).select(key, "r.*")
+
+
 def refresh(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, change): added, changed or removed files between two manifests (path, mtime)."""
     o, n = old.select("path", F.col("mtime").alias("was")), new.select("path", F.col("mtime").alias("now"))

@@ -126,3 +126,26 @@ def test_file_tree(spark, tmp_path):
     assert {(r.type, r.key) for r in S.xml_records(files).collect()} == {("weapon", "a"), ("projectile", "a.weapon")}
     with pytest.raises(ValueError):
         C.restrict_packages(m.withColumn("package", F.lit("one")), ["none"])
+
+
+def test_paths_and_markdown(spark):
+    """Golden rows: parent steps fold one by one; stars inside emphasised text."""
+    from pyspark.sql import functions as F
+
+    from lattis.functions.text import strip_markdown
+    from lattis.operators.graph import tidy
+
+    paths = {"a/b/../../x": "x", "a/./b/../c.xml": "a/c.xml", "../x": "../x", "a/../../x": "../x", "a//b": "a/b", "x": "x", "": ""}
+    got = {r.p: r.t for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", tidy(F.col("p")).alias("t")).collect()}
+    assert got == paths
+    texts = {"*a* and *b*": "a and b", "*a ** b* c": "a * b* c", "**bold** *it*": "bold it", "5 * 3 * 2": "5  3  2"}
+    got = {r.p: r.t for r in spark.createDataFrame([(p,) for p in texts], "p string").select("p", strip_markdown(F.col("p")).alias("t")).collect()}
+    assert got == texts
+
+
+def test_names_by_part_of_key(spark):
+    from lattis.operators.retrieval import resolve_names
+
+    names = spark.createDataFrame([(1, "smg_kp31.weapon", "submachinegun", ["submachinegun"], 1, 1), (2, "ab.weapon", "rifle", ["rifle"], 1, 2)], "id long, key string, norm string, parts array<string>, kind_rank int, ord long")
+    asked = spark.createDataFrame([(1, "submachine"), (2, "KP31.w"), (3, "b."), (4, "nothing"), (5, ""), (6, "the rifle here")], "rid long, name string")
+    assert sorted(map(tuple, resolve_names(asked, names).collect())) == [(1, 1, 3), (2, 1, 5), (3, 2, 5), (6, 2, 3)]
