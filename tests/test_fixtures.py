@@ -147,5 +147,5 @@ def test_names_by_part_of_key(spark):
     from lattis.operators.retrieval import resolve_names
 
     names = spark.createDataFrame([(1, "smg_kp31.weapon", "submachinegun", ["submachinegun"], 1, 1), (2, "ab.weapon", "rifle", ["rifle"], 1, 2)], "id long, key string, norm string, parts array<string>, kind_rank int, ord long")
-    asked = spark.createDataFrame([(1, "submachine"), (2, "KP31.w"), (3, "b."), (4, "nothing"), (5, ""), (6, "the rifle here")], "rid long, name string")
+    asked = spark.createDataFrame([(1, "submachine"), (2, "KP31.w"), (3, "b.w"), (4, "nothing"), (5, ""), (6, "the rifle here")], "rid long, name string")
     assert sorted(map(tuple, resolve_names(asked, names).collect())) == [(1, 1, 3), (2, 1, 5), (3, 2, 5), (6, 2, 3)]
