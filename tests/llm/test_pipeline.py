@@ -48,5 +48,57 @@ def test_passages_repeated_and_null_ids(spark):
     assert got == sorted(((i, t, len(t)) for i, t in want), key=str)
 
 
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars int, cut string, n_words long, n_removed long, cut_id long, text_md5 string, component_id long"
+
+
+def awkward(spark):
+    """Nulls, empties, repeats, near copies, and columns with the names that the operators use."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, words("a", 40)), (2, words("a", 40)), (2, words("a", 40)), (3, words("a", 39) + " other"), (4, None), (5, ""), (None, words("a", 40)), (None, None), (6, words("b", 3000)), (7, "head " + words("b", 30)), (8, "one")]
+    return spark.createDataFrame([(i, t, None, "s" if i else None, None if t is None else len(t), "c", 7, 8, 9, "m", 10) for i, t in rows], AWKWARD)
+
+
+def test_stages_awkward(spark):
+    docs = awkward(spark)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert all((r.cut, r.n_words, r.n_removed, r.cut_id, r.text_md5, r.component_id) == ("c", 7, 8, 9, "m", 10) for r in rows)
+        kept[name] = sorted(((r.doc_id, r.text) for r in rows), key=str)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    every = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+    near = {i for i, _, c in brute_components(every, 5, 80) if i is None or i == c}
+    assert kept["n-gram Jaccard join"] == [(i, t) for i, t in every if i in near]
+    cut = {(i, n, g) for i, n, g, _ in brute_substring(every, 13)}
+    assert len(kept["substring dedup"]) == sum(1 for i, t in every if not any(g and g == n for j, n, g in cut if j == i and n == len((t or "").split())))
+    assert kept["benchmark decontamination"] == every
+    packed = corpus_pipeline.packing(spark, docs, SF).collect()
+    assert sorted({str(r.doc_id) for r in packed}) == sorted({str(i) for i, t in every if (t or "").split()})
+    assert sum(r.n_words for r in packed) == sum(len((t or "").split()) for _, t in every)
+
+
+def test_packing_is_best_fit(spark):
+    """Each piece, longest first, goes to the fullest bin that has room and neither its source nor its cluster."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    from lattis.llm import packing
+
+    got = packing.pack(docs, capacity=300, shard=10**6).collect()
+    text = {r.doc_id: (r.source, " ".join((r.text or "").encode().lower().decode().split())) for r in docs.collect()}
+    bins, of = [], {}
+    for r in sorted(got, key=lambda r: (-r.n_words, r.doc_id, r.piece)):
+        source, cluster = text[r.doc_id]
+        fit = [b for b in bins if b["room"] >= r.n_words and source not in b["sources"] and cluster not in b["clusters"]]
+        best = min(fit, key=lambda b: (b["room"], b["no"])) if fit else {"no": len(bins), "room": 300, "sources": set(), "clusters": set()}
+        if not fit:
+            bins.append(best)
+        best["room"] -= r.n_words
+        best["sources"].add(source)
+        best["clusters"].add(cluster)
+        of[r.doc_id, r.piece] = best["no"]
+    assert {(r.doc_id, r.piece): r.bin_id & 0xFFFFFFFF for r in got} == of
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
