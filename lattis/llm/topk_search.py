@@ -128,14 +128,15 @@ def _search(v: DataFrame, asked: pd.DataFrame, k: int, lists: int) -> DataFrame:
     pair = named.join(v, "vec_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     full = pair.select("query_id", "vec_id", F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    least = full.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("met"))
+    least = full.withColumn("place", F.row_number().over(best)).where(F.col("place") == k).collect()  # a row for each query of the batch
     # a query for which fewer than k candidates were named has no more of them, as each list names k if there are so many
-    cut = {r["query_id"]: r["cutoff"] if r["met"] == k else -(1 << 60) for r in least.collect()}  # a row for each query of the batch
-    cutoffs = context.broadcast({dim: np.array([cut.get(i, -(1 << 60)) for i in ids.tolist()], dtype=np.int64) for dim, (ids, _) in queries.value.items()})
+    cut = {r["query_id"]: (r["score"], r["vec_id"]) for r in least}
+    none = (-(1 << 60), np.iinfo(np.int64).max)
+    cutoffs = context.broadcast({dim: np.array([cut.get(i, none) for i in ids.tolist()], dtype=np.int64).reshape(-1, 2) for dim, (ids, _) in queries.value.items()})
 
     def resolve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for dim, at, qid, q, ids, x, own in pairs(parts):
-            t = cutoffs.value[dim][at : at + len(qid), None]
+            t, last = cutoffs.value[dim][at : at + len(qid), :1], cutoffs.value[dim][at : at + len(qid), 1]
             mine = parts_of(dim)
             bound = -(-t // len(mine))  # integers: t / LISTS or more
             known, missing = np.zeros(own.shape, dtype=np.int64), np.full(own.shape, len(mine), dtype=np.int64)
@@ -148,11 +149,15 @@ def _search(v: DataFrame, asked: pd.DataFrame, k: int, lists: int) -> DataFrame:
             # what a list has not told is less than the bound
             left = (missing < len(mine)) & (known + missing * (bound - 1) >= t) & ~own
             i, c = np.nonzero(left)
-            score = known[i, c]
+            score, lacking = known[i, c], missing[i, c]
             for p, has in zip(mine, told, strict=True):
                 lacks = np.flatnonzero(~has[i, c])
                 score[lacks] += np.einsum("nd,nd->n", q[i[lacks]][:, p], x[c[lacks]][:, p])
-            enough = score >= t[i, 0]
+                lacking[lacks] -= 1
+                able = score + lacking * (bound[i, 0] - 1) >= t[i, 0]
+                i, c, score, lacking = i[able], c[able], score[able], lacking[able]
+            # of equal scores only those of ids up to the cutoff's own can be among the k best
+            enough = (score > t[i, 0]) | (ids[c] <= last[i])
             i, c, score = i[enough], c[enough], score[enough]
             order = np.lexsort((ids[c], -score, i))
             i, c, score = i[order], c[order], score[order]
