@@ -6,7 +6,7 @@ before ranking, and ties go to the smaller document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattis.functions.text import CJK, entity_tokens, tokenize
@@ -36,8 +36,8 @@ def query_terms(queries: DataFrame, text: str = "q") -> DataFrame:
 def rank(terms: DataFrame, postings: DataFrame, n_docs: int, boosts: dict[str, float] = BOOSTS) -> DataFrame:
     """(qid, doc_id, score, rank): documents with any term, best first.
 
-    Document frequencies and lengths are taken of all postings. The terms of a batch of queries meet the postings by term;
-    only their postings are shuffled on to (query, document).
+    Document frequencies and lengths are taken of all postings. What a term is worth in a document is worked out once for
+    all queries, over all fields; then queries meet (term, document) rows by term and only their sums are shuffled on.
     """
     p = postings.where(F.col("field").isin(list(boosts)))
     length = p.groupBy("field", "doc_id").agg(F.sum("tf").alias("len"))
@@ -45,30 +45,57 @@ def rank(terms: DataFrame, postings: DataFrame, n_docs: int, boosts: dict[str, f
     wanted = p.join(terms.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("field", "term").agg(F.count("*").alias("df"))
     boost = F.element_at(F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv]), F.col("field"))
-    rows = terms.join(wanted, "term").join(df, ["field", "term"]).join(length, ["field", "doc_id"]).join(F.broadcast(mean), "field")
+    rows = wanted.join(df, ["field", "term"]).join(length, ["field", "doc_id"]).join(F.broadcast(mean), "field")  # mean: a row for each field
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = boost * F.col("weight") * idf * (DELTA + F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean"))))
-    score = rows.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    part = boost * idf * (DELTA + F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean"))))
+    worth = rows.groupBy("term", "doc_id").agg(F.sum(part).alias("worth"))
+    score = terms.join(worth, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("worth")), 6).alias("score"))
     return score.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")))
 
 
+def pieces_of(text: Column, i: Column, k: Column, size: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of piece i of the k + 1 even pieces of a text of that size."""
+    start = F.floor(i * size / (k + 1))
+    return start, F.floor((i + 1) * size / (k + 1)) - start
+
+
+def near_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, expanded, edits): vocabulary terms within round(0.2 * length) edits of a term, but not equal.
+
+    A word is cut into one piece more than edits are allowed, so one piece stands whole in the term, moved by no more than
+    the edits: pieces are the join key (Li, Deng, Wang and Feng 2011), and the distance is worked out for those that meet.
+    terms: term; vocabulary: expanded; both distinct.
+    """
+    allowed = lambda size: F.round(size * FUZZY).cast("int")
+    t = terms.withColumn("k", allowed(F.length("term"))).where("k > 0").withColumn("size", F.length("term"))
+    t = t.withColumn("n", F.explode(F.sequence(F.col("size") - F.col("k"), F.col("size") + F.col("k"))))
+    t = t.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    start, long = pieces_of(F.col("term"), F.col("i"), F.col("k"), F.col("n"))
+    t = t.withColumn("at", F.explode(F.sequence(start - F.col("k"), start + F.col("k")))).withColumn("long", long)
+    t = t.where((F.col("at") >= 0) & (F.col("at") + F.col("long") <= F.col("size"))).select("term", "k", "n", "i", F.substring(F.col("term"), (F.col("at") + 1).cast("int"), F.col("long").cast("int")).alias("piece")).distinct()
+    v = vocabulary.withColumn("n", F.length("expanded"))
+    # the numbers of edits that terms of about this length may allow
+    most = F.ceil(F.col("n") * FUZZY / (1 - FUZZY)).cast("int") + 1
+    v = v.withColumn("k", F.explode(F.array_distinct(F.filter(F.transform(F.sequence(F.greatest(F.col("n") - most, F.lit(1)), F.col("n") + most), lambda z: F.when(F.abs(z - F.col("n")) <= allowed(z), allowed(z))), lambda k: k > 0))))
+    v = v.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    start, long = pieces_of(F.col("expanded"), F.col("i"), F.col("k"), F.col("n"))
+    v = v.select("expanded", "k", "n", "i", F.substring(F.col("expanded"), (start + 1).cast("int"), long.cast("int")).alias("piece"))
+    met = t.join(v, ["k", "n", "i", "piece"]).select("term", "expanded", "k").distinct()
+    return met.withColumn("edits", F.expr("levenshtein(term, expanded, k)")).where("edits > 0").drop("k")
+
+
 def expand_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, expanded, kind, weight): vocabulary terms that begin with a term, or are within 0.2 of its length in edits.
 
-    CJK terms are not expanded. Prefixes meet by their first two characters, fuzzy matches by length: both joins are on
-    keys. terms, vocabulary: term.
+    CJK terms are not expanded. Prefixes meet by their first one to four characters, fuzzy matches by whole pieces.
+    terms, vocabulary: term.
     """
     latin = terms.select("term").distinct().where(~F.col("term").rlike(f"[{CJK}]"))
     v = vocabulary.select(F.col("term").alias("expanded")).distinct()
-    start = lambda c: F.substring(c, 1, 2)
-    prefix = latin.where(F.length("term") >= 2).join(v.where(F.length("expanded") > 2), start("term") == start("expanded")).where((F.col("term") != F.col("expanded")) & F.startswith("expanded", "term"))
+    starts = v.withColumn("z", F.explode(F.sequence(F.lit(1), F.least(F.lit(4), F.length("expanded"))))).withColumn("start", F.substring(F.col("expanded"), F.lit(1), F.col("z")))
+    prefix = latin.withColumn("start", F.substring("term", 1, 4)).join(starts, "start").where((F.col("term") != F.col("expanded")) & F.startswith("expanded", "term"))
     prefix = prefix.select("term", "expanded", F.lit("prefix").alias("kind"), F.round(PREFIX_WEIGHT * F.length("term") / F.length("expanded"), 6).alias("weight"))
-    one = latin.where(F.length("term") == 1).join(v, F.substring("expanded", 1, 1) == F.col("term")).where(F.length("expanded") > 1)
-    prefix = prefix.unionByName(one.select("term", "expanded", F.lit("prefix").alias("kind"), F.round(PREFIX_WEIGHT * F.length("term") / F.length("expanded"), 6).alias("weight")))
-    band = latin.withColumn("k", F.round(F.length("term") * FUZZY).cast("int")).where("k > 0")
-    band = band.withColumn("len", F.explode(F.sequence(F.length("term") - F.col("k"), F.length("term") + F.col("k"))))
-    near = band.join(v.withColumn("len", F.length("expanded")), "len")
-    near = near.withColumn("edits", F.expr("levenshtein(term, expanded, k)")).where("edits > 0 and not startswith(expanded, term)")
+    near = near_terms(latin, v).where("not startswith(expanded, term)")
     return prefix.unionByName(near.select("term", "expanded", F.lit("fuzzy").alias("kind"), F.round(FUZZY_WEIGHT * (1 - F.col("edits") / F.length("term")), 6).alias("weight")))
 
 
@@ -78,15 +105,18 @@ def expanded_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return terms.unionByName(more).groupBy("qid", "term").agg(F.max("weight").alias("weight"))
 
 
-def pin_entities(queries: DataFrame, postings: DataFrame, n_docs: int) -> DataFrame:
+def pin_entities(queries: DataFrame, postings: DataFrame, n_docs: int, vocabulary: DataFrame | None = None) -> DataFrame:
     """(qid, doc_id, score, rank): for each of a query's first entity-like tokens its best documents by key and name.
 
     A document keeps the hit of the first token that finds it; scores are multiplied, and the best of all tokens stay.
+    With a vocabulary (term), tokens are expanded as in a search.
     """
     tokens = queries.select("qid", F.posexplode(entity_tokens(F.col("q"))).alias("pos", "token"))
     # each token is a query of its own
-    asked = tokens.select(F.struct("qid", "pos").alias("qid"), "token")
-    hits = rank(query_terms(asked, "token"), postings, n_docs, PIN_BOOSTS).where(F.col("rank") <= PIN_PER_TOKEN)
+    asked = query_terms(tokens.select(F.struct("qid", "pos").alias("qid"), "token"), "token")
+    if vocabulary is not None:
+        asked = expanded_terms(asked, vocabulary)
+    hits = rank(asked, postings, n_docs, PIN_BOOSTS).where(F.col("rank") <= PIN_PER_TOKEN)
     first = hits.select(F.col("qid.qid").alias("qid"), F.col("qid.pos").alias("pos"), "doc_id", "score").groupBy("qid", "doc_id").agg(F.min_by("score", "pos").alias("score"))
     first = first.withColumn("score", F.round(F.col("score") * PIN_FACTOR, 6))
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= PIN_TOTAL)

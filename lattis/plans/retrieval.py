@@ -1,7 +1,8 @@
 """Retrieval R1 to R14 and evaluation E1 to E9.
 
 Documents: key <source>_<doc_id>, name source and the first two words, content the text, type the language, package the
-source. Queries: the first six words of every benchmark item. Relevant: documents that hold the first 40 characters of it.
+source. Queries: the text of every benchmark item, with terms that begin with or are spelt nearly as its own. Relevant:
+documents that hold an item's text.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("q"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
 
 
 FIELDS = {"key": False, "name": False, "content": False, "type": False}
 D_SQL = "(SELECT doc_id, source || '_' || doc_id AS key, source || ' ' || array_to_string(string_split(text, ' ')[1:2], ' ') AS name, text AS content, lang AS type, source AS mod FROM documents)"
-Q_SQL = "(SELECT item_id AS qid, array_to_string(string_split(text, ' ')[1:6], ' ') AS q FROM benchmark)"
+Q_SQL = "(SELECT item_id AS qid, text AS q FROM benchmark)"
 TERMS = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '{SEPARATOR}'), lambda t: t <> '')"
 P_CTE = f"d AS {D_SQL}, q AS {Q_SQL}, p AS (SELECT doc_id, field, term, count(*) AS tf FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, unnest({TERMS(f)}) AS term FROM d" for f in FIELDS) + ") GROUP BY ALL), qt AS (SELECT DISTINCT qid, unnest(" + TERMS("q") + ") AS term, 1.0 AS weight FROM q)"
 
@@ -44,7 +45,20 @@ def rank_cte(name: str, terms: str, boosts: dict[str, float]) -> str:
  FROM {terms} JOIN {name}_p USING (term) JOIN {name}_f USING (field, term) JOIN {name}_l USING (field, doc_id) JOIN {name}_m USING (field) GROUP BY qid, doc_id))"""
 
 
-R_CTE = P_CTE + "," + rank_cte("r", "qt", R.BOOSTS)
+#: DuckDB counts edits in bytes: letters beyond ASCII are mapped to one byte each.
+ONE_BYTE = lambda c: f"translate({c}, 'éèêçñíóáúüöäß', '!#$%&()*+,-./')"
+
+
+def expand_cte(name: str, terms: str) -> str:
+    """CTEs: name_x(term, expanded, kind, weight) of terms(qid, term, weight), and name(qid, term, weight) with what it adds."""
+    return f"""
+{name}_v AS (SELECT DISTINCT term AS e FROM p), {name}_t AS (SELECT DISTINCT term FROM {terms}), {name}_k AS (SELECT term, CAST(round(length(term) * {R.FUZZY}) AS INTEGER) AS k FROM {name}_t),
+{name}_x AS (SELECT term, e AS expanded, 'prefix' AS kind, round({R.PREFIX_WEIGHT}::DOUBLE * length(term) / length(e), 6) AS weight FROM {name}_t JOIN {name}_v ON starts_with(e, term) AND e <> term AND substr(e, 1, 1) = substr(term, 1, 1)
+ UNION ALL SELECT term, e, 'fuzzy', round({R.FUZZY_WEIGHT}::DOUBLE * (1 - levenshtein({ONE_BYTE('term')}, {ONE_BYTE('e')}) / length(term)), 6) FROM (SELECT *, unnest(range(length(term) - k, length(term) + k + 1)) AS z FROM {name}_k WHERE k > 0) k2 JOIN {name}_v ON length(e) = z WHERE levenshtein({ONE_BYTE('term')}, {ONE_BYTE('e')}) BETWEEN 1 AND k AND NOT starts_with(e, term)),
+{name} AS (SELECT qid, term, max(weight) AS weight FROM (SELECT * FROM {terms} UNION ALL SELECT qid, expanded, x.weight FROM {terms} q JOIN {name}_x x USING (term)) GROUP BY ALL)"""
+
+
+R_CTE = P_CTE + "," + expand_cte("qe", "qt") + "," + rank_cte("r", "qe", R.BOOSTS)
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +70,14 @@ def n_docs(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "documents").count()
 
 
+def asked(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
+    """Terms of the queries and what they expand to, stored: a row for each term of a query, whatever the documents' number."""
+    return keep(R.expanded_terms(R.query_terms(queries(spark, sf_dir)), index.select("term")))
+
+
 def ranked(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
-    return R.rank(R.query_terms(queries(spark, sf_dir)), index or postings(spark, sf_dir), n_docs(spark, sf_dir))
+    index = index or postings(spark, sf_dir)
+    return R.rank(asked(spark, sf_dir, index), index, n_docs(spark, sf_dir))
 
 
 def r1_build_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,27 +96,24 @@ R2_SQL = f"WITH {R_CTE} SELECT * FROM r WHERE rank <= 50"
 
 def r3_expand_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of the queries, expanded over the words of all documents."""
-    return R.expand_terms(R.query_terms(queries(spark, sf_dir)), postings(spark, sf_dir).where("field = 'content'").select("term"))
+    return R.expand_terms(R.query_terms(queries(spark, sf_dir)), postings(spark, sf_dir).select("term"))
 
 
-#: DuckDB counts edits in bytes: letters beyond ASCII are mapped to one byte each.
-ONE_BYTE = lambda c: f"translate({c}, 'éèêçñíóáúüöäß', '!#$%&()*+,-./')"
-R3_SQL = f"""
-WITH {P_CTE}, v AS (SELECT DISTINCT term AS e FROM p WHERE field = 'content'), t AS (SELECT DISTINCT term FROM qt),
-k AS (SELECT term, CAST(round(length(term) * {R.FUZZY}) AS INTEGER) AS k FROM t)
-SELECT term, e AS expanded, 'prefix' AS kind, round({R.PREFIX_WEIGHT}::DOUBLE * length(term) / length(e), 6) AS weight FROM t JOIN v ON starts_with(e, term) AND e <> term AND substr(e, 1, 1) = substr(term, 1, 1)
-UNION ALL SELECT term, e, 'fuzzy', round({R.FUZZY_WEIGHT}::DOUBLE * (1 - levenshtein({ONE_BYTE('term')}, {ONE_BYTE('e')}) / length(term)), 6) FROM (SELECT *, unnest(range(length(term) - k, length(term) + k + 1)) AS z FROM k WHERE k > 0) k2 JOIN v ON length(e) = z WHERE levenshtein({ONE_BYTE('term')}, {ONE_BYTE('e')}) BETWEEN 1 AND k AND NOT starts_with(e, term)
-"""
+R3_SQL = f"WITH {P_CTE}, {expand_cte('qe', 'qt')} SELECT * FROM qe_x"
+
+
+def pinned(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
+    return R.pin_entities(queries(spark, sf_dir), index, n_docs(spark, sf_dir), index.select("term"))
 
 
 def r4_pin_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.pin_entities(queries(spark, sf_dir), postings(spark, sf_dir), n_docs(spark, sf_dir))
+    return pinned(spark, sf_dir, postings(spark, sf_dir))
 
 
 STOP = ", ".join(map(sql_text, ENTITY_STOP_WORDS))
 PIN_CTE = R_CTE + f""",
 et AS (SELECT qid, unnest(ts) AS token, unnest(range(len(ts))) AS pos FROM (SELECT qid, list_filter(regexp_extract_all(q, '[a-zA-Z][a-zA-Z0-9_-]{{1,}}'), lambda t: lower(t) NOT IN ({STOP}))[1:5] AS ts FROM q)),
-tt AS (SELECT DISTINCT {{'q': qid, 'p': pos}} AS qid, unnest({TERMS('token')}) AS term, 1.0 AS weight FROM et),""" + rank_cte("h", "tt", R.PIN_BOOSTS) + f""",
+tt AS (SELECT DISTINCT {{'q': qid, 'p': pos}} AS qid, unnest({TERMS('token')}) AS term, 1.0 AS weight FROM et),""" + expand_cte("te", "tt") + "," + rank_cte("h", "te", R.PIN_BOOSTS) + f""",
 pf AS (SELECT h.qid.q AS qid, doc_id, round(arg_min(score, h.qid.p) * {R.PIN_FACTOR}, 6) AS score FROM h WHERE rank <= {R.PIN_PER_TOKEN} GROUP BY 1, 2),
 pin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM pf) WHERE rank <= {R.PIN_TOTAL})"""
 R4_SQL = f"WITH {PIN_CTE} SELECT * FROM pin"
@@ -110,8 +127,7 @@ def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places 3 to 22 of pinned, then ranked documents, filtered by type and package."""
     index = postings(spark, sf_dir)
-    pinned = R.pin_entities(queries(spark, sf_dir), index, n_docs(spark, sf_dir))
-    return R.merge_hits(pinned, ranked(spark, sf_dir, index), docs(spark, sf_dir), filters(spark, sf_dir), ["type", "mod"], 2, 20)
+    return R.merge_hits(keep(pinned(spark, sf_dir, index)), ranked(spark, sf_dir, index), docs(spark, sf_dir), filters(spark, sf_dir), ["type", "mod"], 2, 20)
 
 
 R5_SQL = f"""
