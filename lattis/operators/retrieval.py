@@ -173,6 +173,34 @@ def containing(small: DataFrame, big: DataFrame) -> DataFrame:
     return held.join(big.where("t <> ''").withColumn("gram", F.explode(grams)), "gram").where(F.contains("t", "s")).select("a", "b")
 
 
+def holding(items: DataFrame, docs: DataFrame, words: int = 3) -> DataFrame:
+    """(item, doc) of texts that stand whole in a longer text. items: item, s; docs: doc, t; null and empty s are in none.
+
+    The words of an item but its first and last are whole words of the text that holds it, so up to three of them are the
+    join key; only items of one or two words meet by characters.
+    """
+    inner = F.split("s", " ", -1)
+    n = F.least(F.size(inner) - 2, F.lit(words))
+    asked = items.where("s <> ''").select("item", "s", n.alias("n"), F.array_join(F.slice(inner, 2, F.greatest(n, F.lit(0))), " ").alias("window"))
+    widths = sorted(r["n"] for r in asked.select("n").distinct().collect())  # at most words + 2 rows
+    t = F.split("t", " ", -1)
+
+    def runs_of(w: int) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: i + (w - 1) <= F.size(t))
+        return F.transform(at, lambda i: F.struct(F.lit(w).alias("n"), F.array_join(F.slice(t, i, w), " ").alias("window")))
+
+    runs = [runs_of(w) for w in widths if w > 0]
+    out = containing(asked.where("n <= 0").select(F.col("item").alias("a"), "s"), docs.select(F.col("doc").alias("b"), "t")).select(F.col("a").alias("item"), F.col("b").alias("doc")) if any(w <= 0 for w in widths) else None
+    if runs:
+        windows = docs.select("doc", "t", F.explode(F.array_distinct(F.concat(*runs))).alias("x")).select("doc", "x.n", "x.window")
+        met = windows.join(asked.where("n > 0"), ["n", "window"]).select("item", "s", "doc")
+        long = met.join(docs, "doc").where(F.contains("t", "s")).select("item", "doc")
+        out = long if out is None else out.unionByName(long)
+    if out is None:
+        out = items.join(docs, items["s"] == docs["t"]).select("item", "doc").where("false")
+    return out.distinct()
+
+
 def resolve_names(requests: DataFrame, names: DataFrame, overlap: float = 0.6) -> DataFrame:
     """(rid, id, rung): each request's best name by a ladder of matches.
 

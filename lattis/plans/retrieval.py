@@ -259,21 +259,21 @@ CRAFTED_HITS = [("x1", 1, "g36.weapon", "weapon"), ("x1", 2, "zzz", "weapon"), (
 
 
 def cases_and_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Items with the keys of the documents that hold their beginning; the top 20 of each query; and crafted cases."""
+    """Items with the keys of the documents that hold them; the top 20 of each query; and crafted cases."""
     b, d = table(spark, sf_dir, "benchmark"), docs(spark, sf_dir)
-    held = F.broadcast(b.select("item_id", F.substring("text", 1, 40).alias("head")))
-    rel = d.join(held, F.contains("content", "head")).groupBy("item_id").agg(F.sort_array(F.collect_list("key")).alias("expected"))
-    cases = b.join(rel, "item_id", "left").select(F.col("item_id").cast("string").alias("id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"), F.when(F.col("item_id") % 3 == 0, "exact-key").otherwise("specific-item").alias("category"), F.coalesce("expected", F.array().cast("array<string>")).alias("expected"), F.when(F.col("item_id") % 2 == 0, "en").alias("expected_type"))
+    held = R.holding(b.select(F.col("item_id").alias("item"), F.col("text").alias("s")), d.select(F.col("key").alias("doc"), F.col("content").alias("t")))
+    rel = held.groupBy(F.col("item").alias("item_id")).agg(F.sort_array(F.collect_list("doc")).alias("expected"))
+    cases = b.join(rel, "item_id", "left").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.when(F.col("item_id") % 3 == 0, "exact-key").otherwise("specific-item").alias("category"), F.coalesce("expected", F.array().cast("array<string>")).alias("expected"), F.when(F.col("item_id") % 2 == 0, "en").alias("expected_type"))
     crafted = spark.createDataFrame(CRAFTED_CASES, "id string, category string, query string, expected string, expected_type string")
     crafted = crafted.withColumn("expected", F.filter(F.split("expected", r"\|"), lambda k: k != "")).select("id", "query", "category", "expected", "expected_type")
     hits = ranked(spark, sf_dir).where("rank <= 20").join(d.select("doc_id", "key", "type"), "doc_id").select(F.col("qid").cast("string").alias("id"), F.col("rank").cast("int").alias("rank"), "key", "type")
-    return cases.unionByName(crafted), hits.unionByName(spark.createDataFrame(CRAFTED_HITS, "id string, rank int, key string, type string"))
+    return keep(cases.unionByName(crafted)), keep(hits.unionByName(spark.createDataFrame(CRAFTED_HITS, "id string, rank int, key string, type string")))
 
 
 NORM = lambda c: f"regexp_replace(regexp_replace(regexp_replace(lower({c}), '{E.KEY_SUFFIX}', ''), '{E.KEY_PREFIX}', ''), '[_-]', '', 'g')"
 EVAL_CTE = R_CTE + f""",
-cs AS (SELECT CAST(item_id AS VARCHAR) AS id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query, CASE WHEN item_id % 3 = 0 THEN 'exact-key' ELSE 'specific-item' END AS category,
-  coalesce((SELECT list(key ORDER BY key) FROM d WHERE contains(content, substr(b.text, 1, 40))), []) AS expected, CASE WHEN item_id % 2 = 0 THEN 'en' END AS expected_type FROM benchmark b
+cs AS (SELECT CAST(item_id AS VARCHAR) AS id, text AS query, CASE WHEN item_id % 3 = 0 THEN 'exact-key' ELSE 'specific-item' END AS category,
+  coalesce((SELECT list(key ORDER BY key) FROM d WHERE contains(content, b.text)), []) AS expected, CASE WHEN item_id % 2 = 0 THEN 'en' END AS expected_type FROM benchmark b
   UNION ALL SELECT id, query, category, list_filter(string_split(expected, '|'), lambda k: k <> ''), et FROM {values_sql(CRAFTED_CASES, 'id, category, query, expected, et')}),
 hs AS (SELECT CAST(qid AS VARCHAR) AS id, CAST(rank AS INTEGER) AS rank, key, type FROM r JOIN d USING (doc_id) WHERE rank <= 20 UNION ALL SELECT * FROM {values_sql(CRAFTED_HITS, 'id, rank, key, type')}),
 mk AS (SELECT w.id, pos, rank FROM (SELECT id, unnest(expected) AS k, unnest(range(len(expected))) AS pos FROM cs) w JOIN hs USING (id) WHERE contains({NORM('key')}, {NORM('k')}) OR contains({NORM('k')}, {NORM('key')})),

@@ -169,18 +169,17 @@ SELECT * FROM r UNION ALL SELECT DISTINCT path, 0, 'generic', path, NULL FROM o
 
 
 def s10_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as files of texts of their customers, read by themselves for even ones; each includes the next nation's, in a ring."""
+    """Nations as files of texts of their customers, even ones English; the first of a language is read by itself, each includes the next of its language, in a ring, of which ten levels are read."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_nationkey")
     text = F.concat(F.lit('<text key="'), F.col("c_mktsegment"), F.lit('" text="'), "c_name", F.lit('"/>'))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", text.alias("t")))), lambda x: x["t"]), "")
     files = c.groupBy("c_nationkey").agg(body.alias("b"))
-    files = files.select(F.when(k % 2 == 0, "en").otherwise("cn").alias("lang"), F.concat(k.cast("string"), F.lit(".xml")).alias("path"), (k < 2).alias("entry"), F.concat(F.lit('<r><include file="'), ((k + 2) % 6).cast("string"), F.lit('.xml"/>'), "b", F.lit("</r>")).alias("content")).where("c_nationkey < 6")
+    files = files.select(F.when(k % 2 == 0, "en").otherwise("cn").alias("lang"), F.concat(k.cast("string"), F.lit(".xml")).alias("path"), (k < 2).alias("entry"), F.concat(F.lit('<r><include file="'), F.when(k < 23, k + 2).otherwise(k % 2).cast("string"), F.lit('.xml"/>'), "b", F.lit("</r>")).alias("content"))
     return S.translations(files)
 
 
 S10_SQL = """
-SELECT CASE WHEN c_nationkey = 0 THEN 'en' ELSE 'cn' END AS lang, c_mktsegment AS key, arg_max(c_name, c_custkey) AS text FROM customer WHERE c_nationkey < 2 GROUP BY 1, 2
-UNION ALL SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'en' ELSE 'cn' END AS lang, c_mktsegment, arg_max(c_name, (c_nationkey < 4, c_custkey)) FROM customer a WHERE c_nationkey BETWEEN 2 AND 5 AND NOT EXISTS (SELECT 1 FROM customer b WHERE b.c_nationkey = a.c_nationkey % 2 AND b.c_mktsegment = a.c_mktsegment) GROUP BY 1, 2
+SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'en' ELSE 'cn' END AS lang, c_mktsegment AS key, arg_max(c_name, (-c_nationkey, c_custkey)) AS text FROM customer WHERE c_nationkey < 22 GROUP BY 1, 2
 """
 
 
