@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattis.operators.graph import bounded_bfs
+
 #: A call that pairs a source item with the item it turns into: upgrade("from", "to").
 UPGRADE_CALL = r'\w+\(\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\)'
 
@@ -34,6 +36,27 @@ def skill_map(weapons: DataFrame, handlers: DataFrame, projectiles: DataFrame, e
     return rows.select("weapon", "index", "handler", "projectile", "notify", "effect", missing.alias("missing"))
 
 
+def damage_chain(skills: DataFrame, projectiles: DataFrame, spawns: DataFrame, effects: DataFrame, depth: int = 4, cap: int = 20) -> DataFrame:
+    """(skill, pos, projectile, depth, unresolved, notify, effect, note): what a skill's projectiles spawn, then what the effects that these notify spawn.
+
+    skills: skill, projectile, ord; projectiles: projectile, notify; spawns: projectile, spawned, ord; effects: notify,
+    effect, projectile (null: it spawns none), ord. Both walks share their nodes and the cap. A projectile without a
+    record stays as unresolved; note names what is missing on its way.
+    """
+    known = projectiles.select(F.col("projectile").alias("key"))
+    edges = spawns.select(F.col("projectile").alias("from"), F.col("spawned").alias("to"), "ord")
+    first = bounded_bfs(skills.select(F.col("skill").alias("rid"), F.col("projectile").alias("key"), "ord"), edges, known, depth, cap)
+    told = first.join(projectiles, F.col("key") == F.col("projectile")).where(F.col("notify").isNotNull()).groupBy("rid", "notify").agg(F.min("pos").alias("at"))
+    more = told.join(effects.where(F.col("projectile").isNotNull()), "notify")
+    # an effect's projectiles come in the order in which the effects are told
+    more = more.select("rid", F.col("projectile").alias("key"), F.row_number().over(Window.partitionBy("rid").orderBy("at", "notify", "ord", "projectile")).alias("ord"))
+    nodes = bounded_bfs(more, edges, known, depth, cap, first)
+    names = effects.groupBy("notify").agg(F.min("effect").alias("effect"))
+    rows = nodes.join(projectiles, F.col("key") == F.col("projectile"), "left").drop("projectile").join(names, "notify", "left")
+    note = F.when(F.col("unresolved"), "projectile has no record").when(F.col("notify").isNotNull() & F.col("effect").isNull(), "notified key has no effect")
+    return rows.select(F.col("rid").alias("skill"), F.col("pos").cast("int").alias("pos"), F.col("key").alias("projectile"), "depth", "unresolved", "notify", "effect", note.alias("note"))
+
+
 def modal_value(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, modal, candidates): the most frequent value if it is strictly ahead, else null and the candidates in order."""
     n = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))

@@ -206,21 +206,22 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e).unionByName(files)
 
 
-def bounded_bfs(seeds: DataFrame, edges: DataFrame, known: DataFrame, depth: int = 4, cap: int = 20) -> DataFrame:
+def bounded_bfs(seeds: DataFrame, edges: DataFrame, known: DataFrame, depth: int = 4, cap: int = 20, done: DataFrame | None = None) -> DataFrame:
     """(rid, key, depth, pos, unresolved): breadth-first expansion of each seed set, at most `cap` nodes of it.
 
     seeds: rid, key, ord; edges: from, to, ord; known: key. Nodes come in the order of their parents, then of the edges;
-    a key without a record is kept as unresolved and not expanded.
+    a key without a record is kept as unresolved and not expanded. With the result of an earlier walk (done), its nodes are
+    not met again and count against the cap; the result holds both walks.
     """
     front = seeds.groupBy("rid", "key").agg(F.min("ord").alias("at")).withColumn("at", F.array(F.col("at").cast("long")))
-    out, level = None, 1
+    out, level = done, 1
     while True:
         place = Window.partitionBy("rid").orderBy("at", "key")
         if out is None:
             new = front.withColumn("before", F.lit(0).cast("long"))
         else:
             have = out.groupBy("rid").agg(F.count("*").alias("before"))
-            new = front.join(out.select("rid", "key"), ["rid", "key"], "left_anti").join(have, "rid")
+            new = front.join(out.select("rid", "key"), ["rid", "key"], "left_anti").join(have, "rid", "left").na.fill(0, ["before"])
         new = new.withColumn("pos", F.col("before") + F.row_number().over(place) - 1).where(F.col("pos") < cap)
         flags = new.join(known.select("key").distinct().withColumn("has", F.lit(True)), "key", "left")
         new = keep(flags.select("rid", "key", F.lit(level).alias("depth"), "pos", F.col("has").isNull().alias("unresolved")))

@@ -151,6 +151,31 @@ def s3_assign_package(spark: SparkSession, sf_dir: str) -> DataFrame:
 S3_SQL = "SELECT CASE WHEN doc_id % 7 = 0 THEN 'loose' ELSE source END || '/' || lang || '/' || doc_id AS path, CASE WHEN doc_id % 7 <> 0 THEN CASE WHEN lang = 'fr' THEN source || '-fr' ELSE source END END AS package FROM documents"
 
 
+def s1_file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as a tree of XML and JSON files by source, once more in a folder that is left out: records of kept files by source."""
+    folder, d = scratch(spark), table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    for place, form in (("kept", "xml"), ("kept", "json"), ("kept/maps", "xml")):
+        d.write.mode("append").partitionBy("source").option("rowTag", "doc").format(form).save(f"{folder}/{place}")
+    m = S.file_manifest(spark, folder)
+    records = F.regexp_count(F.decode("content", "UTF-8"), F.lit("<doc_id>"))
+    return m.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), "ext").agg(F.sum(records).alias("n"))
+
+
+S1_SQL = "SELECT source, '.xml' AS ext, count(*) AS n FROM documents GROUP BY source"
+
+
+def s2_discover_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as folders with a marker file: every 4th of them one level too deep, the next without a name to show."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    path = F.concat(F.when(k % 4 == 0, "deep/").otherwise(""), "c_name", F.lit(f"/{S.PACKAGE_MARKER}"))
+    mark = F.concat(F.lit("<?xml version='1.0'?><package"), F.when(k % 4 == 1, "").otherwise(F.concat(F.lit(' name="'), "c_mktsegment", F.lit('"'))), F.lit("/>"))
+    other = c.select(F.concat("c_name", F.lit("/weapons/a.weapon")).alias("path"), F.encode(F.lit("<weapon/>"), "UTF-8").alias("content"))
+    return S.discover_packages(c.select(path.alias("path"), F.encode(mark, "UTF-8").alias("content")).unionByName(other), "root")
+
+
+S2_SQL = "SELECT c_name AS name, CASE c_custkey % 4 WHEN 1 THEN c_name ELSE c_mktsegment END AS display_name, c_name AS dir FROM customer WHERE c_custkey % 4 <> 0"
+
+
 def s6_xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as files of their orders: calls, weapons and unknown elements; files of every 11th are cut short."""
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
@@ -224,5 +249,5 @@ w AS (SELECT path AS root, path, [path] AS seen, inc, v, 1 AS d FROM r UNION ALL
 SELECT CAST(root AS VARCHAR) AS root, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, count(DISTINCT path) AS files, max(d) AS deepest FROM w WHERE inc IS NULL GROUP BY root
 """
 
-QUERIES = {f.__name__: f for f in (st1_read_events, st2_session_state, st2_session_reads, st3_open_turns, st3_turn_admissions, st4_announce_once, st5_summary_due, st5_summary_due_batch, st6_tool_calls, st6_turn_rollup, st7_refresh, s3_assign_package, s6_xml_records, s10_translations, s11_write_corpus, d4_hit_protection, d6_expand_includes)}
+QUERIES = {f.__name__: f for f in (st1_read_events, st2_session_state, st2_session_reads, st3_open_turns, st3_turn_admissions, st4_announce_once, st5_summary_due, st5_summary_due_batch, st6_tool_calls, st6_turn_rollup, st7_refresh, s1_file_manifest, s2_discover_packages, s3_assign_package, s6_xml_records, s10_translations, s11_write_corpus, d4_hit_protection, d6_expand_includes)}
 ORACLE_SQL = {k: globals()[k.split("_")[0].upper() + "_SQL"] for k in QUERIES} | {"st6_turn_rollup": ST6_ROLLUP_SQL}

@@ -149,3 +149,67 @@ def test_names_by_part_of_key(spark):
     names = spark.createDataFrame([(1, "smg_kp31.weapon", "submachinegun", ["submachinegun"], 1, 1), (2, "ab.weapon", "rifle", ["rifle"], 1, 2)], "id long, key string, norm string, parts array<string>, kind_rank int, ord long")
     asked = spark.createDataFrame([(1, "submachine"), (2, "KP31.w"), (3, "b.w"), (4, "nothing"), (5, ""), (6, "the rifle here")], "rid long, name string")
     assert sorted(map(tuple, resolve_names(asked, names).collect())) == [(1, 1, 3), (2, 1, 5), (3, 2, 5), (6, 2, 3)]
+
+
+def walk(seeds, have, spawns, visited, chain, depth=4, cap=20):
+    """The nodes of a breadth-first walk, level by level."""
+    level, n = list(dict.fromkeys(seeds)), 1
+    while level and len(chain) < cap:
+        after = []
+        for key in level:
+            if key in visited or len(chain) >= cap:
+                continue
+            visited.add(key)
+            chain.append((key, n, key not in have))
+            if key in have and n < depth:
+                after += spawns(key)
+        level, n = after, n + 1
+
+
+def test_damage_chain_brute_force(spark):
+    from lattis.plans.facts import j2_damage_chain
+
+    sf = "/root/testdata/sf0.001"
+    parts = {r[0] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
+    notify = {k: k % 11 for k in parts if k % 3 == 0}
+    effects = {k - 1: [k * 5, k + 50] for k in parts if k <= 8}
+    want = []
+    for (c,) in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect():
+        chain, visited = [], set()
+        spawned = lambda k: [k * 2, k * 3 + 1]
+        walk([c % 97 + 1, c % 41 + 1], parts, spawned, visited, chain)
+        told = dict.fromkeys(notify[k] for k, _, _ in chain if k in notify)
+        walk([x for t in told for x in effects.get(t, [])], parts, spawned, visited, chain)
+        for pos, (k, n, missing) in enumerate(chain):
+            effect = f"effect {notify[k] + 1}" if notify.get(k) in effects else None
+            want.append((c, pos, k, n, missing, notify.get(k), effect, "projectile has no record" if missing else "notified key has no effect" if k in notify and not effect else None))
+    got = [tuple(r) for r in j2_damage_chain(spark, sf).select("skill", "pos", "projectile", "depth", "unresolved", "notify", "effect", "note").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_holding(spark):
+    docs = [(1, "a bb ccc dddd e"), (2, "xa bb ccc ddddx"), (3, "bb"), (4, ""), (5, "a  bb"), (6, None)]
+    items = [(1, "a bb ccc dddd"), (2, "bb"), (3, "b c"), (4, ""), (5, " bb "), (6, "a bb x"), (7, None), (8, "a  b"), (9, "bb ccc dd")]
+    got = R.holding(spark.createDataFrame(items, "item int, s string"), spark.createDataFrame(docs, "doc int, t string"))
+    assert sorted(map(tuple, got.collect())) == sorted((i, d) for i, s in items for d, t in docs if s and t and s in t)
+    assert R.holding(spark.createDataFrame([], "item int, s string"), spark.createDataFrame(docs, "doc int, t string")).count() == 0
+
+
+def test_near_terms(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 14))) for _ in range(150)})
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {(a, b, edits(a, b)) for a, b in itertools.product(words, words) if a != b and edits(a, b) <= int(len(a) * 0.2 + 0.5)}
+    got = R.near_terms(spark.createDataFrame([(w,) for w in words], "term string"), spark.createDataFrame([(w,) for w in words], "expanded string"))
+    assert want and {tuple(r) for r in got.collect()} == want

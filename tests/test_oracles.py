@@ -8,7 +8,7 @@ from tests.compare import differ
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", list(plans.QUERIES))
+@pytest.mark.parametrize("name", list(plans.ORACLE_SQL))
 def test_query(spark, name):
     assert differ(spark, SF, plans.QUERIES[name], plans.ORACLE_SQL[name]) == ""
 
