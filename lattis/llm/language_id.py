@@ -27,7 +27,7 @@ ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.001, 3
 def plain(text: str) -> np.ndarray:
     """Code points in lower case, with runs of anything but letters as one space."""
     x = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    letter = (x >= 97) & (x <= 122) | (x >= 0xC0) & (x != 0xD7) & (x != 0xF7) & ~((x >= 0x2000) & (x < 0x2070)) & ~((x >= 0x3000) & (x < 0x3040)) & (x < 0x1F000)
+    letter = (x >= 97) & (x <= 122) | (x >= 0xC0) & (x != 0xD7) & (x != 0xF7) & ~((x >= 0x2000) & (x < 0x2070)) & ~((x >= 0x3000) & (x < 0x3040)) & ~((x >= 0x1F000) & (x < 0x20000))
     x = np.where(letter, x, 32)
     x = x[~((x == 32) & np.concatenate(([True], x[:-1] == 32)))] if len(x) else x
     return np.concatenate(([32], x, [32])).astype(np.uint64)
@@ -93,7 +93,8 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     2 (the others are held out); a prediction uses the whole text alone. lang_pred is a learned language, or `und` with a
     score of 0 if the text is null or has no letter, or nothing could be learned.
 
-    Weights are fitted on at most about per_language documents of a language, chosen by hash. Null texts are not learned
+    Weights are fitted on at most about per_language documents of a language, chosen by hash of id and text; repeated rows
+    count once there. Null texts are not learned
     from; a null doc_id is neither learned from nor held out. Repeated rows give a row each; an empty table gives none.
     """
     spark = docs.sparkSession
@@ -124,9 +125,9 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     langs = sorted(sizes)
     if not langs:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, per_language / sizes[lang]))])
-    sample = learn.where(place < F.element_at(share, F.col("lang"))).select("doc_id", "text", "lang")
+    sample = learn.where(place < F.element_at(share, F.col("lang"))).select("doc_id", "text", "lang").distinct()
 
     def sparse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 pytest.importorskip("lattis.llm")
@@ -204,6 +206,46 @@ def test_top_k_lengths_and_batches(spark, monkeypatch):
         assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk_search.top_k(df).collect()} == want
 
 
+def test_ftrl_brute_force():
+    """Every coordinate and class by the formula of the method, one at a time."""
+    rng, classes, cells = np.random.default_rng(5), 3, [2, 7, 11, 900]
+    rows = []
+    for _ in range(40):
+        at = np.sort(rng.choice(cells, size=rng.integers(1, 5), replace=False))
+        rows.append((at, rng.random(len(at)), int(rng.integers(classes))))
+    z, n = {}, {}
+
+    def weight(c, k):
+        zk, nk = z.get((c, k), 0.0), n.get((c, k), 0.0)
+        if abs(zk) <= language_id.L1:
+            return 0.0
+        return -(zk - math.copysign(language_id.L1, zk)) / ((language_id.BETA + math.sqrt(nk)) / language_id.ALPHA + language_id.L2)
+
+    for _ in range(language_id.EPOCHS):
+        for at, x, y in rows:
+            w = {(c, k): weight(c, k) for c in at for k in range(classes)}
+            e = [math.exp(sum(v * w[c, k] for c, v in zip(at, x))) for k in range(classes)]
+            for c, v in zip(at, x):
+                for k in range(classes):
+                    g, was = v * (e[k] / sum(e) - (k == y)), n.get((c, k), 0.0)
+                    z[c, k] = z.get((c, k), 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / language_id.ALPHA * w[c, k]
+                    n[c, k] = was + g * g
+    got = language_id.ftrl(rows, classes)
+    assert np.allclose(got[cells], [[weight(c, k) for k in range(classes)] for c in cells]) and np.abs(got[cells]).max() > 0
+    assert np.count_nonzero(got) == np.count_nonzero(got[cells])
+
+
+def test_language_id_repeated_rows_and_rare_letters(spark):
+    texts = ["the cat and the dog of the house", "der hund und die katze aus dem haus"]
+    rows = [(i, f"{texts[i % 2]} {i}", ["en", "de"][i % 2]) for i in range(200)]
+    rows += [(1000 + i, "\U00020000\U00020001\U00020002" * 5, "zh") for i in range(40)] + [(2000, texts[0], "en")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language_id.identify(df, per_language=50).collect()
+    assert len(out) == len(rows)
+    truth = {r[0]: r[2] for r in rows}
+    assert all(r.lang_pred == truth[r.doc_id] for r in out)
+
+
 def test_language_id(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     rows = language_id.identify(df).join(df.select("doc_id", "lang"), "doc_id").collect()
