@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattis.operators.graph import bounded_bfs
@@ -26,6 +28,39 @@ def upgrade_map(lines: DataFrame, items: DataFrame, translations: DataFrame, pat
     return rows.groupBy("group").agg(join("source").alias("sources"), join("target").alias("targets"), join("text").alias("names"))
 
 
+#: Calls of a script: an item's upgrade, the weapon that a group gets, and the weapon that a group's queue takes.
+SCRIPT_CALLS = {
+    "upgrade": r'\bupgrade\([^")]*"(?<group>[^"]+)"\s*,\s*"(?<key>[^"]+)"',
+    "gives": r'\bgive\([^")]*"(?<key>[^"]+)"\s*,[^",]*,\s*"(?<group>[^"]+)"',
+    "takes": r'\bqueue\([^")]*"(?<group>[^"]+)"\)[^{]*?item\s*==?\s*"(?<key>[^"]+)"',
+}
+
+
+def script_calls(scripts: DataFrame, calls: dict[str, str] = SCRIPT_CALLS) -> DataFrame:
+    """(file, kind, group, key): calls of each kind in scripts (file, content); a pattern names its group and key."""
+    def found(kind: str, pattern: str) -> Column:
+        plain, first = re.sub(r"\?<\w+>", "", pattern), re.search(r"\?<(\w+)>", pattern).group(1)
+        place = {first: 1, "key" if first == "group" else "group": 2}
+        one = F.regexp_extract_all("content", F.lit(plain), F.lit(0))
+        return F.transform(one, lambda c: F.struct(F.lit(kind).alias("kind"), *[F.regexp_extract(c, plain, place[x]).alias(x) for x in ("group", "key")]))
+
+    return scripts.select("file", F.explode(F.concat(*[found(*x) for x in calls.items()])).alias("c")).select("file", "c.kind", "c.group", "c.key")
+
+
+def upgrade_entries(scripts: DataFrame, items: DataFrame, translations: DataFrame, calls: dict[str, str] = SCRIPT_CALLS) -> DataFrame:
+    """(item, group, takes, gives, name, text): an entry for each upgrade call, with the weapons its group takes and gives.
+
+    scripts: file, content; items: key, name; translations: name, text. Sets are sorted and joined by commas; an item
+    without a name, or a name without a translation, has an empty one.
+    """
+    rows = script_calls(scripts, calls).select("kind", "group", "key").distinct()
+    join = lambda kind: F.array_join(F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("key")))), ",").alias(kind)
+    weapons = rows.where("kind <> 'upgrade'").groupBy("group").agg(join("takes"), join("gives"))
+    names, said = items.groupBy("key").agg(F.min("name").alias("name")), translations.groupBy("name").agg(F.min("text").alias("text"))
+    out = rows.where("kind = 'upgrade'").join(weapons, "group", "left").join(names, "key", "left").join(said, "name", "left")
+    return out.select(F.col("key").alias("item"), "group", *[F.coalesce(c, F.lit("")).alias(c) for c in ("takes", "gives", "name", "text")])
+
+
 def skill_map(weapons: DataFrame, handlers: DataFrame, projectiles: DataFrame, effects: DataFrame) -> DataFrame:
     """(weapon, index, handler, projectile, notify, effect, missing): each weapon's way to its effect; missing names the first step that has no fact.
 
