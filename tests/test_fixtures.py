@@ -1,4 +1,4 @@
-"""Golden rows worked out by hand: intents, accounting, graphs, packing, file trees."""
+"""Golden rows of the behaviour to match: intents, accounting, graphs, packing, file trees; brute-force walks and joins."""
 
 from __future__ import annotations
 
