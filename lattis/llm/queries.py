@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattis.llm import decontaminate, html_text, jaccard_join, language_id, licenses, packing, quality, substring_dedup, topk_search, url_filter
+from lattis.llm import decontaminate, html_text, jaccard_join, language_id, licenses, merkle, packing, quality, substring_dedup, topk_search, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +53,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_substring_dedup, op4_license_scan, op5_url_filter, op6_bestfit_packing, op7_html_extract, op8_decontaminate, op9_quality_resample, op10_jaccard_join)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, more = table(spark, sf_dir, "documents"), F.col("n_chars").cast("long") + 1
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    tampered = F.when(crc % 7 == 0, merkle.leaf([more if c == "n_chars" else F.col(c) for c in merkle.COLUMNS]))
+    rows = merkle.manifest(docs, carry={"tampered": tampered})
+    proof = F.sha2(F.array_join(F.transform("path", lambda s: F.substring(s, 2, 64)), ""), 256)
+    rows = rows.select("doc_id", F.lower(F.hex("leaf")).alias("leaf"), F.lower(F.hex("subroot")).alias("subroot"), F.lower(F.hex("root")).alias("root"), proof.alias("proof_sha256"), merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_substring_dedup, op4_license_scan, op5_url_filter, op6_bestfit_packing, op7_html_extract, op8_decontaminate, op9_quality_resample, op10_jaccard_join, op11_merkle_manifest)}
 
 NUMBER_OF = {name: k for k, name in enumerate(licenses.SENTENCES)}
 KNOWN = {licenses.normal(t): NUMBER_OF[name] for name, texts in licenses.SENTENCES.items() for t in texts}
@@ -78,6 +89,11 @@ def template_sql(name: str, table: str, key: str, lengths: str) -> str:
   FROM (SELECT *, unnest(range(1, len(shape) - n + 2)) AS i FROM (SELECT *, unnest({lengths}) AS n FROM {name}) WHERE n <= len(shape)))"""
 
 
+def leaf_sql(n_chars: str) -> str:
+    text = lambda x: f"coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+    return f"sha256({' || '.join(text(x) for x in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
 ORACLE_SQL = {
     "op8_decontaminate": f"""
 WITH {template_sql('b', 'benchmark', 'item_id', f'[least({decontaminate.WINDOW}, len(shape))]')}, {template_sql('d', 'documents', 'doc_id', '(SELECT list(DISTINCT n) FROM bw)')},
@@ -137,5 +153,18 @@ l AS (SELECT a, b FROM x JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b W
 reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(min(reach.b), w.doc_id)) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id, n.n
+""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT *, list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))) AS c FROM documents),
+f AS (SELECT doc_id, coalesce('+' || lang, '-') AS g, lang, {leaf_sql('n_chars')} AS leaf, CASE WHEN xor(c, 4294967295) % 7 = 0 THEN {leaf_sql('CAST(n_chars AS BIGINT) + 1')} END AS changed FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM f),
+n(g, level, pos, h) AS (SELECT g, 0, pos, leaf FROM l UNION ALL SELECT g, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM n) WHERE c > 1 GROUP BY g, level, pos // 2),
+s AS (SELECT g, max_by(h, level) AS subroot, max(level) AS top, row_number() OVER (ORDER BY g <> '-', g) - 1 AS pos FROM n GROUP BY g),
+u(level, pos, h) AS (SELECT 0, pos, subroot FROM s UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS c FROM u) WHERE c > 1 GROUP BY level, pos // 2),
+p(doc_id, leaf, g, level, pos, h, proof) AS (SELECT doc_id, leaf, g, 0, pos, coalesce(changed, leaf), '' FROM l
+  UNION ALL SELECT doc_id, leaf, p.g, p.level + 1, p.pos // 2, sha256(CASE WHEN p.pos % 2 = 1 THEN coalesce(o.h, '') || p.h ELSE p.h || coalesce(o.h, '') END), proof || coalesce(o.h, '') FROM p JOIN s ON s.g = p.g AND p.level < s.top LEFT JOIN n o ON o.g = p.g AND o.level = p.level AND o.pos = xor(p.pos, 1)),
+q(doc_id, leaf, subroot, level, pos, h, proof) AS (SELECT doc_id, leaf, subroot, 0, s.pos, h, proof FROM p JOIN s ON s.g = p.g AND p.level = s.top
+  UNION ALL SELECT doc_id, leaf, subroot, q.level + 1, q.pos // 2, sha256(CASE WHEN q.pos % 2 = 1 THEN coalesce(o.h, '') || q.h ELSE q.h || coalesce(o.h, '') END), proof || coalesce(o.h, '') FROM q LEFT JOIN u o ON o.level = q.level AND o.pos = xor(q.pos, 1) WHERE q.level < (SELECT max(level) FROM u))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM q, (SELECT max_by(h, level) AS root, max(level) AS top FROM u) WHERE q.level = top
 """,
 }
