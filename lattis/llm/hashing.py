@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 U = np.uint64
-#: Bytes of text that one vectorised step works on; a longer document is a step of its own.
+#: Bytes of text that one vectorised step works on; a longer document is a step of its own, whose bytes are hashed in pieces.
 STEP_BYTES = 1 << 20
 
 
@@ -59,22 +59,43 @@ def as_bytes(texts) -> list[bytes]:
     return [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in texts]
 
 
-def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, bounds): the words of text i are bounds[i] to bounds[i + 1]."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    if lower:
-        data = LOWER[data]
+def pieces(data: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of about so many bytes, cut behind white space; data ends with white space. A longer word is not cut."""
+    at = 0
+    while at < len(data):
+        end = at + most
+        if end >= len(data):
+            end = len(data)
+        else:
+            back = np.flatnonzero(SPACE[data[at:end]])
+            end = at + int(back[-1]) + 1 if len(back) else end + int(np.argmax(SPACE[data[end:]])) + 1
+        yield at, end
+        at = end
+
+
+def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, begin) of each word; data ends with white space."""
     space = SPACE[data]
     begins = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
-    bounds = np.concatenate(([0], np.searchsorted(begins, ends)))
     if not len(begins):
-        return np.empty(0, dtype=np.uint64), bounds
+        return np.empty(0, dtype=np.uint64), begins
     spans = np.diff(np.append(begins, len(data)))
     within = np.arange(begins[0], len(data)) - np.repeat(begins, spans)
     with np.errstate(over="ignore"):
         value = TABLE[data[begins[0] :]] * powers(int(spans.max()))[within]
-        return mix(np.add.reduceat(value, begins - begins[0])), bounds
+        return mix(np.add.reduceat(value, begins - begins[0])), begins
+
+
+def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, bounds): the words of text i are bounds[i] to bounds[i + 1]. A long text is hashed piece by piece."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    hashes, begins = [], []
+    for a, b in pieces(data):
+        h, at = hash_words(LOWER[data[a:b]] if lower else data[a:b])
+        hashes.append(h)
+        begins.append(at + a)
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
+    return np.concatenate(hashes), np.concatenate(([0], np.searchsorted(np.concatenate(begins), ends)))
 
 
 def combine(parts: list[np.ndarray], seed: int = 0) -> np.ndarray:

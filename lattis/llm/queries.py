@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattis.llm import decontaminate, html_text, jaccard_join, language_id, licenses, merkle, packing, quality, substring_dedup, topk_search, url_filter
+from lattis.llm import centroids, decontaminate, html_text, jaccard_join, language_id, licenses, line_rules, merkle, packing, quality, substring_dedup, topk_search, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_substring_dedup, op4_license_scan, op5_url_filter, op6_bestfit_packing, op7_html_extract, op8_decontaminate, op9_quality_resample, op10_jaccard_join, op11_merkle_manifest)}
+def op12_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_substring_dedup, op4_license_scan, op5_url_filter, op6_bestfit_packing, op7_html_extract, op8_decontaminate, op9_quality_resample, op10_jaccard_join, op11_merkle_manifest, op12_line_rules, op13_centroid_clustering)}
 
 NUMBER_OF = {name: k for k, name in enumerate(licenses.SENTENCES)}
 KNOWN = {licenses.normal(t): NUMBER_OF[name] for name, texts in licenses.SENTENCES.items() for t in texts}
@@ -94,7 +103,27 @@ def leaf_sql(n_chars: str) -> str:
     return f"sha256({' || '.join(text(x) for x in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
 
 
+def clustering_sql() -> str:
+    """A CTE pair for each round: the assignment by distance, and the centroids it gives."""
+    k, near = centroids.CLUSTERS, "SELECT vec_id, min_by(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.vec_id, m.c, CAST(list_sum(list_transform(list_zip(v.e, m.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, {m} m) GROUP BY vec_id"
+    sql = f"""
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE len(embedding) = {centroids.SIZE} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT * FROM x),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, e FROM v ORDER BY c LIMIT {k})"""
+    for t in range(centroids.ROUNDS):
+        sql += f""",
+a{t} AS MATERIALIZED ({near.format(m=f'm{t}')}),
+s{t} AS (SELECT c, list(q ORDER BY i) AS e FROM (SELECT c, i, CAST((sum(x) - (((sum(x) % count(*)) + count(*)) % count(*))) // count(*) AS BIGINT) AS q FROM (SELECT c, unnest(e) AS x, unnest(range(len(e))) AS i FROM a{t} JOIN v USING (vec_id)) GROUP BY c, i) GROUP BY c),
+m{t + 1} AS MATERIALIZED (SELECT c, coalesce(s{t}.e, m{t}.e) AS e FROM m{t} LEFT JOIN s{t} USING (c))"""
+    last = f"m{centroids.ROUNDS}"
+    return sql + f""",
+z AS ({near.format(m=last)})
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(e, ',')) AS centroid_sha256 FROM z JOIN {last} USING (c)
+"""
+
+
 ORACLE_SQL = {
+    "op13_centroid_clustering": clustering_sql(),
     "op8_decontaminate": f"""
 WITH {template_sql('b', 'benchmark', 'item_id', f'[least({decontaminate.WINDOW}, len(shape))]')}, {template_sql('d', 'documents', 'doc_id', '(SELECT list(DISTINCT n) FROM bw)')},
 k AS (SELECT DISTINCT item_id, pos, w, n, slots, n - len(slots) < least({decontaminate.LITERAL}, n) AS dense FROM bw),

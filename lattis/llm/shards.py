@@ -5,7 +5,8 @@ Operators that pass over texts several times, each time with what other document
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattis.llm.hashing import mix, steps
+from lattis.session import shared_dir
 
 #: Stands for a null doc_id inside a task, so it is no id itself; it sorts behind all others.
 NO_ID = np.int64((1 << 63) - 1)
@@ -76,3 +78,17 @@ def documents(blocks) -> Iterator[tuple[np.ndarray, list[bytes | None]]]:
         texts = [None if s < 0 else data[e - s : e] for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
         for a, b in steps([t or b"" for t in texts]):
             yield ids[a:b], texts[a:b]
+
+
+def dealt(df: DataFrame, column: str) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a table in the shared folder, bucketed by the column, and what removes it: later joins by the column leave its rows where they are."""
+    spark, name = df.sparkSession, f"dealt_{uuid.uuid4().hex}"
+    path, buckets = f"{shared_dir(spark)}/{name}", min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    df.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    return spark.table(name), drop
