@@ -31,16 +31,17 @@ def template(text: Column) -> Column:
     """The template of a spaced text, word by word. A name is a capitalised word that does not open a sentence or line."""
     # looking ahead first costs little at most places; looking behind is left for the few that pass
     named = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;)] )\p{Lu}\p{Ll}+(?=[^\p{L}\p{N}]|$)", "\u0001")
-    number = F.regexp_replace(named, r"(?=\p{N})(?<![\p{L}\p{N}])\p{N}+(?:[.,:]\p{N}+)*(?![\p{L}\p{N}])", "\u0002")
+    # possessive, so that a chain of any length is matched without recursion; a part that a letter follows is not taken
+    number = F.regexp_replace(named, r"(?=\p{N})(?<![\p{L}\p{N}])\p{N}++(?:[.,:]\p{N}++(?!\p{L}))*+(?!\p{L})", "\u0002")
     unit = F.when(F.instr(number, "\u0002 ") > 0, F.regexp_replace(number, rf"(?i)(?<=\u0002 )(?:{UNITS})(?=[^\p{{L}}\p{{N}}]|$)", "\u0003")).otherwise(number)
     return F.lower(F.regexp_replace(unit, "[^\\p{L}\\p{M}\\p{N}\u0001-\u0003 ]+", ""))
 
 
 def words_of(texts: DataFrame, key: str) -> DataFrame:
-    """(key, raw, shape) of texts that have words: the text with one space between words, and the words of its template."""
+    """(key, words, shape) of texts that have words: the words of the text, and those of its template."""
     # a filter on what is computed would compute it twice, so texts without words go by their own look
     rows = texts.select(key, F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return rows.select(key, spaced(F.col("text")).alias("raw")).select(key, "raw", F.split(template(F.col("raw")), " ").alias("shape"))
+    return rows.select(key, spaced(F.col("text")).alias("raw")).select(key, F.split("raw", " ").alias("words"), F.split(template(F.col("raw")), " ").alias("shape"))
 
 
 def hash_of(n: Column, lengths: list[int]) -> Column:
@@ -56,28 +57,28 @@ def slots_of(n: Column) -> Column:
     def value(s: Column, r: Column) -> Column:
         return F.when(s.rlike("[\u0001-\u0003]"), F.lower(F.regexp_replace(r, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
 
-    slots = F.filter(F.zip_with(F.slice("shape", F.col("pos"), n), F.slice(F.split("raw", " "), F.col("pos"), n), value), lambda x: x.isNotNull())
+    slots = F.filter(F.zip_with(F.slice("shape", F.col("pos"), n), F.slice("words", F.col("pos"), n), value), lambda x: x.isNotNull())
     return F.when(F.size(slots) > 0, slots)
 
 
 def benchmark_windows(bench: DataFrame, window: int, literal: int) -> DataFrame:
     """(item_id, pos, n, hash, islots, dense) of the windows."""
     n = F.least(F.lit(window), F.size("shape"))
-    rows = words_of(bench, "item_id").select("item_id", "raw", "shape", n.alias("n"), F.explode(F.sequence(F.lit(1), F.size("shape") - n + 1)).alias("pos"))
+    rows = words_of(bench, "item_id").select("item_id", "words", "shape", n.alias("n"), F.explode(F.sequence(F.lit(1), F.size("shape") - n + 1)).alias("pos"))
     rows = rows.select("item_id", "pos", "n", hash_of(F.col("n"), list(range(1, window + 1))).alias("hash"), slots_of(F.col("n")).alias("islots"))
     literals = F.col("n") - F.coalesce(F.size("islots"), F.lit(0))
     return rows.withColumn("dense", literals < F.least(F.lit(literal), "n")).distinct()
 
 
 def document_windows(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """(doc_id, raw, shape, n, pos, hash) of the windows of each length."""
+    """(doc_id, words, shape, n, pos, hash) of the windows of each length."""
     last = F.size("shape") - min(lengths) + 1
-    rows = words_of(docs, "doc_id").select("doc_id", "raw", "shape", F.explode(F.when(last >= 1, F.sequence(F.lit(1), last))).alias("pos"))
+    rows = words_of(docs, "doc_id").select("doc_id", "words", "shape", F.explode(F.when(last >= 1, F.sequence(F.lit(1), last))).alias("pos"))
     n = F.lit(lengths[0])
     if len(lengths) > 1:
-        rows, n = rows.select("doc_id", "raw", "shape", "pos", F.explode(F.array(*map(F.lit, lengths))).alias("n")), F.col("n")
+        rows, n = rows.select("doc_id", "words", "shape", "pos", F.explode(F.array(*map(F.lit, lengths))).alias("n")), F.col("n")
         rows = rows.where(F.col("pos") + F.col("n") - 1 <= F.size("shape"))
-    return rows.select("doc_id", "raw", "shape", n.alias("n"), "pos", hash_of(n, lengths).alias("hash"))
+    return rows.select("doc_id", "words", "shape", n.alias("n"), "pos", hash_of(n, lengths).alias("hash"))
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, literal: int = LITERAL) -> DataFrame:
