@@ -118,11 +118,12 @@ def anchors(known: list[str]) -> list[str]:
 
 def marked(text: Column) -> Column:
     """The words a-z, 0-9 of a text in lower case, each sentence or line between two marks: 1 where a sentence surely ends (. ! ? ; : before white space, an empty line), 2 at other line ends."""
-    hard = F.regexp_replace(F.regexp_replace(text, r"[.!?;:]+(?=\s|$)", "\u0001"), r"\n[ \t\r]*\n", "\u0001")
+    # runs are matched from their first character only and whole, so cost is linear in their length
+    hard = F.regexp_replace(F.regexp_replace(text, r"(?<![.!?;:])[.!?;:]++(?=\s|$)", "\u0001"), r"\n[ \t\r]*+\n", "\u0001")
     low = F.lower(F.translate(F.regexp_replace(hard, r"\n", "\u0002"), "\u0130\u212a", "  "))
     words = F.regexp_replace(low, "[^a-z0-9\u0001\u0002]+", " ")
-    one = F.regexp_replace(words, "[ \u0001\u0002]*\u0001[ \u0001\u0002]*", " \u0001 \u0001 ")
-    soft = F.regexp_replace(one, "[ ]*\u0002[ \u0002]*", " \u0002 \u0002 ")
+    one = F.regexp_replace(words, "(?<![ \u0001\u0002])[ \u0002]*+\u0001[ \u0001\u0002]*+", " \u0001 \u0001 ")
+    soft = F.regexp_replace(one, "(?<![ \u0001\u0002])[ ]*+\u0002[ \u0002]*+", " \u0002 \u0002 ")
     return F.concat(F.lit("\u0001 "), F.trim(soft), F.lit(" \u0001"))
 
 
