@@ -19,7 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
-from math import log
+from math import inf, log
 from zlib import crc32
 
 import pandas as pd
@@ -83,31 +83,49 @@ def features(name: str, attributes: str, marked: bool) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
-def stream(page: str) -> list[tuple[str, str, tuple[tuple[str, ...], ...], bool]]:
-    """The row of (kind, value, features of the open elements, inside an article or main element); kind: text, open, close."""
-    out, names, held, marked = [], [], [], []
+class Frame:
+    """An open element, linked to the one around it: the features that those have not, whether it is in an article or main element or is one, and what weigh() tells it."""
+
+    __slots__ = ("around", "fresh", "marked", "told")
+
+    def __init__(self, around: Frame | None, fresh: tuple[str, ...], marked: bool):
+        self.around, self.fresh, self.marked, self.told = around, fresh, marked, (0.0, False)
+
+
+def stream(page: str) -> tuple[list[tuple[str, str, Frame]], list[Frame]]:
+    """The row of (kind, value, innermost open element) and all elements, outer ones first; kind: text, open, close. Cost and memory are linear in the page."""
+    root = Frame(None, (), False)
+    out, frames, names, open_, held = [], [root], [], [root], Counter()
+    opened: Counter = Counter()
+
+    def shut() -> str:
+        held.subtract(open_.pop().fresh)
+        name = names.pop()
+        opened[name] -= 1
+        return name
+
     for kind, value, closing, attributes in tokens(page):
+        top = open_[-1]
         if kind == "text":
-            out.append(("text", value, tuple(held), bool(marked)))
+            out.append(("text", value, top))
         elif not closing:
-            out.append(("open", value, tuple(held), bool(marked)))
+            out.append(("open", value, top))
             if value not in VOID and not attributes.endswith("/"):
                 if value in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and names and names[-1] == value:  # these close themselves
-                    names.pop()
-                    held.pop()
+                    shut()
+                    top = open_[-1]
+                fresh = tuple(f for f in features(value, attributes, top.marked) if not held[f])
+                held.update(fresh)
                 names.append(value)
-                held.append(features(value, attributes, bool(marked)))
-                if value in ("article", "main"):
-                    marked.append(len(names))
+                opened[value] += 1
+                open_.append(Frame(top, fresh, top.marked or value in ("article", "main")))
+                frames.append(open_[-1])
         else:
-            if value in names:
-                while names.pop() != value:
-                    held.pop()
-                held.pop()
-                while marked and marked[-1] > len(names):
-                    marked.pop()
-            out.append(("close", value, tuple(held), bool(marked)))
-    return out
+            if opened[value]:
+                while shut() != value:
+                    pass
+            out.append(("close", value, open_[-1]))
+    return out, frames
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -136,28 +154,28 @@ def weights_of(counts: dict[tuple[str, str, int], int]) -> tuple[dict[str, float
     return costs, scores
 
 
-def worth(held: tuple[tuple[str, ...], ...], scores: dict[str, float]) -> tuple[float, bool]:
-    """The score of a word, and whether it may be left out of the region."""
-    told = {f: scores.get(f, 0.0) for names in held for f in names}
-    least = min(told.values(), default=0.0)
-    if least < TELLING:
-        return max(-MOST, least), any(x < TELLING for f, x in told.items() if f != "a")
-    return 1 + min(MOST, max(told.values(), default=0.0)), False
+def weigh(frames: list[Frame], scores: dict[str, float]) -> None:
+    """Tells each element the score of a word in it, and whether such a word may be left out of the region."""
+    sums: dict[Frame | None, tuple[float, float, bool]] = {None: (inf, -inf, False)}
+    for frame in frames:
+        least, most, out = sums[frame.around]
+        for f in frame.fresh:
+            x = scores.get(f, 0.0)
+            least, most, out = min(least, x), max(most, x), out or (x < TELLING and f != "a")
+        sums[frame] = least, most, out
+        frame.told = (max(-MOST, least), out) if least < TELLING else (1 + min(MOST, most if most > -inf else 0.0), False)
 
 
 def main_text(page: str, weights: tuple[dict[str, float], dict[str, float]]) -> str:
     costs, scores = weights
-    known: dict = {}
-    row, line = stream(page), []
-    for kind, value, held, _ in row:
-        if held not in known:
-            known[held] = worth(held, scores)
-        line.append(len(value.split()) * known[held][0] if kind == "text" else -costs.get(value, costs[""]))
+    row, frames = stream(page)
+    weigh(frames, scores)
+    line = [len(value.split()) * frame.told[0] if kind == "text" else -costs.get(value, costs[""]) for kind, value, frame in row]
     begin, end = best_region(line)
     blocks, now = [], []
-    for kind, value, held, _ in [*row[begin:end], ("close", "div", (), False)]:
+    for kind, value, frame in [*row[begin:end], ("close", "div", frames[0])]:
         if kind == "text":
-            if not known[held][1]:
+            if not frame.told[1]:
                 now.append(value)
         elif value == "br":
             now.append(" ")
@@ -169,6 +187,27 @@ def main_text(page: str, weights: tuple[dict[str, float], dict[str, float]]) ->
     return "\n\n".join(blocks)
 
 
+def tally(page: str) -> Counter:
+    """(tag, word or all, name, inside) -> how many: words by each feature of the elements around them, and tags."""
+    n: Counter = Counter()
+    row, frames = stream(page)
+    inside: dict[Frame, list[int]] = {f: [0, 0] for f in frames}
+    for kind, value, frame in row:
+        if kind == "text":
+            inside[frame][frame.marked] += len(value.split())
+        elif value not in ("article", "main"):
+            n["tag", value, int(frame.marked)] += 1
+    for frame in reversed(frames):  # inner elements come after those around them
+        for k in (0, 1):
+            for f in frame.fresh if inside[frame][k] else ():
+                n["word", f, k] += inside[frame][k]
+            if frame.around:
+                inside[frame.around][k] += inside[frame][k]
+    for k in (0, 1):
+        n["all", "", k] += inside[frames[0]][k]
+    return n
+
+
 def extract(pages: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """page_id, url, text (the main text, empty if none) and n_chars (its code points) of each page.
 
@@ -186,15 +225,8 @@ def extract(pages: DataFrame, labelled: int = LABELLED) -> DataFrame:
         n: Counter = Counter()
         for pdf in parts:
             for page in pdf["html"]:
-                for kind, value, held, inside in stream(page):
-                    if kind == "text":
-                        size = len(value.split())
-                        n["all", "", int(inside)] += size
-                        for name in {f for names in held for f in names} if size else ():
-                            n["word", name, int(inside)] += size
-                    elif value not in ("article", "main"):
-                        n["tag", value, int(inside)] += 1
-        yield pd.DataFrame([(w, x[:40], i, c) for (w, x, i), c in n.items()], columns=["what", "name", "inside", "n"])
+                n.update(tally(page))
+        yield pd.DataFrame([(w, x, i, c) for (w, x, i), c in n.items()], columns=["what", "name", "inside", "n"])
 
     counted = marked.mapInPandas(count, "what string, name string, inside int, n long").groupBy("what", "name", "inside").agg(F.sum("n").alias("n"))
     weights = weights_of({(r["what"], r["name"], r["inside"]): r["n"] for r in counted.collect()})  # of LABELLED pages, by name or cell

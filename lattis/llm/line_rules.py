@@ -259,11 +259,11 @@ def judge(docs: DataFrame, labels: DataFrame, share: float = SHARE, most: int =
             for a, b in steps(texts):
                 out = []
                 for x in describe(texts[a:b]):
-                    codes, n = x.pop("codes"), x["n_words"]
+                    codes, words, n = x.pop("codes"), x.pop("words"), x["n_words"]
                     content = np.ones(len(codes), dtype=np.int8) if field is None else field.decode(codes)
                     lines = np.full(x.pop("n_lines"), None, dtype=object)
                     lines[x.pop("places")] = content.astype(bool)
-                    part = float(x.pop("words")[content == 1].sum()) / n if n else 0.0
+                    part = float(words[content == 1].sum()) / n if n else 0.0
                     failed = n < LEAST_WORDS or 100 * x["n_repeat_words"] > MOST_REPEATS * n
                     out.append(x | {"base_failed": failed, "kept": not failed and part >= share, "content_share": part, "lines": lines})
                 yield pd.DataFrame({"doc_id": ids[a:b]} | {k: [x[k] for x in out] for k in out[0]})
