@@ -90,7 +90,7 @@ def build(nodes: DataFrame, levels: int) -> DataFrame:
     n: nodes of the group in this round; held: nodes of the builder; top: whether it has all of its group.
     """
     block = F.shiftright("pos", levels)
-    many = nodes.groupBy("grp", block.alias("block")).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "digest"))).alias("found"))
+    many = nodes.groupBy("grp", block.alias("block")).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "digest"))).alias("found"))
     many = many.select("grp", "block", "n", F.size("found").alias("held"), (F.col("n") <= 1 << levels).alias("top"), F.expr("aggregate(found, X'', (a, x) -> concat(a, x.digest))").alias("leaves"))
     height = F.when(F.col("held") == 1, 0).otherwise(F.length(F.bin(F.col("held") - 1)))
     height = F.when(F.col("top"), height).otherwise(F.lit(levels))
