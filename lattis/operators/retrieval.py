@@ -1,7 +1,7 @@
-"""Batch full-text retrieval: postings, boosted ranking, term expansion, pinning, filters, name resolution, context packing.
+"""Batch full-text retrieval: boosted ranking, term expansion, pinning, filters, name resolution, context packing.
 
-Scores are BM25+ (Robertson and Zaragoza 2009, Lv and Zhai 2011) with K1, B and DELTA; they are rounded to 6 places
-before ranking, and ties go to the smaller document.
+Searches read a stored index (lattis.operators.index). Scores are BM25+ (Robertson and Zaragoza 2009, Lv and Zhai 2011);
+they are rounded to 6 places before ranking, and ties go to the smaller document.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattis.functions.text import CJK, entity_tokens, tokenize
+from lattis.operators.index import SearchIndex, search_terms
 
-K1, B, DELTA = 1.2, 0.7, 0.5
 # Boosts of the fields, and of key and name when an entity is pinned; hits kept for each token and in all.
 BOOSTS = {"key": 3.0, "name": 2.5, "names": 2.5, "content": 1.0, "type": 1.0}
 PIN_BOOSTS = {"key": 10.0, "name": 8.0}
@@ -21,38 +21,11 @@ FUZZY = 0.2
 PREFIX_WEIGHT, FUZZY_WEIGHT = 0.375, 0.45
 
 
-def build_postings(docs: DataFrame, fields: dict[str, bool]) -> DataFrame:
-    """(field, term, doc_id, tf) of lower-case terms; fields: column -> whether CJK runs are expanded."""
-    parts = F.array(*[F.struct(F.lit(f).alias("field"), tokenize(F.lower(F.col(f)), cjk).alias("terms")) for f, cjk in fields.items()])
-    rows = docs.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.field", F.explode("p.terms").alias("term"))
-    return rows.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"))
-
-
 def query_terms(queries: DataFrame, text: str = "q") -> DataFrame:
     """(qid, term, weight): distinct lower-case terms of each query."""
     return queries.select("qid", F.explode(F.array_distinct(tokenize(F.lower(F.col(text))))).alias("term")).withColumn("weight", F.lit(1.0))
 
 
-def rank(terms: DataFrame, postings: DataFrame, n_docs: int, boosts: dict[str, float] = BOOSTS) -> DataFrame:
-    """(qid, doc_id, score, rank): documents with any term, best first.
-
-    Document frequencies and lengths are taken of all postings. What a term is worth in a document is worked out once for
-    all queries, over all fields; then queries meet (term, document) rows by term and only their sums are shuffled on.
-    """
-    p = postings.where(F.col("field").isin(list(boosts)))
-    length = p.groupBy("field", "doc_id").agg(F.sum("tf").alias("len"))
-    mean = length.groupBy("field").agg((F.sum("len") / F.lit(n_docs)).alias("mean"))
-    wanted = p.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("field", "term").agg(F.count("*").alias("df"))
-    boost = F.element_at(F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv]), F.col("field"))
-    rows = wanted.join(df, ["field", "term"]).join(length, ["field", "doc_id"]).join(F.broadcast(mean), "field")  # mean: a row for each field
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = boost * idf * (DELTA + F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean"))))
-    worth = rows.groupBy("term", "doc_id").agg(F.sum(part).alias("worth"))
-    score = terms.join(worth, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("worth")), 6).alias("score"))
-    return score.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")))
-
-
 def pieces_of(text: Column, i: Column, k: Column, size: Column) -> tuple[Column, Column]:
     """Start (from 0) and length of piece i of the k + 1 even pieces of a text of that size."""
     start = F.floor(i * size / (k + 1))
@@ -80,8 +53,8 @@ def near_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     v = v.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
     start, long = pieces_of(F.col("expanded"), F.col("i"), F.col("k"), F.col("n"))
     v = v.select("expanded", "k", "n", "i", F.substring(F.col("expanded"), (start + 1).cast("int"), long.cast("int")).alias("piece"))
-    met = t.join(v, ["k", "n", "i", "piece"]).select("term", "expanded", "k").distinct()
-    return met.withColumn("edits", F.expr("levenshtein(term, expanded, k)")).where("edits > 0").drop("k")
+    # most that meet are too far apart: told before the few that are not are shuffled
+    return t.join(v, ["k", "n", "i", "piece"]).select("term", "expanded", F.expr("levenshtein(term, expanded, k)").alias("edits")).where("edits > 0").distinct()
 
 
 def expand_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -91,7 +64,9 @@ def expand_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     terms, vocabulary: term.
     """
     latin = terms.select("term").distinct().where(~F.col("term").rlike(f"[{CJK}]"))
-    v = vocabulary.select(F.col("term").alias("expanded")).distinct()
+    # a vocabulary is small on disk, but each word has many pieces: it is dealt out to all tasks before these are made
+    n = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = vocabulary.select(F.col("term").alias("expanded")).repartition(n, "expanded").distinct()
     starts = v.withColumn("z", F.explode(F.sequence(F.lit(1), F.least(F.lit(4), F.length("expanded"))))).withColumn("start", F.substring(F.col("expanded"), F.lit(1), F.col("z")))
     prefix = latin.withColumn("start", F.substring("term", 1, 4)).join(starts, "start").where((F.col("term") != F.col("expanded")) & F.startswith("expanded", "term"))
     prefix = prefix.select("term", "expanded", F.lit("prefix").alias("kind"), F.round(PREFIX_WEIGHT * F.length("term") / F.length("expanded"), 6).alias("weight"))
@@ -99,24 +74,17 @@ def expand_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return prefix.unionByName(near.select("term", "expanded", F.lit("fuzzy").alias("kind"), F.round(FUZZY_WEIGHT * (1 - F.col("edits") / F.length("term")), 6).alias("weight")))
 
 
-def expanded_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(qid, term, weight) with what expand_terms() adds; of several ways to one term the heaviest counts."""
-    more = terms.drop("weight").join(expand_terms(terms, vocabulary), "term").select("qid", F.col("expanded").alias("term"), "weight")
-    return terms.unionByName(more).groupBy("qid", "term").agg(F.max("weight").alias("weight"))
-
-
-def pin_entities(queries: DataFrame, postings: DataFrame, n_docs: int, vocabulary: DataFrame | None = None) -> DataFrame:
+def pin_entities(queries: DataFrame, index: SearchIndex, expand: bool = True) -> DataFrame:
     """(qid, doc_id, score, rank): for each of a query's first entity-like tokens its best documents by key and name.
 
     A document keeps the hit of the first token that finds it; scores are multiplied, and the best of all tokens stay.
-    With a vocabulary (term), tokens are expanded as in a search.
+    Tokens are expanded as in a search, if wanted.
     """
     tokens = queries.select("qid", F.posexplode(entity_tokens(F.col("q"))).alias("pos", "token"))
     # each token is a query of its own
     asked = query_terms(tokens.select(F.struct("qid", "pos").alias("qid"), "token"), "token")
-    if vocabulary is not None:
-        asked = expanded_terms(asked, vocabulary)
-    hits = rank(asked, postings, n_docs, PIN_BOOSTS).where(F.col("rank") <= PIN_PER_TOKEN)
+    more = expand_terms(asked, index.vocabulary).drop("kind") if expand else None
+    hits = search_terms(index, asked, PIN_BOOSTS, PIN_PER_TOKEN, more)
     first = hits.select(F.col("qid.qid").alias("qid"), F.col("qid.pos").alias("pos"), "doc_id", "score").groupBy("qid", "doc_id").agg(F.min_by("score", "pos").alias("score"))
     first = first.withColumn("score", F.round(F.col("score") * PIN_FACTOR, 6))
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= PIN_TOTAL)
@@ -126,7 +94,8 @@ def apply_filters(hits: DataFrame, filters: DataFrame, columns: list[str]) -> Da
     """Hits whose columns equal their query's filters (qid, want_<column>; null: any)."""
     rows = hits.join(filters, "qid", "left")
     for c in columns:
-        rows = rows.where(F.coalesce(F.col(c) == F.col(f"want_{c}"), F.lit(True)) if f"want_{c}" in filters.columns else F.lit(True))
+        if f"want_{c}" in filters.columns:
+            rows = rows.where(F.col(f"want_{c}").isNull() | F.coalesce(F.col(c) == F.col(f"want_{c}"), F.lit(False)))
     return rows.drop(*[f"want_{c}" for c in columns])
 
 
@@ -139,10 +108,10 @@ def merge_hits(pinned: DataFrame, ranked: DataFrame, docs: DataFrame, filters: D
     return rows.where((F.col("place") > offset) & (F.col("place") <= offset + limit)).select("qid", "doc_id", "score", "pinned", "place")
 
 
-def exact_key_search(requests: DataFrame, postings: DataFrame, docs: DataFrame, n_docs: int, most: int = 10) -> DataFrame:
+def exact_key_search(requests: DataFrame, index: SearchIndex, docs: DataFrame, most: int = 10) -> DataFrame:
     """(qid, doc_id, place): documents that rank for a key and whose key is or holds it. requests: qid, key; docs: doc_id, key."""
     low = requests.select("qid", F.lower("key").alias("q"))
-    hits = rank(query_terms(low), postings, n_docs, {**BOOSTS, "key": 10.0})
+    hits = search_terms(index, query_terms(low), {**BOOSTS, "key": 10.0})
     hits = hits.join(docs.select("doc_id", F.lower("key").alias("key")), "doc_id").join(low, "qid").where(F.contains("key", "q"))
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("place") <= most).select("qid", "doc_id", "place")
 
@@ -166,39 +135,41 @@ def containing(small: DataFrame, big: DataFrame) -> DataFrame:
     """(a, b) of texts s in texts t that hold them. small: a, s; big: b, t; not empty.
 
     A held text's first three characters (or all, if fewer) are a key; a holding text is found under each of its own runs
-    of up to three characters.
+    of as many characters. A text is taken apart once, so cost is linear in its length.
     """
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.array(*[F.substring(F.col("t"), i, F.lit(n)) for n in (1, 2, 3)]))))
     held = small.where("s <> ''").withColumn("gram", F.substring("s", 1, 3))
-    return held.join(big.where("t <> ''").withColumn("gram", F.explode(grams)), "gram").where(F.contains("t", "s")).select("a", "b")
+    sizes = sorted(r[0] for r in held.select(F.length("gram")).distinct().collect())  # 1, 2, 3
+    chars = big.where("t <> ''").select("b", F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0)).alias("c"))
+    two = F.zip_with("c", F.slice("c", 2, F.size("c")), lambda x, y: F.concat(x, y))  # a null at the end, as one character lacks the next
+    three = F.zip_with(two, F.slice("c", 3, F.size("c")), lambda x, y: F.concat(x, y))
+    runs = [{1: F.col("c"), 2: two, 3: three}[n] for n in sizes] or [F.array().cast("array<string>")]
+    grams = chars.select("b", F.explode(F.array_distinct(F.concat(*runs))).alias("gram"))
+    return held.join(grams, "gram").join(big, "b").where(F.contains("t", "s")).select("a", "b")
 
 
 def holding(items: DataFrame, docs: DataFrame, words: int = 3) -> DataFrame:
     """(item, doc) of texts that stand whole in a longer text. items: item, s; docs: doc, t; null and empty s are in none.
 
     The words of an item but its first and last are whole words of the text that holds it, so up to three of them are the
-    join key; only items of one or two words meet by characters.
+    join key; only items of one or two words meet by characters. A text is split once, so cost is linear in its length.
     """
     inner = F.split("s", " ", -1)
     n = F.least(F.size(inner) - 2, F.lit(words))
     asked = items.where("s <> ''").select("item", "s", n.alias("n"), F.array_join(F.slice(inner, 2, F.greatest(n, F.lit(0))), " ").alias("window"))
     widths = sorted(r["n"] for r in asked.select("n").distinct().collect())  # at most words + 2 rows
-    t = F.split("t", " ", -1)
-
-    def runs_of(w: int) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: i + (w - 1) <= F.size(t))
-        return F.transform(at, lambda i: F.struct(F.lit(w).alias("n"), F.array_join(F.slice(t, i, w), " ").alias("window")))
-
-    runs = [runs_of(w) for w in widths if w > 0]
-    out = containing(asked.where("n <= 0").select(F.col("item").alias("a"), "s"), docs.select(F.col("doc").alias("b"), "t")).select(F.col("a").alias("item"), F.col("b").alias("doc")) if any(w <= 0 for w in widths) else None
-    if runs:
-        windows = docs.select("doc", "t", F.explode(F.array_distinct(F.concat(*runs))).alias("x")).select("doc", "x.n", "x.window")
-        met = windows.join(asked.where("n > 0"), ["n", "window"]).select("item", "s", "doc")
-        long = met.join(docs, "doc").where(F.contains("t", "s")).select("item", "doc")
-        out = long if out is None else out.unionByName(long)
-    if out is None:
-        out = items.join(docs, items["s"] == docs["t"]).select("item", "doc").where("false")
-    return out.distinct()
+    split = docs.select("doc", F.split("t", " ", -1).alias("w"))
+    met = containing(asked.where("n <= 0").select(F.col("item").alias("a"), "s"), docs.select(F.col("doc").alias("b"), "t")).toDF("item", "doc") if any(w <= 0 for w in widths) else None
+    for width in (w for w in widths if w > 0):
+        window = F.col("w")
+        for k in range(1, width):
+            window = F.zip_with(window, F.slice("w", k + 1, F.size("w")), lambda x, y: F.concat(x, F.lit(" "), y))
+        windows = split.select("doc", F.explode(F.array_distinct(window)).alias("window"))
+        found = windows.join(asked.where(F.col("n") == width).select("item", "window", "s"), "window").select("item", "doc", "s")
+        found = found.join(docs, "doc").where(F.contains("t", "s")).select("item", "doc")
+        met = found if met is None else met.unionByName(found)
+    if met is None:
+        return items.join(docs, items["s"] == docs["t"]).select("item", "doc").where("false")
+    return met.distinct()
 
 
 def resolve_names(requests: DataFrame, names: DataFrame, overlap: float = 0.6) -> DataFrame:

@@ -7,14 +7,17 @@ documents that hold an item's text.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattis.functions.text import ENTITY_STOP_WORDS, SEPARATOR
 from lattis.operators import evaluation as E
+from lattis.operators import index as I
 from lattis.operators import retrieval as R
 from lattis.plans.common import sql_text, table, values_sql
-from lattis.session import keep
+from lattis.session import keep, shared_dir
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +44,7 @@ def rank_cte(name: str, terms: str, boosts: dict[str, float]) -> str:
 {name}_p AS (SELECT p.*, boost FROM p JOIN {b} USING (field)), {name}_l AS (SELECT field, doc_id, sum(tf) AS len FROM {name}_p GROUP BY ALL),
 {name}_m AS (SELECT field, sum(len) / (SELECT count(*) FROM d) AS mean FROM {name}_l GROUP BY field), {name}_f AS (SELECT field, term, count(*) AS df FROM {name}_p GROUP BY ALL),
 {name} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (
- SELECT qid, doc_id, round(sum(CAST(boost AS DOUBLE) * CAST(weight AS DOUBLE) * ln(1 + ((SELECT count(*) FROM d) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * ({R.DELTA}::DOUBLE + tf * {R.K1 + 1}::DOUBLE / (tf + {R.K1}::DOUBLE * ({1 - R.B}::DOUBLE + {R.B}::DOUBLE * len / mean)))), 6) AS score
+ SELECT qid, doc_id, round(sum(CAST(boost AS DOUBLE) * CAST(weight AS DOUBLE) * ln(1 + ((SELECT count(*) FROM d) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * ({I.DELTA}::DOUBLE + tf * {I.K1 + 1}::DOUBLE / (tf + {I.K1}::DOUBLE * ({1 - I.B}::DOUBLE + {I.B}::DOUBLE * len / mean)))), 6) AS score
  FROM {terms} JOIN {name}_p USING (term) JOIN {name}_f USING (field, term) JOIN {name}_l USING (field, doc_id) JOIN {name}_m USING (field) GROUP BY qid, doc_id))"""
 
 
@@ -61,34 +64,37 @@ def expand_cte(name: str, terms: str) -> str:
 R_CTE = P_CTE + "," + expand_cte("qe", "qt") + "," + rank_cte("r", "qe", R.BOOSTS)
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The postings, stored: lengths, frequencies and hits are taken of them without reading a text again."""
-    return keep(R.build_postings(docs(spark, sf_dir), FIELDS))
-
-
-def n_docs(spark: SparkSession, sf_dir: str) -> int:
-    return table(spark, sf_dir, "documents").count()
+COLUMNS = ["type", "mod"]
 
 
-def asked(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
-    """Terms of the queries and what they expand to, stored: a row for each term of a query, whatever the documents' number."""
-    return keep(R.expanded_terms(R.query_terms(queries(spark, sf_dir)), index.select("term")))
+def index(spark: SparkSession, sf_dir: str) -> I.SearchIndex:
+    """The stored index of the documents, below spark.lattis.index.dir if that is set, else in the shared folder; written if these files, in size and time, have none yet."""
+    files = table(spark, sf_dir, "documents").select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").cast("decimal(38,0)").alias("f")).distinct()
+    n, told = files.agg(F.count("*"), F.sum("f")).first()
+    root = spark.conf.get("spark.lattis.index.dir", None) or shared_dir(spark)
+    path = f"{root}/index-{uuid.uuid5(uuid.NAMESPACE_URL, f'{sf_dir} {n} {told}').hex}"
+    if not I.exists(spark, path):
+        I.write_index(docs(spark, sf_dir), path, FIELDS, COLUMNS)
+    return I.open_index(spark, path)
 
 
-def ranked(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
-    index = index or postings(spark, sf_dir)
-    return R.rank(asked(spark, sf_dir, index), index, n_docs(spark, sf_dir))
+def ranked(spark: SparkSession, sf_dir: str, k: int | None = None, found: I.SearchIndex | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """What the queries' terms find, and what these expand to."""
+    found = found or index(spark, sf_dir)
+    terms = R.query_terms(queries(spark, sf_dir))
+    return I.search_terms(found, terms, R.BOOSTS, k, R.expand_terms(terms, found.vocabulary).drop("kind"), wanted, COLUMNS)
 
 
 def r1_build_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.build_postings(docs(spark, sf_dir), FIELDS)
+    rows = index(spark, sf_dir).postings
+    return rows.select("field", "term", F.explode(F.arrays_zip("docs", "tfs")).alias("x")).select("field", "term", F.col("x.docs").alias("doc_id"), F.col("x.tfs").alias("tf"))
 
 
 R1_SQL = f"WITH {P_CTE} SELECT field, term, doc_id, tf FROM p"
 
 
 def r2_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(spark, sf_dir).where("rank <= 50")
+    return ranked(spark, sf_dir, 50)
 
 
 R2_SQL = f"WITH {R_CTE} SELECT * FROM r WHERE rank <= 50"
@@ -96,18 +102,14 @@ R2_SQL = f"WITH {R_CTE} SELECT * FROM r WHERE rank <= 50"
 
 def r3_expand_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of the queries, expanded over the words of all documents."""
-    return R.expand_terms(R.query_terms(queries(spark, sf_dir)), postings(spark, sf_dir).select("term"))
+    return R.expand_terms(R.query_terms(queries(spark, sf_dir)), index(spark, sf_dir).vocabulary)
 
 
 R3_SQL = f"WITH {P_CTE}, {expand_cte('qe', 'qt')} SELECT * FROM qe_x"
 
 
-def pinned(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
-    return R.pin_entities(queries(spark, sf_dir), index, n_docs(spark, sf_dir), index.select("term"))
-
-
 def r4_pin_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pinned(spark, sf_dir, postings(spark, sf_dir))
+    return R.pin_entities(queries(spark, sf_dir), index(spark, sf_dir))
 
 
 STOP = ", ".join(map(sql_text, ENTITY_STOP_WORDS))
@@ -126,8 +128,10 @@ def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places 3 to 22 of pinned, then ranked documents, filtered by type and package."""
-    index = postings(spark, sf_dir)
-    return R.merge_hits(keep(pinned(spark, sf_dir, index)), ranked(spark, sf_dir, index), docs(spark, sf_dir), filters(spark, sf_dir), ["type", "mod"], 2, 20)
+    found, wanted = index(spark, sf_dir), filters(spark, sf_dir)
+    pinned = keep(R.pin_entities(queries(spark, sf_dir), found))
+    # of the best that pass the filters, as many as pinned ones may take away are asked for besides
+    return R.merge_hits(pinned, ranked(spark, sf_dir, 22 + R.PIN_TOTAL, found, wanted), found.docs, wanted, COLUMNS, 2, 20)
 
 
 R5_SQL = f"""
@@ -140,7 +144,7 @@ SELECT qid, doc_id, score, pinned, place FROM f WHERE place BETWEEN 3 AND 22
 def r6_exact_key_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item asks for the key of the document of its number, and every source for its name."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("SRC"), (F.col("item_id") % 20).cast("string"), F.lit("_"), F.col("item_id").cast("string")).alias("key"))
-    return R.exact_key_search(asked, postings(spark, sf_dir), docs(spark, sf_dir), n_docs(spark, sf_dir))
+    return R.exact_key_search(asked, index(spark, sf_dir), docs(spark, sf_dir))
 
 
 R6_SQL = f"WITH {P_CTE}, a AS (SELECT item_id AS qid, 'src' || (item_id % 20) || '_' || item_id AS q FROM benchmark), aterm AS (SELECT DISTINCT qid, unnest({TERMS('q')}) AS term, 1.0 AS weight FROM a)," + rank_cte("x", "aterm", {**R.BOOSTS, "key": 10.0}) + """,
@@ -266,7 +270,7 @@ def cases_and_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     cases = b.join(rel, "item_id", "left").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.when(F.col("item_id") % 3 == 0, "exact-key").otherwise("specific-item").alias("category"), F.coalesce("expected", F.array().cast("array<string>")).alias("expected"), F.when(F.col("item_id") % 2 == 0, "en").alias("expected_type"))
     crafted = spark.createDataFrame(CRAFTED_CASES, "id string, category string, query string, expected string, expected_type string")
     crafted = crafted.withColumn("expected", F.filter(F.split("expected", r"\|"), lambda k: k != "")).select("id", "query", "category", "expected", "expected_type")
-    hits = ranked(spark, sf_dir).where("rank <= 20").join(d.select("doc_id", "key", "type"), "doc_id").select(F.col("qid").cast("string").alias("id"), F.col("rank").cast("int").alias("rank"), "key", "type")
+    hits = ranked(spark, sf_dir, 20).join(d.select("doc_id", "key", "type"), "doc_id").select(F.col("qid").cast("string").alias("id"), F.col("rank").cast("int").alias("rank"), "key", "type")
     return keep(cases.unionByName(crafted)), keep(hits.unionByName(spark.createDataFrame(CRAFTED_HITS, "id string, rank int, key string, type string")))
 
 
