@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattis.operators import corpus as C
 from lattis.plans.common import sql_text, table, values_sql
+from lattis.sources import records as R
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +156,26 @@ UNION ALL SELECT o_orderkey, 'line.part[]', array_to_string(p, ', ') FROM o WHER
 """
 
 
+def d1_flatten_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their orders and the lines of these, nested as JSON, and the properties of events."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))), lambda x: F.struct(x["l_partkey"].alias("@_part"), x["l_returnflag"].alias("flag"))).alias("line"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = orders.groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "line"))), lambda x: F.struct(x["o_orderkey"].alias("@_key"), F.struct(x["o_orderstatus"].alias("#text"), F.lit(1).alias("seen")).alias("status"), x["line"].alias("line"))).alias("order"))
+    nested = orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("entity"), F.to_json(F.struct(F.struct("order").alias("all"))).alias("j"))
+    events = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("entity"), F.col("props").alias("j"))
+    return R.flatten_variants(nested.unionByName(events).select("entity", F.try_parse_json("j").alias("v")), "entity", "v")
+
+
+D1_VARIANTS_SQL = """
+WITH o AS (SELECT 'c' || o_custkey AS entity, o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS st, p, f FROM orders LEFT JOIN (SELECT l_orderkey, list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, l_partkey, l_returnflag) AS p, list(l_returnflag ORDER BY l_linenumber, l_partkey, l_returnflag) AS f FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+g AS (SELECT entity, count(*) AS n, count(p) AS m, list(key ORDER BY k) AS ks, list(st ORDER BY k) AS ss, list('1') AS seen, list(p[-1] ORDER BY k) FILTER (p IS NOT NULL) AS ps, list(f[-1] ORDER BY k) FILTER (p IS NOT NULL) AS fs, any_value(p) AS p1, any_value(f) AS f1 FROM o GROUP BY 1),
+v AS (SELECT entity, 'all.order.key' AS path, ks AS v FROM g UNION ALL SELECT entity, 'all.order.status', ss FROM g UNION ALL SELECT entity, 'all.order.status.seen', seen FROM g
+ UNION ALL SELECT entity, 'all.order.line.part', CASE WHEN m > 1 THEN ps ELSE p1 END FROM g WHERE m > 0 UNION ALL SELECT entity, 'all.order.line.flag', CASE WHEN m > 1 THEN fs ELSE f1 END FROM g WHERE m > 0)
+SELECT entity, path, v[-1] AS value FROM v UNION ALL SELECT entity, path || '[]', array_to_string(v, ', ') FROM v WHERE len(v) > 1
+UNION ALL SELECT 'e' || event_id, 'k', json_extract_string(props, '$.k') FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL
+"""
+
+
 KINDS = ["weapon", "projectile", "vehicle", "soldier", "call", "character", "carry_item"]
 
 
@@ -323,5 +344,5 @@ b AS (SELECT c.*, (SELECT max(x.k) FROM l x WHERE x.f = c.f AND x.k < c.k AND x.
 SELECT b.f AS file, b.k AS line_no, b.key, CAST(b.k AS INTEGER) AS index, CASE WHEN lk IS NULL OR (bk IS NOT NULL AND ek < bk) THEN '' ELSE (SELECT label FROM l WHERE l.f = b.f AND l.k = b.lk) END AS label FROM b
 """
 
-QUERIES = {f.__name__: f for f in (s4_fingerprint, s5_stale_reason, s7_text_documents, s8_line_symbols, s9_symbol_summary, s9_symbol_lookup, s12_restrict_packages, s13_read_lines, d1_flatten_attributes, d2_first_present, d3_describe, d5_effective_attributes, d7_localize, d8_localized_name, d9_indexed_names, d10_render_content, d11_to_documents, d12_compare_entities, d14_labelled_entries)}
-ORACLE_SQL = {k: globals()[k.split("_")[0].upper() + "_SQL"] for k in QUERIES} | {"s9_symbol_lookup": S9_LOOKUP_SQL}
+QUERIES = {f.__name__: f for f in (s4_fingerprint, s5_stale_reason, s7_text_documents, s8_line_symbols, s9_symbol_summary, s9_symbol_lookup, s12_restrict_packages, s13_read_lines, d1_flatten_attributes, d1_flatten_variants, d2_first_present, d3_describe, d5_effective_attributes, d7_localize, d8_localized_name, d9_indexed_names, d10_render_content, d11_to_documents, d12_compare_entities, d14_labelled_entries)}
+ORACLE_SQL = {k: globals()[k.split("_")[0].upper() + "_SQL"] for k in QUERIES} | {"s9_symbol_lookup": S9_LOOKUP_SQL, "d1_flatten_variants": D1_VARIANTS_SQL}

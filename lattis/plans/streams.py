@@ -12,6 +12,7 @@ from lattis.operators import logs as L
 from lattis.plans.common import table
 from lattis.session import shared_dir
 from lattis.sources import files as S
+from lattis.sources import records as R
 from lattis.streaming import turns as T
 
 
@@ -193,6 +194,30 @@ SELECT * FROM r UNION ALL SELECT DISTINCT path, 0, 'generic', path, NULL FROM o
 """
 
 
+def s6_typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files of their orders, with lines nested in them, comments and CDATA: a faction's soldiers, weapons, a single vehicle, or unknown; files of every 11th are cut short."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_custkey")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit('<line part="0'), x["l_partkey"].cast("string"), F.lit('"/>'))), "<!-- <soldier key='no'/> -->").alias("lines"))
+    kind = F.element_at(F.array(*map(F.lit, ["soldier", "weapon", "vehicle", "thing"])), (k % 4 + 1).cast("int"))
+    xml = F.concat(F.lit("<"), kind, F.lit(' key="k'), F.col("o_orderkey").cast("string"), F.lit('">'), F.coalesce("lines", F.lit("")), F.lit("<state><![CDATA[<"), "o_orderstatus", F.lit(">]]></state></"), kind, F.lit(">"))
+    files = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", xml.alias("x")))).alias("e"))
+    body = F.when(k % 4 == 2, F.get("e", F.lit(0))["x"]).otherwise(F.array_join(F.transform("e", lambda e: e["x"]), "\n"))
+    root = F.element_at(F.array(*map(F.lit, ["faction", "weapons", "", "things"])), (k % 4 + 1).cast("int"))
+    whole = F.when(k % 4 == 2, body).otherwise(F.concat(F.lit("<"), root, F.lit(' name="c'), k.cast("string"), F.lit('">'), body, F.lit("</"), root, F.lit(">")))
+    files = files.select(F.concat(F.lit("a/"), k.cast("string"), F.lit(".xml")).alias("path"), F.when(k % 11 == 0, F.substring(whole, F.lit(1), F.length(whole) - 2)).otherwise(whole).alias("content"))
+    rows = R.typed_records(files)
+    line = F.try_variant_get("tree", "$.line", "variant")
+    return rows.select("path", "pos", "type", "key", "faction", F.coalesce(F.size(R.listed(line)), F.lit(0)).alias("lines"), F.try_variant_get(F.get(R.listed(line), F.lit(0)), "$['@_part']", "string").alias("part"), F.try_variant_get("tree", "$.state", "string").alias("state"))
+
+
+S6_TYPED_SQL = """
+WITH l AS (SELECT l_orderkey, count(*) AS n, '0' || arg_min(l_partkey, (l_linenumber, l_partkey)) AS part FROM lineitem GROUP BY 1),
+o AS (SELECT o_custkey AS c, 'a/' || o_custkey || '.xml' AS path, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS pos, o_orderkey AS k, '<' || o_orderstatus || '>' AS state, CAST(coalesce(n, 0) AS INTEGER) AS n, part FROM orders LEFT JOIN l ON l_orderkey = o_orderkey WHERE o_custkey % 11 <> 0)
+SELECT path, pos, ['soldier', 'weapon', 'vehicle'][c % 4 + 1] AS type, 'k' || k AS key, CASE WHEN c % 4 = 0 THEN 'c' || c END AS faction, n AS lines, part, state FROM o WHERE c % 4 < 2 OR c % 4 = 2 AND pos = 0
+UNION ALL SELECT DISTINCT path, 0, 'script_chunk', CAST(c AS VARCHAR), NULL, 0, NULL, NULL FROM o WHERE c % 4 = 3
+"""
+
+
 def s10_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as files of texts of their customers, even ones English; the first of a language is read by itself, each includes the next of its language, in a ring, of which ten levels are read."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_nationkey")
@@ -249,5 +274,5 @@ w AS (SELECT path AS root, path, [path] AS seen, inc, v, 1 AS d FROM r UNION ALL
 SELECT CAST(root AS VARCHAR) AS root, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, count(DISTINCT path) AS files, max(d) AS deepest FROM w WHERE inc IS NULL GROUP BY root
 """
 
-QUERIES = {f.__name__: f for f in (st1_read_events, st2_session_state, st2_session_reads, st3_open_turns, st3_turn_admissions, st4_announce_once, st5_summary_due, st5_summary_due_batch, st6_tool_calls, st6_turn_rollup, st7_refresh, s1_file_manifest, s2_discover_packages, s3_assign_package, s6_xml_records, s10_translations, s11_write_corpus, d4_hit_protection, d6_expand_includes)}
-ORACLE_SQL = {k: globals()[k.split("_")[0].upper() + "_SQL"] for k in QUERIES} | {"st6_turn_rollup": ST6_ROLLUP_SQL}
+QUERIES = {f.__name__: f for f in (st1_read_events, st2_session_state, st2_session_reads, st3_open_turns, st3_turn_admissions, st4_announce_once, st5_summary_due, st5_summary_due_batch, st6_tool_calls, st6_turn_rollup, st7_refresh, s1_file_manifest, s2_discover_packages, s3_assign_package, s6_xml_records, s6_typed_records, s10_translations, s11_write_corpus, d4_hit_protection, d6_expand_includes)}
+ORACLE_SQL = {k: globals()[k.split("_")[0].upper() + "_SQL"] for k in QUERIES} | {"st6_turn_rollup": ST6_ROLLUP_SQL, "s6_typed_records": S6_TYPED_SQL}
