@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattis.operators import corpus as C
+from lattis.operators import scripts as SC
 from lattis.plans.common import sql_text, table, values_sql
 from lattis.sources import records as R
 
@@ -82,6 +83,24 @@ def s8_line_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.line_symbols(script_lines(spark, sf_dir), DOC_RULES)
 
 
+def s8_script_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as scripts: a class after a comment that holds another, with a member and a function over two lines for each order, braces in texts and comments."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey").cast("string")
+    body = F.concat(F.lit("  int m_"), k, F.lit(" = "), k, F.lit("; // { note\n  void f_"), k, F.lit('(int part,\n       string s = "}{") {\n    if (part > 0) { call(s); }\n  }'))
+    files = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", body.alias("b")))), lambda x: x["b"]), "\n").alias("b"))
+    c = F.col("o_custkey").cast("string")
+    text = F.concat(F.lit('#include "lib/'), c, F.lit('.as"\n/* class Old {\n*/ class C'), c, F.lit("\n{\n"), "b", F.lit("\n}"))
+    return SC.script_symbols(C.lines_of(files.select(c.alias("file"), text.alias("text")), "text", "file"))
+
+
+S8_SCRIPT_SQL = """
+WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS file, 'C' || o_custkey AS parent, CAST(o_orderkey AS VARCHAR) AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS i FROM orders)
+SELECT file, 5 + 5 * i AS line_no, 'property' AS kind, 'm_' || k AS name, 'int m_' || k || ' = ' || k || '; // { note' AS signature, parent FROM o
+UNION ALL SELECT file, 6 + 5 * i, 'function', 'f_' || k, 'void f_' || k || '(int part, string s = "}{")', parent FROM o
+UNION ALL SELECT file, 3, 'class', parent, '*/ class ' || parent, NULL FROM o WHERE i = 0
+UNION ALL SELECT file, 1, 'include', 'lib/' || file || '.as', '#include "lib/' || file || '.as"', NULL FROM o WHERE i = 0
+"""
+
 KIND_SQL = "CASE " + " ".join(f"WHEN regexp_extract(line, {sql_text(p)}, 1) <> '' THEN '{k}'" for k, p in DOC_RULES) + " END"
 NAME_SQL = "CASE " + " ".join(f"WHEN regexp_extract(line, {sql_text(p)}, 1) <> '' THEN regexp_extract(line, {sql_text(p)}, 1)" for _, p in DOC_RULES) + " END"
 SYMBOLS_SQL = rf"""(SELECT file, line_no, kind, name, CAST(coalesce(depth, 0) AS BIGINT) AS depth FROM (
@@ -344,5 +363,5 @@ b AS (SELECT c.*, (SELECT max(x.k) FROM l x WHERE x.f = c.f AND x.k < c.k AND x.
 SELECT b.f AS file, b.k AS line_no, b.key, CAST(b.k AS INTEGER) AS index, CASE WHEN lk IS NULL OR (bk IS NOT NULL AND ek < bk) THEN '' ELSE (SELECT label FROM l WHERE l.f = b.f AND l.k = b.lk) END AS label FROM b
 """
 
-QUERIES = {f.__name__: f for f in (s4_fingerprint, s5_stale_reason, s7_text_documents, s8_line_symbols, s9_symbol_summary, s9_symbol_lookup, s12_restrict_packages, s13_read_lines, d1_flatten_attributes, d1_flatten_variants, d2_first_present, d3_describe, d5_effective_attributes, d7_localize, d8_localized_name, d9_indexed_names, d10_render_content, d11_to_documents, d12_compare_entities, d14_labelled_entries)}
-ORACLE_SQL = {k: globals()[k.split("_")[0].upper() + "_SQL"] for k in QUERIES} | {"s9_symbol_lookup": S9_LOOKUP_SQL, "d1_flatten_variants": D1_VARIANTS_SQL}
+QUERIES = {f.__name__: f for f in (s4_fingerprint, s5_stale_reason, s7_text_documents, s8_line_symbols, s8_script_symbols, s9_symbol_summary, s9_symbol_lookup, s12_restrict_packages, s13_read_lines, d1_flatten_attributes, d1_flatten_variants, d2_first_present, d3_describe, d5_effective_attributes, d7_localize, d8_localized_name, d9_indexed_names, d10_render_content, d11_to_documents, d12_compare_entities, d14_labelled_entries)}
+ORACLE_SQL = {k: globals()[k.split("_")[0].upper() + "_SQL"] for k in QUERIES} | {"s9_symbol_lookup": S9_LOOKUP_SQL, "d1_flatten_variants": D1_VARIANTS_SQL, "s8_script_symbols": S8_SCRIPT_SQL}
