@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattis.functions.text import SEPARATOR
 from lattis.operators import corpus as C
 from lattis.operators import logs as L
 from lattis.plans.common import table
 from lattis.session import shared_dir
 from lattis.sources import files as S
 from lattis.sources import records as R
+from lattis.streaming import store as ST
 from lattis.streaming import turns as T
 
 
@@ -140,6 +142,31 @@ WHERE (o_orderstatus = 'F' OR o_orderkey % 9 <> 0) AND (o_orderstatus <> 'F' OR
 """
 
 
+def st7_stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files in three turns: two thirds of them; the others come, every 4th is changed, every 5th goes; then every 7th is changed and every 5th comes again. What is stored at the end, with the number of its terms."""
+    d, folder, k = table(spark, sf_dir, "documents"), scratch(spark), F.col("doc_id")
+    name, day = k.cast("string").alias("path"), lambda n: F.lit(f"2024-01-0{n}").cast("timestamp")
+    first = d.where(k % 3 != 0).select(name, day(1).alias("mtime"), F.col("text").alias("content"))
+    second = d.where(k % 5 != 0).select(name, F.when((k % 4 == 0) | (k % 3 == 0), day(2)).otherwise(day(1)).alias("mtime"), F.when(k % 4 == 0, F.concat(F.lit("second "), "text")).otherwise(F.col("text")).alias("content"))
+    changed = F.when(k % 7 == 0, F.concat(F.lit("third "), "text")).when((k % 4 == 0) & (k % 5 != 0), F.concat(F.lit("second "), "text")).otherwise(F.col("text"))
+    third = d.select(name, F.when((k % 7 == 0) | (k % 5 == 0), day(3)).when((k % 4 == 0) | (k % 3 == 0), day(2)).otherwise(day(1)).alias("mtime"), changed.alias("content"))
+    old = first.limit(0)
+    for turn, new in enumerate((first, second, third)):
+        ST.write_changes(old, new, f"{folder}/log", turn)
+        ST.follow(spark, f"{folder}/log", f"{folder}/store", f"{folder}/state", {"content": False})
+        old = new
+    docs, postings = ST.read_store(spark, f"{folder}/store")
+    terms = postings.groupBy(F.col("doc_id").alias("path")).agg(F.count("*").alias("terms"), F.sum("tf").alias("words"))
+    return docs.join(terms, "path", "left").select("path", F.md5("content").alias("content"), F.date_format("mtime", "dd").alias("day"), F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("words", F.lit(0)).alias("words"))
+
+
+ST7_STORED_SQL = f"""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 7 = 0 THEN 'third ' || text WHEN doc_id % 4 = 0 AND doc_id % 5 <> 0 THEN 'second ' || text ELSE text END AS content, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN '03' WHEN doc_id % 4 = 0 OR doc_id % 3 = 0 THEN '02' ELSE '01' END AS day FROM documents),
+t AS (SELECT *, list_filter(regexp_split_to_array(lower(coalesce(content, '')), '{SEPARATOR}'), lambda t: t <> '') AS ts FROM d)
+SELECT path, md5(content) AS content, day, CAST(len(list_distinct(ts)) AS BIGINT) AS terms, CAST(len(ts) AS BIGINT) AS words FROM t
+"""
+
+
 def s3_assign_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files in folders by source and language; sources are packages, and so is one language of every second."""
     d = table(spark, sf_dir, "documents")
@@ -274,5 +301,5 @@ w AS (SELECT path AS root, path, [path] AS seen, inc, v, 1 AS d FROM r UNION ALL
 SELECT CAST(root AS VARCHAR) AS root, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, count(DISTINCT path) AS files, max(d) AS deepest FROM w WHERE inc IS NULL GROUP BY root
 """
 
-QUERIES = {f.__name__: f for f in (st1_read_events, st2_session_state, st2_session_reads, st3_open_turns, st3_turn_admissions, st4_announce_once, st5_summary_due, st5_summary_due_batch, st6_tool_calls, st6_turn_rollup, st7_refresh, s1_file_manifest, s2_discover_packages, s3_assign_package, s6_xml_records, s6_typed_records, s10_translations, s11_write_corpus, d4_hit_protection, d6_expand_includes)}
-ORACLE_SQL = {k: globals()[k.split("_")[0].upper() + "_SQL"] for k in QUERIES} | {"st6_turn_rollup": ST6_ROLLUP_SQL, "s6_typed_records": S6_TYPED_SQL}
+QUERIES = {f.__name__: f for f in (st1_read_events, st2_session_state, st2_session_reads, st3_open_turns, st3_turn_admissions, st4_announce_once, st5_summary_due, st5_summary_due_batch, st6_tool_calls, st6_turn_rollup, st7_refresh, st7_stored_corpus, s1_file_manifest, s2_discover_packages, s3_assign_package, s6_xml_records, s6_typed_records, s10_translations, s11_write_corpus, d4_hit_protection, d6_expand_includes)}
+ORACLE_SQL = {k: globals()[k.split("_")[0].upper() + "_SQL"] for k in QUERIES} | {"st6_turn_rollup": ST6_ROLLUP_SQL, "s6_typed_records": S6_TYPED_SQL, "st7_stored_corpus": ST7_STORED_SQL}
