@@ -4,8 +4,8 @@ Open bins are held in order of their residual. An item goes to the first bin at
 source nor its duplicate cluster; both are bitmaps, so a bin is tried by two ANDs, and the search walks on to the next
 larger residual until a bin fits. Without one, a bin is opened.
 
-Only ids, lengths, sources and cluster names are shuffled. Items are dealt by a hash of doc_id to shards of about
-SHARD documents, whatever their source, and packed per shard, longest first.
+Only ids, lengths, sources and cluster names are shuffled. Items are dealt by a hash of row and piece to shards of about
+SHARD documents, whatever their source and id, and packed per shard, longest first.
 """
 
 from __future__ import annotations
@@ -64,11 +64,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
     """
     clean = F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "))
     rows = docs.select(whole_id("doc_id"), F.col("source").cast("string").alias("source"), clean.alias("clean")).where("clean <> ''")
-    rows = rows.select("doc_id", "source", (F.length("clean") - F.length(F.translate("clean", " ", "")) + 1).cast("long").alias("words"), F.xxhash64(F.lower("clean")).alias("cluster"))
+    rows = rows.select("doc_id", "source", (F.length("clean") - F.length(F.translate("clean", " ", "")) + 1).cast("long").alias("words"), F.xxhash64(F.lower("clean")).alias("cluster"), F.monotonically_increasing_id().alias("row"))
     shards = max(1, -(-docs.select("doc_id").count() // shard))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / capacity))))
     pieces = pieces.withColumn("start", F.col("piece") * capacity).withColumn("n_words", F.least(F.lit(capacity), F.col("words") - F.col("start")).cast("long"))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(shards))).drop("words")
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(shards))).drop("words", "row")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_words", "doc_id", "piece"], ascending=[False, True, True], kind="stable")

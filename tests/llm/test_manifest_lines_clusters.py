@@ -294,3 +294,16 @@ def test_html_query_brute_force(spark):
             assert text.split() == words.split() or "zzad" in (p or "")
         assert got[i].n_chars == len(text)
     assert "buy" not in got[30].text and "plain words" in got[30].text
+
+
+def test_packing_one_id_and_source(spark):
+    """Rows of one id, of none and of one source, and pieces of one long document, are dealt to many shards."""
+    from lattis.llm import packing
+
+    rows = [(1, f"a{i} b", "en", "hot") for i in range(3000)] + [(None, f"c{i} d", "en", "hot") for i in range(3000)] + [(2, "w " * 40_000, "en", "hot")]
+    got = packing.pack(documents(spark, rows), capacity=20, shard=300).collect()
+    assert len(got) == 6000 + 2000 and len({r.bin_id for r in got}) == 8000  # one source: a bin each
+    shards = {}
+    for r in got:
+        shards[r.bin_id >> 32] = shards.get(r.bin_id >> 32, 0) + 1
+    assert len(shards) == 21 and max(shards.values()) < 2 * 8000 / 21
