@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattis.operators.running import running_sums
 from lattis.session import keep
 
 # Declarations that one line of a script can open, as (kind, pattern with the name as its group).
@@ -289,8 +290,7 @@ def render_content(docs: DataFrame, snippet: int = 500) -> Column:
 def to_documents(entities: DataFrame) -> DataFrame:
     """Adds id `package:type:key:seq` and the effective key. entities: package, type, key, name, filename, file_ord, pos; seq counts in a package."""
     key = F.coalesce("key", "name", "filename", F.concat(F.col("type"), F.lit("_"), F.col("pos").cast("string")))
-    seq = F.row_number().over(Window.partitionBy("package").orderBy("file_ord", "pos")) - 1
-    rows = entities.withColumn("key", key).withColumn("seq", seq)
+    rows = running_sums(entities.withColumn("key", key), "package", [F.col("file_ord"), F.col("pos")], seq=F.lit(1)).withColumn("seq", F.col("seq") - 1)
     return rows.withColumn("id", F.concat_ws(":", "package", "type", "key", F.col("seq").cast("string")))
 
 

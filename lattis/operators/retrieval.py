@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lattis.functions.text import CJK, entity_tokens, tokenize
 from lattis.operators.index import SearchIndex, search_terms
+from lattis.operators.running import running_sums
 
 # Boosts of the fields, and of key and name when an entity is pinned; hits kept for each token and in all.
 BOOSTS = {"key": 3.0, "name": 2.5, "names": 2.5, "content": 1.0, "type": 1.0}
@@ -239,5 +240,5 @@ def fit_drafts(drafts: DataFrame, budget: int, least: int = 500) -> DataFrame:
 
 def fit_tail(lines: DataFrame, budget: int, least: int = 5) -> DataFrame:
     """Adds `kept`: the newest lines that fit the budget, never fewer than `least`. lines: turn, pos, tokens."""
-    back = Window.partitionBy("turn").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("kept", (F.sum("tokens").over(back) <= budget) | (F.row_number().over(Window.partitionBy("turn").orderBy(F.desc("pos"))) <= least))
+    rows = running_sums(lines, "turn", [F.desc("pos")], used=F.coalesce("tokens", F.lit(0)), place=F.lit(1))
+    return rows.withColumn("kept", (F.col("used") <= budget) | (F.col("place") <= least)).drop("used", "place")

@@ -103,17 +103,19 @@ def st5_summary_due_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks with the views of the same user and number within 30 days. Only pairs are compared: what stays open is told once the watermark has passed."""
+    """Clicks with the views of the same user and number within 30 days. What stays open is told once the watermark, 60 days behind the slower side, has passed its 30 days."""
     e = turn_events(spark, sf_dir).withColumn("call", F.get_json_object("text", "$.k"))
     folder = scratch(spark)
     opened = stream_of(spark, e.where("type = 'click'").select("turn", "call", "ts"), f"{folder}/a")
     closed = stream_of(spark, e.where("type = 'view'").select("turn", "call", "ts", F.lit(True).alias("ok")), f"{folder}/b")
-    return T.run_to_end(T.tool_calls_stream(opened, closed, "60 days", "30 days"), folder, "st6").where("closed is not null").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("opened", "closed")})
+    return T.run_to_end(T.tool_calls_stream(opened, closed, "60 days", "30 days"), folder, "st6").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("opened", "closed")})
 
 
 ST6_SQL = """
 WITH e AS (SELECT CAST(user_id AS VARCHAR) AS turn, json_extract_string(props, '$.k') AS call, ts, event_type FROM events)
 SELECT a.turn, a.call, a.ts AS opened, b.ts AS closed, true AS ok FROM e a JOIN e b ON a.turn = b.turn AND a.call = b.call AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 30 DAYS WHERE a.event_type = 'click' AND b.event_type = 'view'
+UNION ALL SELECT turn, call, ts, NULL, NULL FROM e a WHERE event_type = 'click' AND ts + INTERVAL 30 DAYS < (SELECT min(m) - INTERVAL 60 DAYS FROM (SELECT max(ts) AS m FROM e WHERE event_type IN ('click', 'view') GROUP BY event_type))
+ AND NOT EXISTS (SELECT 1 FROM e b WHERE a.turn = b.turn AND a.call = b.call AND b.event_type = 'view' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 30 DAYS)
 """
 
 

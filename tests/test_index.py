@@ -130,3 +130,20 @@ def test_holding_is_linear(spark):
 
     seconds(1000)
     assert seconds(200_000) < 3 * max(seconds(100_000), 2.0)
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_running_sums(spark, n):
+    """One group of most rows, ties and null groups: each row once, sums over the group's rows up to it."""
+    from pyspark.sql import functions as F
+
+    from lattis.operators.running import running_sums
+
+    rng = random.Random(n)
+    rows = [(rng.choice(["hot"] * 8 + ["b", "c", None]), rng.randrange(40), rng.randrange(5), i) for i in range(n)]
+    got = running_sums(spark.createDataFrame(rows, "g string, o int, v int, id int"), "g", [F.desc("o")], total=F.col("v"), place=F.lit(1)).collect()
+    assert len(got) == n
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in got if r.g == g), key=lambda r: r.place)
+        assert [r.place for r in own] == list(range(1, len(own) + 1)) and [r.o for r in own] == sorted((r.o for r in own), reverse=True)
+        assert [r.total for r in own] == [sum(x.v for x in own[: i + 1]) for i in range(len(own))]
