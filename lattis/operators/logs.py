@@ -16,13 +16,15 @@ CALL_ALIASES = [
 # Codes of review findings, and other names for them.
 ISSUE_CODES = ["missing-citation", "missing-key", "count-mismatch", "unsupported-claim", "scope-violation", "no-answer", "other"]
 ISSUE_ALIASES = {"missing-source": "missing-citation", "missing-file": "missing-citation", "no-citation": "missing-citation", "missing-keys": "missing-key", "wrong-count": "count-mismatch", "count-error": "count-mismatch", "unsupported": "unsupported-claim", "unsupported-fact": "unsupported-claim", "out-of-scope": "scope-violation", "empty-answer": "no-answer"}
+# Lists that a result may hold, and what they are counted as.
+RESULT_UNITS = [("chain", "layer"), ("parents", "parent"), ("referencedBy", "ref"), ("symbols", "symbol")]
 
 
 def result_label(payload: Column) -> Column:
     """A short label of a result given as JSON: its error, a count, or done."""
     at = lambda p: F.get_json_object(payload, p)
     size = lambda p: F.json_array_length(at(p))
-    counted = [F.when(size(f"$.{k}").isNotNull(), F.concat(size(f"$.{k}").cast("string"), F.lit(f" {unit}(s)"))) for k, unit in (("chain", "layer"), ("parents", "parent"), ("referencedBy", "ref"), ("symbols", "symbol"))]
+    counted = [F.when(size(f"$.{k}").isNotNull(), F.concat(size(f"$.{k}").cast("string"), F.lit(f" {unit}(s)"))) for k, unit in RESULT_UNITS]
     return F.coalesce(at("$.error"), F.concat(at("$.total"), F.lit(" result(s)")), *counted, F.concat(at("$.totalLines"), F.lit(" line(s)")), F.lit("done"))
 
 
