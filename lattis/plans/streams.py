@@ -276,10 +276,10 @@ S11_SQL = "SELECT source AS mod, count(*) AS n, CAST(sum(length(text)) AS BIGINT
 
 def d4_hit_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as modifiers."""
-    li, n = table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    li = table(spark, sf_dir, "lineitem")
     names = list(C.PROTECTION_CLASSES)
     kind = F.when(F.col("l_suppkey") % 4 == 3, "speed").otherwise(F.element_at(F.array(*map(F.lit, names)), (F.col("l_suppkey") % 4 + 1).cast("int")))
-    rows = li.select(F.col("l_orderkey").alias("entity"), (n.cast("long") * 1000000 + F.col("l_partkey")).alias("pos"), kind.alias("class"), F.when(F.col("l_returnflag") == "R", "wound").otherwise("death").alias("input"), F.col("l_linestatus").alias("output"), F.col("l_partkey").cast("string").alias("value"))
+    rows = li.select(F.col("l_orderkey").alias("entity"), F.struct("l_linenumber", "l_partkey").alias("pos"), kind.alias("class"), F.when(F.col("l_returnflag") == "R", "wound").otherwise("death").alias("input"), F.col("l_linestatus").alias("output"), F.col("l_partkey").cast("string").alias("value"))
     return C.hit_protection(rows).select("entity", F.array_join("facts", "; ").alias("facts"))
 
 
