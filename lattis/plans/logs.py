@@ -206,7 +206,7 @@ SELECT turn, pos, role, tokens, small, sv > 0 AND t - coalesce(sum(sv) OVER (PAR
 
 def l15_fit_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return L.fit_prefix(li.select(F.col("l_orderkey").alias("list"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"), F.col("l_quantity").alias("cost")), 100)
+    return L.fit_prefix(li.select(F.col("l_orderkey").alias("list"), F.struct("l_linenumber", "l_partkey").alias("pos"), F.col("l_quantity").alias("cost")), 100)
 
 
 L15_SQL = """
