@@ -147,3 +147,24 @@ def test_running_sums(spark, n):
         own = sorted((r for r in got if r.g == g), key=lambda r: r.place)
         assert [r.place for r in own] == list(range(1, len(own) + 1)) and [r.o for r in own] == sorted((r.o for r in own), reverse=True)
         assert [r.total for r in own] == [sum(x.v for x in own[: i + 1]) for i in range(len(own))]
+
+
+@pytest.mark.parametrize(("k", "many"), [(None, False), (5, False), (5, True)])
+def test_prefixes_are_found_in_the_shards(spark, built, k, many, monkeypatch):
+    """Words that a term begins need no list of expansions; with it the result is the same, also where all postings are read."""
+    rows, words, found = built
+    monkeypatch.setattr(I, "HEADS", 0 if many else 100)
+    own = [(q, t, w) for q, ts in enumerate([["a", "bc"], ["abcd", "k"], ["zz"], ["e", "ea", "eab"], ["k1"]]) for t, w in zip(ts, [1.0, 0.01, 2.0], strict=False)]
+    terms = spark.createDataFrame(own, "qid long, term string, weight double")
+    got = I.search_terms(found, terms, BOOSTS, k, prefixed=R.PREFIX_WEIGHT)
+    listed = [tuple(r) for r in R.expand_terms(terms, found.vocabulary).where("kind = 'prefix'").select("term", "expanded", "weight").collect()]
+    every = own + [(q, e, w) for q, t, _ in own for x, e, w in listed if x == t]
+    want = [r for r in brute(rows, every, BOOSTS) if k is None or r[3] <= k]
+    assert listed and sorted((r.qid, r.doc_id, round(r.score, 6), r.rank) for r in got.collect()) == [(q, d, round(s, 6), n) for q, d, s, n in want]
+
+
+def test_worth_of_prefixes_is_rounded_as_spark_rounds():
+    import pyarrow as pa
+
+    asked = I.Queries(pa.table({"q": [1], "term": ["abc"], "weight": [1.0]}), None, 0.375)
+    assert asked.begun(["ab", "abc", "abc" + "d" * 13, "abd"])["abc"][2].tolist() == [0.070313]  # 0.0703125
