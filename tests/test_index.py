@@ -168,3 +168,10 @@ def test_worth_of_prefixes_is_rounded_as_spark_rounds():
 
     asked = I.Queries(pa.table({"q": [1], "term": ["abc"], "weight": [1.0]}), None, 0.375)
     assert asked.begun(["ab", "abc", "abc" + "d" * 13, "abd"])["abc"][2].tolist() == [0.070313]  # 0.0703125
+
+
+def test_documents_are_shuffled_not_their_postings(spark):
+    """Of dealt documents the postings of a shard need no exchange of their own."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "b")], "doc_id long, content string").withColumn("shard", I.shard_of("doc_id", 2)).repartition(2, "shard")
+    plan = I.build_postings(docs, {"content": False}, "shard").groupBy("shard", "field", "term").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
