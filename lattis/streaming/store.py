@@ -15,7 +15,7 @@ from lattis.streaming.turns import refresh
 
 BUCKETS = 64
 DOCS = "path string, content string, mtime timestamp, bucket int, version int"
-POSTINGS = "doc_id string, field string, term string, len bigint, tf bigint, bucket int, version int"
+POSTINGS = "doc_id string, field string, len bigint, terms array<struct<term:string,tf:bigint>>, bucket int, version int"
 CHANGE = "path string, change string, content string, mtime timestamp, turn long"
 
 
@@ -47,9 +47,8 @@ def at_versions(spark: SparkSession, folder: str, schema: str, buckets: list[int
 def read_store(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
     """(documents: path, content, mtime; postings: doc_id (the path), field, term, len, tf) as of the newest header."""
     version, _, buckets = header(spark, store)
-    if not version:
-        return spark.createDataFrame([], DOCS).drop("bucket", "version"), spark.createDataFrame([], POSTINGS).drop("bucket", "version")
-    return at_versions(spark, f"{store}/docs", DOCS, buckets).drop("bucket", "version"), at_versions(spark, f"{store}/postings", POSTINGS, buckets).drop("bucket", "version")
+    docs, postings = (at_versions(spark, f"{store}/{x}", schema, buckets) if version else spark.createDataFrame([], schema) for x, schema in (("docs", DOCS), ("postings", POSTINGS)))
+    return docs.drop("bucket", "version"), postings.select("doc_id", "field", "len", F.inline("terms"))
 
 
 def apply_changes(changes: DataFrame, batch: int, store: str, fields: dict[str, bool]) -> None:
@@ -63,7 +62,9 @@ def apply_changes(changes: DataFrame, batch: int, store: str, fields: dict[str,
     if not touched:
         return
     new = last.where("change <> 'removed'").select("path", "content", "mtime", "bucket")
-    postings = build_postings(new.withColumnRenamed("path", "doc_id"), fields).withColumn("bucket", bucket_of(F.col("doc_id")))
+    # new files are dealt by bucket before their terms are taken, and a file's terms are one row
+    postings = build_postings(new.withColumnRenamed("path", "doc_id").repartition(BUCKETS, "bucket"), fields, "bucket")
+    postings = postings.groupBy("bucket", "doc_id", "field", "len").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
     if version:
         changed, inside = last.select("path"), F.col("bucket").isin(touched)
         new = at_versions(spark, f"{store}/docs", DOCS, buckets).where(inside).drop("version").join(changed, "path", "left_anti").unionByName(new)
