@@ -106,6 +106,20 @@ def test_reads_stored_postings_without_shuffle(spark, built):
     assert "Bucketed: true" in below and below.count("hashpartitioning(shard") == 0
 
 
+@pytest.mark.parametrize(("k", "each"), [(5, False), (5, True), (None, True)])
+def test_driver_holds_one_batch(spark, built, k, each):
+    """Of several batches each is done with before the next: no search and no broadcast of an earlier one is left in the plan."""
+    rows, words, found = built
+    own = [(q, t, 1.0) for q in range(12) for t in words[q : q + 6]]
+    terms = spark.createDataFrame(own, "qid long, term string, weight double")
+    best = lambda hits: hits.where("rank <= 3").select("qid", "doc_id", "rank")
+    got = I.search_terms(found, terms, BOOSTS, k, pairs=12, each=best if each else None)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") > 2 and "FlatMapCoGroups" not in plan and "Broadcast" not in plan
+    want = [(q, d, n) for q, d, _, n in brute(rows, own, BOOSTS) if n <= (3 if each else k)]
+    assert sorted((r.qid, r.doc_id, r.rank) for r in got.collect()) == want
+
+
 def test_containing_and_holding(spark):
     rng = random.Random(2)
     text = lambda n: "".join(rng.choice("ab c\U0001f600") for _ in range(n))
