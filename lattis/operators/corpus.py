@@ -260,7 +260,9 @@ def name_candidates(docs: DataFrame) -> DataFrame:
 
 def localize(docs: DataFrame, translations: DataFrame) -> DataFrame:
     """(id, lang, cand_ord, name, text): translations of a document's names. translations: lang, ord, key, text; the last of a key counts."""
-    last = translations.groupBy("lang", "key").agg(F.max_by("text", "ord").alias("text"))
+    # a text's aggregate sorts its rows: they are dealt out first, as a small file of many rows is read by one task
+    n = int(translations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = translations.repartition(n, "lang", "key", "ord").groupBy("lang", "key").agg(F.max_by("text", "ord").alias("text"))
     return name_candidates(docs).join(last.withColumnRenamed("key", "name"), "name").select("id", "lang", "cand_ord", "name", "text")
 
 

@@ -18,3 +18,15 @@ def grown(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["d4_hit_protection", "l15_fit_prefix"])
 def test_lines_stay_in_order(spark, grown, name):
     assert differ(spark, grown, plans.QUERIES[name], plans.ORACLE_SQL[name]) == ""
+
+
+def test_translations_are_dealt_out_before_they_are_sorted(spark):
+    """The aggregate of texts sorts the rows of a task: those of one file are dealt out before its first half, not only behind it."""
+    from lattis.operators import corpus as C
+
+    said = spark.createDataFrame([("en", i, f"n{i % 2}", f"t{i}") for i in range(6)], "lang string, ord long, key string, text string").coalesce(1)
+    docs = spark.createDataFrame([(1, "call", None, "n1", None)], "id int, type string, spec_name string, name string, comment string")
+    got = C.localize(docs, said)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(lang" in plan[plan.index("partial_max_by") :].split("hashpartitioning(name")[0] and "REPARTITION_BY_NUM" in plan
+    assert [tuple(r) for r in got.collect()] == [(1, "en", 0, "n1", "t5")]
