@@ -113,7 +113,7 @@ def test_driver_holds_one_batch(spark, built, k, each):
     own = [(q, t, 1.0) for q in range(12) for t in words[q : q + 6]]
     terms = spark.createDataFrame(own, "qid long, term string, weight double")
     best = lambda hits: hits.where("rank <= 3").select("qid", "doc_id", "rank")
-    got = I.search_terms(found, terms, BOOSTS, k, pairs=12, each=best if each else None)
+    got = I.search_terms(found, terms, BOOSTS, k, pairs=12, **({"each": best} if each else {}))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ExistingRDD") > 2 and "FlatMapCoGroups" not in plan and "Broadcast" not in plan
     want = [(q, d, n) for q, d, _, n in brute(rows, own, BOOSTS) if n <= (3 if each else k)]
