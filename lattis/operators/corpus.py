@@ -110,7 +110,9 @@ def line_symbols(lines: DataFrame, rules: list[tuple[str, str]] = SYMBOL_RULES)
     line = F.col("line")
     control = line.rlike(rf"^\s*(?:{CONTROL_WORDS})\b")
     found = F.coalesce(*[F.when(F.regexp_extract(line, p, 1) != "", F.struct(F.lit(kind).alias("kind"), F.regexp_extract(line, p, 1).alias("name"))) for kind, p in rules])
-    delta = F.length(F.regexp_replace(line, r"[^{]", "")) - F.length(F.regexp_replace(line, r"[^}]", ""))
+    # a pattern for what is no brace would be replaced character by character
+    held = lambda brace: F.length(line) - F.length(F.replace(line, F.lit(brace), F.lit("")))
+    delta = held("{") - held("}")
     before = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     # only lines that declare or brace are needed
     rows = lines.select("file", "line_no", F.when(~control, found).alias("s"), delta.alias("delta")).where("s is not null or delta <> 0")

@@ -30,3 +30,13 @@ def test_translations_are_dealt_out_before_they_are_sorted(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(lang" in plan[plan.index("partial_max_by") :].split("hashpartitioning(name")[0] and "REPARTITION_BY_NUM" in plan
     assert [tuple(r) for r in got.collect()] == [(1, "en", 0, "n1", "t5")]
+
+
+def test_braces_of_long_lines_are_not_found_by_a_pattern(spark):
+    """Replacing all that is no brace by a pattern costs a step for each character, most of the time of a run over long lines."""
+    from lattis.operators import corpus as C
+
+    rows = [("a", 1, "class A { é{ }"), ("a", 2, "x" * 5000), ("a", 3, None), ("a", 4, "} }"), ("a", 5, "class B")]
+    got = C.line_symbols(spark.createDataFrame(rows, "file string, line_no int, line string"))
+    assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 1, "class", "A", 0), ("a", 5, "class", "B", -1)]
