@@ -51,7 +51,7 @@ ST1_SQL = "SELECT CAST(user_id AS VARCHAR) AS turn, event_id AS seq, CASE WHEN e
 
 def st2_session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
-    return T.run_to_end(T.session_state(stream_of(spark, turn_events(spark, sf_dir), folder)), folder, "st2")
+    return T.run_to_end(T.session_state(stream_of(spark, turn_events(spark, sf_dir), folder)), folder, "st2", timers=False)
 
 
 ST2_SQL = "SELECT CAST(user_id AS VARCHAR) AS turn, event_id AS seq, coalesce(ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOURS, false) AS hit FROM events"

@@ -40,3 +40,17 @@ def test_braces_of_long_lines_are_not_found_by_a_pattern(spark):
     got = C.line_symbols(spark.createDataFrame(rows, "file string, line_no int, line string"))
     assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(r) for r in got.collect()) == [("a", 1, "class", "A", 0), ("a", 5, "class", "B", -1)]
+
+
+def test_timers_that_only_free_state_wait(spark, tmp_path):
+    """A stream of sessions ends with its rows: no batch that visits every key again; the setting for it is as before."""
+    import os
+
+    from lattis.plans import streams as ST
+    from lattis.streaming import turns as T
+
+    events = spark.sql("SELECT cast(id % 5 AS string) AS turn, id AS seq, timestamp_seconds(1000000000 + id * id * 900) AS ts, 'click' AS type, '' AS text FROM range(40)")
+    before = spark.conf.get(T.EMPTY_BATCHES)
+    got = T.run_to_end(T.session_state(ST.stream_of(spark, events, str(tmp_path))), str(tmp_path), "st2", timers=False)
+    assert [x for x in os.listdir(tmp_path / "st2" / "state" / "commits") if x.isdigit()] == ["0"] and spark.conf.get(T.EMPTY_BATCHES) == before
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, T.session_reads(events).select("turn", "seq", "hit").collect()))
