@@ -120,6 +120,21 @@ def test_driver_holds_one_batch(spark, built, k, each):
     assert sorted((r.qid, r.doc_id, r.rank) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("k", [None, 5])
+def test_driver_holds_no_expansions(spark, built, k, monkeypatch):
+    """What terms expand to, more than a batch, goes to the shards past the driver, which holds the terms alone."""
+    rows, words, found = built
+    own = [(q, t, 1.0) for q in range(3) for t in words[4 * q : 4 * q + 4]]
+    more = [(t, e, 0.25) for t in words[:12] for e in words[20:50]]
+    frame, held = type(spark.range(0)), []
+    monkeypatch.setattr(frame, "toArrow", lambda self, f=frame.toArrow: (held.append(x := f(self)), x)[1])
+    got = I.search_terms(found, spark.createDataFrame(own, "qid long, term string, weight double"), BOOSTS, k, spark.createDataFrame(more, "term string, expanded string, weight double"), pairs=40)
+    assert [x.num_rows for x in held] == [len(own)]
+    every = own + [(q, e, w) for q, t, _ in own for x, e, w in more if x == t]
+    want = [r for r in brute(rows, every, BOOSTS) if k is None or r[3] <= k]
+    assert sorted((r.qid, r.doc_id, round(r.score, 6), r.rank) for r in got.collect()) == [(q, d, round(s, 6), n) for q, d, s, n in want]
+
+
 def test_containing_and_holding(spark):
     rng = random.Random(2)
     text = lambda n: "".join(rng.choice("ab c\U0001f600") for _ in range(n))
