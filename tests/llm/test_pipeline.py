@@ -102,3 +102,21 @@ def test_packing_is_best_fit(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_duplicates_clean_up_after_each_count(spark, monkeypatch):
+    """Rounds and counts on the way remove their shuffle files: with many partitions these were most of the disk of the stage."""
+    from lattis.llm import components as C
+    from lattis.llm.jaccard_join import jaccard_components
+    from lattis.session import CLEAN_UP
+
+    frame, told = type(spark.range(0)), []
+    for name in ("first", "count", "collect"):
+        monkeypatch.setattr(frame, name, lambda self, f=getattr(frame, name): (told.append(spark.conf.get(CLEAN_UP)), f(self))[1])
+    links = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10], "a long, b long")
+    found = C.components(links)
+    jaccard_components(spark.createDataFrame([(i, f"a b c d e f g h i j {i % 5}") for i in range(30)], "doc_id long, text string"))
+    assert len(told) > 5 and set(told) == {"true"}
+    monkeypatch.undo()
+    assert sorted(map(tuple, found.collect())) == [(i, (i - 1) // 10 * 10 + 1) for i in range(1, 41)]
+    assert spark.conf.get(CLEAN_UP) == "false"
