@@ -131,11 +131,16 @@ def flatten_variants(df: DataFrame, key: str, column: str) -> DataFrame:
     lateral variant_explode for each level of nesting.
     """
     spark = df.sparkSession
-    rows = keep(df.select(F.col(key).alias("_key"), F.lit("").alias("_path"), F.array().cast("array<int>").alias("_at"), F.lit(0).alias("_late"), F.col(column).alias("_v")).where("_v is not null"))
+
+    def kept(rows: DataFrame) -> DataFrame:
+        """With whether a variant is nested, told from its own level: its schema would be that of all that is in it, at each level anew."""
+        shallow = [F.try_variant_get("_v", "$", kind).isNotNull() for kind in ("array<variant>", "map<string,variant>")]
+        return keep(rows.withColumn("_nested", shallow[0] | shallow[1]))
+
+    rows = kept(df.select(F.col(key).alias("_key"), F.lit("").alias("_path"), F.array().cast("array<int>").alias("_at"), F.lit(0).alias("_late"), F.col(column).alias("_v")).where("_v is not null"))
     leaves = None
     while True:
-        kind = F.schema_of_variant("_v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        nested = F.col("_nested")
         value = F.try_variant_get("_v", "$", "string")
         done = rows.where(~nested & value.isNotNull()).select("_key", F.when(F.col("_path") == "", "text").otherwise(F.col("_path")).alias("_path"), "_at", "_late", value.alias("_value"))
         leaves = done if leaves is None else leaves.unionByName(done)
@@ -145,7 +150,7 @@ def flatten_variants(df: DataFrame, key: str, column: str) -> DataFrame:
         inner = deeper.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
         name = F.regexp_replace("key", "^@_", "")
         path = F.when(F.col("key").isNull() | (F.col("key") == "#text"), F.col("_path")).when(F.col("_path") == "", name).otherwise(F.concat("_path", F.lit("."), name))
-        rows = keep(inner.select("_key", path.alias("_path"), F.when(F.col("key").isNull(), F.array_append("_at", F.col("pos"))).otherwise(F.col("_at")).alias("_at"), F.when(F.col("key").startswith("@_"), 0).otherwise(1).alias("_late"), F.col("value").alias("_v")))
+        rows = kept(inner.select("_key", path.alias("_path"), F.when(F.col("key").isNull(), F.array_append("_at", F.col("pos"))).otherwise(F.col("_at")).alias("_at"), F.when(F.col("key").startswith("@_"), 0).otherwise(1).alias("_late"), F.col("value").alias("_v")))
     found = leaves.groupBy("_key", "_path").agg(F.sort_array(F.collect_list(F.struct("_at", "_late", "_value"))).alias("h"))
     first, last = F.get("h", F.lit(0))["_at"], F.element_at("h", -1)["_at"]
     # levels of arrays in which all places agree

@@ -150,3 +150,11 @@ def test_flatten_variants(spark):
 def test_large_files(spark, text):
     [r] = R.typed_records(spark.createDataFrame([("f.xml", text)], "path string, content string")).select("type").collect()
     assert r.type == "script_chunk"
+
+
+def test_nested_variants_are_told_from_their_own_level(spark):
+    """No level asks for the schema of all that is in a variant; empty objects and arrays, nulls and JSON in a text give what they gave."""
+    rows = [(1, '{"a": {}, "b": [], "c": null, "d": "[1, 2]", "e": [[], {"f": "{}"}], "g": true}'), (2, "[]"), (3, "{}"), (4, "null"), (5, '"x"'), (6, "1.5")]
+    df = R.flatten_variants(spark.createDataFrame(rows, "k int, j string").selectExpr("k", "parse_json(j) AS v"), "k", "v")
+    assert "schemaofvariant" not in df._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "")
+    assert sorted(map(tuple, df.collect())) == [(1, "d", "[1, 2]"), (1, "e.f", "{}"), (1, "g", "true"), (5, "text", "x"), (6, "text", "1.5")]
