@@ -79,6 +79,24 @@ def test_top_k_filters(spark, built):
     assert sorted((r.qid, r.doc_id, r.rank) for r in got.collect()) == [(q, d, n) for q, d, _, n in want]
 
 
+def test_others_are_counted_in_the_shards(spark, built):
+    """Hits that a filter passes over come as numbers, not as rows; those without a value are neither."""
+    rows, words, found = built
+    rng = random.Random(9)
+    own = [(q, t, 1.0) for q in range(8) for t in rng.sample(words, 4)]
+    wanted = {q: ["x", "y", None, "nowhere"][q % 4] for q in range(8)}
+    filters = spark.createDataFrame(list(wanted.items()), "qid long, want_type string")
+    got = I.search_terms(found, spark.createDataFrame(own, "qid long, term string, weight double"), BOOSTS, 3, filters=filters, columns=("type",), others=True).collect()
+    best = brute(rows, own, BOOSTS, lambda q, r: wanted[q] is None or r[3] == wanted[q])
+    assert [(q, d, k) for q, d, _, k in best if k <= 3] == sorted((r.qid, r.doc_id, r["rank"]) for r in got if r.others is None)
+    more = Counter(q for q, *_ in brute(rows, own, BOOSTS, lambda q, r: None not in (wanted[q], r[3]) and r[3] != wanted[q]))
+    assert more and len(got) <= 8 * (3 + 3)  # three shards
+    told = Counter()
+    for r in got:
+        told[r.qid] += r.others or 0
+    assert +told == more
+
+
 def test_pruning_leaves_terms_out():
     """With one telling term and many poor ones, the poor ones are looked up for a few documents only, and the best are the same."""
     import numpy as np
