@@ -222,3 +222,18 @@ def test_documents_are_shuffled_not_their_postings(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "b")], "doc_id long, content string").withColumn("shard", I.shard_of("doc_id", 2)).repartition(2, "shard")
     plan = I.build_postings(docs, {"content": False}, "shard").groupBy("shard", "field", "term").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_lists_of_a_shard(spark):
+    """Terms are counted by document and length, documents in order; a null field or one without terms has no lists."""
+    import pyarrow as pa
+
+    docs = pa.table({"shard": pa.array([4, 4, 4, 4], pa.int32()), "doc_id": [9, -2, 5, 7], "content": [["b", "a", "b"], ["b"], None, []], "key": pa.array([None] * 4, pa.list_(pa.string()))})
+    rows = I.shard_lists(["content", "key"])(docs).to_pylist()
+    assert rows == [
+        {"shard": 4, "field": "content", "term": "b", "docs": [-2, 9], "tfs": [1, 2], "lens": [1, 3], "n": 2, "total": 3},
+        {"shard": 4, "field": "content", "term": "a", "docs": [9], "tfs": [1], "lens": [3], "n": 1, "total": 1},
+    ]
+    idf = pa.table({"shard": pa.array([4, 4], pa.int32()), "field": ["content"] * 2, "term": ["a", "b"], "idf": [0.5, 0.25]})
+    told = I.with_idf(I.shard_lists(["content"])(docs).drop(["n", "total"]), idf)
+    assert dict(zip(told["term"].to_pylist(), told["idf"].to_pylist(), strict=True)) == {"a": 0.5, "b": 0.25}
