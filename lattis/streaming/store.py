@@ -7,10 +7,17 @@ header also names the batch, so a batch that is told twice, after a crash, chang
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from lattis.operators.index import build_postings
+from lattis.operators.index import field_terms, term_counts
 from lattis.streaming.turns import refresh
 
 BUCKETS = 64
@@ -51,6 +58,26 @@ def read_store(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
     return docs.drop("bucket", "version"), postings.select("doc_id", "field", "len", F.inline("terms"))
 
 
+FILE_TERMS = "bucket int, doc_id string, field string, len bigint, terms array<struct<term:string,tf:bigint>>"
+
+
+def file_terms(fields: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task does with the terms of files (field_terms): -> FILE_TERMS, a row for each file and field with terms."""
+    kind = to_arrow_schema(StructType.fromDDL(FILE_TERMS))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for field in fields:
+                names, term, row, tf = term_counts(part[field], np.arange(part.num_rows), part.num_rows, by_row=True)
+                own, begin = np.unique(row, return_index=True)
+                counts = pa.StructArray.from_arrays([names.take(pa.array(term)), pa.array(tf.astype(np.int64))], ["term", "tf"])
+                terms = pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)).astype(np.int32)), counts)
+                found = [part["bucket"].take(own), part["doc_id"].take(own), pa.array([field] * len(own), pa.string()), pc.list_value_length(part[field]).take(own), terms]
+                yield pa.RecordBatch.from_arrays([x.cast(t.type) for x, t in zip(found, kind, strict=True)], schema=kind)
+
+    return run
+
+
 def apply_changes(changes: DataFrame, batch: int, store: str, fields: dict[str, bool]) -> None:
     """Upserts added and changed files and drops removed ones; of several changes of one path the last turn counts. Buckets that no change touches are left alone."""
     spark = changes.sparkSession
@@ -62,9 +89,8 @@ def apply_changes(changes: DataFrame, batch: int, store: str, fields: dict[str,
     if not touched:
         return
     new = last.where("change <> 'removed'").select("path", "content", "mtime", "bucket")
-    # new files are dealt by bucket before their terms are taken, and a file's terms are one row
-    postings = build_postings(new.withColumnRenamed("path", "doc_id").repartition(BUCKETS, "bucket"), fields, "bucket")
-    postings = postings.groupBy("bucket", "doc_id", "field", "len").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+    # a file's terms are one row, so they are counted where the file is
+    postings = field_terms(new.withColumnRenamed("path", "doc_id"), fields, "bucket").mapInArrow(file_terms(list(fields)), FILE_TERMS)
     if version:
         changed, inside = last.select("path"), F.col("bucket").isin(touched)
         new = at_versions(spark, f"{store}/docs", DOCS, buckets).where(inside).drop("version").join(changed, "path", "left_anti").unionByName(new)

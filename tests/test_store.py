@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lattis.operators.index import build_postings
+from lattis.operators.index import build_postings, field_terms
 from lattis.streaming import store as S
 
 FIELDS = {"content": False}
@@ -39,3 +39,11 @@ def test_follow(spark, tmp_path):
     assert S.header(spark, store)[:2] == (version, batch)
     S.follow(spark, log, store, state, FIELDS)  # nothing new
     assert S.header(spark, store)[:2] == (version, batch)
+
+
+def test_terms_are_counted_where_the_file_is(spark):
+    """A file's terms need no shuffle; a file without terms has no row."""
+    files = spark.createDataFrame([(1, "p", "b a B"), (2, "q", None), (3, "r", " . "), (4, "s", "a")], "bucket int, doc_id string, content string")
+    rows = field_terms(files, FIELDS, "bucket").mapInArrow(S.file_terms(["content"]), S.FILE_TERMS)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.bucket, r.doc_id, r.field, r.len, sorted(map(tuple, r.terms))) for r in rows.collect()) == [(1, "p", "content", 3, [("a", 1), ("b", 2)]), (4, "s", "content", 1, [("a", 1)])]
