@@ -11,6 +11,8 @@ from lattis.operators.graph import bounded_bfs
 
 #: A call that pairs a source item with the item it turns into: upgrade("from", "to").
 UPGRADE_CALL = r'\w+\(\s*"([^"]+)"\s*,\s*"([^"]+)"\s*\)'
+#: A list of modifiers is made of so many rows at most, as a binary logarithm.
+LIST_BITS = 16
 
 
 def upgrade_map(lines: DataFrame, items: DataFrame, translations: DataFrame, pattern: str = UPGRADE_CALL) -> DataFrame:
@@ -107,9 +109,20 @@ def disambiguate(candidates: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def effective_cooldown(skills: DataFrame, modifiers: DataFrame, least: float = 0.1) -> DataFrame:
-    """(skill, modifier, seconds): max(seconds * multiplier - minus, least) under each modifier of a skill's class. skills: skill, class, base; modifiers: modifier, class, multiplier, minus."""
-    rows = skills.join(modifiers, "class")
-    return rows.select("skill", "modifier", F.round(F.greatest(F.col("base") * F.col("multiplier") - F.col("minus"), F.lit(least)), 6).alias("seconds"))
+    """(skill, modifier, seconds): max(seconds * multiplier - minus, least) under each modifier of a skill's class. skills: skill, class, base; modifiers: modifier, class, multiplier, minus.
+
+    Modifiers of a class that do the same are joined as lists, so that the seconds are worked out, and rounded, once for
+    each skill and list. Classes are few, so each is dealt in four slices for each shuffle partition; partitions hold few
+    rows but make many, so their number is given.
+    """
+    parts = int(skills.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices, some = 4 * parts, F.shiftright(F.monotonically_increasing_id(), LIST_BITS).alias("_some")
+    same = modifiers.select("*", some).groupBy("class", "multiplier", "minus", "_some").agg(F.collect_list(F.struct("modifier")).alias("_modifiers"))
+    same = same.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(parts, "class", "_slice")
+    dealt = skills.withColumn("_slice", F.pmod(F.xxhash64("skill"), F.lit(slices)).cast("int")).repartition(parts, "class", "_slice")
+    seconds = F.round(F.greatest(F.col("base") * F.col("multiplier") - F.col("minus"), F.lit(least)), 6)
+    rows = dealt.join(same, ["class", "_slice"]).select("skill", seconds.alias("seconds"), "_modifiers")
+    return rows.select("skill", F.inline("_modifiers"), "seconds")
 
 
 def tick_timeline(effects: DataFrame) -> DataFrame:
