@@ -497,3 +497,14 @@ def test_oracles(spark):
 
     for name, sql in queries.ORACLE_SQL.items():
         assert differ(spark, SF, queries.QUERIES[name], sql) == "", name
+
+
+def test_decontaminate_many_windows_of_a_long_text(spark):
+    """All windows of a long text match: none carries the text's words, which would come to some 10 GB here."""
+    docs = spark.createDataFrame([(1, "7 " * 20_000), (2, "7 " * 7)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(["7"] * 8))], "item_id long, text string")
+    df = decontaminate.contaminated(docs, items)
+    assert [tuple(r) for r in df.select("doc_id", "item_id", "n_windows", "n_slots", "exact").collect()] == [(1, 1, 1, 1, True)]
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    joined = next(line for line in reversed(plan[: plan.index("BroadcastHashJoin")].split("\n")) if "Project" in line)
+    assert "lambda" not in joined  # compiled together with the join
